@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netreach.plans.staging import stage
+
 SAMPLE_ROWS = 4096
 MAX_BUCKETS = 256
 
@@ -62,9 +64,14 @@ def _bucketed_offsets(rows: DataFrame, parts: list[str], sums: dict[str, Column]
 
 
 def running_sums(
-    df: DataFrame, parts: list[str], order: list[Column], sums: dict[str, Column]
+    df: DataFrame, parts: list[str], order: list[Column], sums: dict[str, Column], staged: bool = False
 ) -> DataFrame:
-    """Add inclusive running sums, named by the keys of ``sums``."""
+    """Add inclusive running sums, named by the keys of ``sums``.
+
+    The input is read three times (cuts, totals, rows), so it is staged first unless the
+    caller already did.
+    """
+    df = df if staged else stage(df)
     rows = _bucketed_offsets(_bucketed(df, parts, order), parts, sums)
     w = (
         Window.partitionBy(*parts, "_bkt")
@@ -81,23 +88,27 @@ def running_sums(
     return out
 
 
-def number_rows(df: DataFrame, parts: list[str], order: list[Column], name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, parts: list[str], order: list[Column], name: str, staged: bool = False
+) -> DataFrame:
     """``row_number`` over (parts, order), exact, with hot groups split over tasks."""
-    return running_sums(df, parts, order, {name: F.lit(1).cast("long")})
+    return running_sums(df, parts, order, {name: F.lit(1).cast("long")}, staged)
 
 
 def value_positions(df: DataFrame, parts: list[str], value: str) -> DataFrame:
-    """Distinct non-null values with counts and ascending/descending positions.
+    """Distinct non-null values with their count, last ascending position and group size.
 
     Equal values are folded by partial aggregation first, so a value that a third of all
-    rows share is one row here.
+    rows share is one row here; only the folded table is staged.
     """
-    dist = (
+    dist = stage(
         df.filter(F.col(value).isNotNull())
         .groupBy(*parts, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return running_sums(dist, parts, [F.col(value)], {"_hi": F.col("_n")})
+    total = dist.groupBy(*parts).agg(F.sum("_n").alias("_total"))
+    pos = running_sums(dist, parts, [F.col(value)], {"_hi": F.col("_n")}, staged=True)
+    return pos.join(total, parts) if parts else pos.crossJoin(F.broadcast(total))
 
 
 def competition_rank(
@@ -120,8 +131,6 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group; one column per entry of ``probs``."""
     pos = value_positions(df, parts, value)
-    n = df.filter(F.col(value).isNotNull()).groupBy(*parts).agg(F.count(F.lit(1)).alias("_total"))
-    pos = pos.join(F.broadcast(n), parts) if parts else pos.crossJoin(F.broadcast(n))
     aggs = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_total") - 1)
