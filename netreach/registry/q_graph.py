@@ -166,7 +166,7 @@ TABLES["fx_risk_rank"] = """SELECT *, CASE WHEN combined_risk IS NOT NULL THEN r
 
 
 @register(
-    "K2_month_rank_table_risk", f"year_month:s wwtp:s {_RK} rank_combined_risk:i final_rank:f",
+    "K2_month_rank_table_risk", f"year_month:s wwtp:s {_RK} rank_combined_risk:f final_rank:f",
     f"""SELECT COALESCE(r.year_month, k.year_month) AS year_month, COALESCE(r.wwtp, k.wwtp) AS wwtp, {', '.join('rank_' + m for m in M)},
         rank_combined_risk, list_median(list_filter([{', '.join(f'CAST(rank_{m} AS DOUBLE)' for m in M)}, CAST(rank_combined_risk AS DOUBLE)], lambda v: v IS NOT NULL)) AS final_rank
         FROM fx_ranks_month r FULL JOIN fx_risk_rank k ON r.year_month = k.year_month AND r.wwtp = k.wwtp""",

@@ -74,7 +74,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 
 
 def _named(text: str) -> set[str]:
-    return set(re.findall(r"\bfx_[a-z_]+\b", text))
+    return set(re.findall(r"\bfx_[a-z0-9_]+\b", text))
 
 
 def with_tables(sql: str) -> str:

@@ -6,7 +6,7 @@ Every table is derived by Spark from the given parquet files; the matching SQL t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -168,3 +168,50 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
         )
         .agg(F.round(F.sum("l_extendedprice") / 1000, 2).alias("x"))
     )
+
+
+def _square(x: Column, y: Column, h: Column) -> Column:
+    corner = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    return F.array(*[F.struct((x + a * h).alias("x"), (y + b * h).alias("y")) for a, b in corner])
+
+
+def site_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Square service area around every site."""
+    h = F.col("radius") / 2 + 0.25
+    return sites(spark, sf).withColumn("ring", _square(F.col("x"), F.col("y"), h))
+
+
+def areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Square fine areas with population, one per customer."""
+    k = F.col("c_custkey")
+    h = F.lit(3.25) + k % 5
+    x, y = ((k * 7919) % 1000).cast("double"), ((k * 104729) % 1000).cast("double")
+    return table(spark, sf, "customer").select(
+        F.concat(_county("c_nationkey"), F.lpad(k.cast("string"), 7, "0")).alias("area_id"),
+        _county("c_nationkey").alias("county_fips"),
+        F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("population"),
+        (4 * h * h).alias("area"), x.alias("x"), y.alias("y"), _square(x, y, h).alias("ring"),
+    )
+
+
+def county_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Square county tiles of 200 km with an off-centre representative point."""
+    k = F.col("n_nationkey")
+    x = ((k % 5) * 200 + 99.5).cast("double")
+    y = (F.floor(k / 5) * 200 + 99.5).cast("double")
+    return table(spark, sf, "nation").select(
+        _county("n_nationkey").alias("county_fips"), F.concat("n_name", F.lit(" County")).alias("county_name"),
+        (x + (k * 7) % 90).alias("x"), y.alias("y"), _square(x, y, F.lit(100.0)).alias("ring"),
+        k.alias("k"),
+    )
+
+
+def cbsa_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Square census areas inside the county tiles, growing with the county number."""
+    k = F.col("n_nationkey")
+    x = ((k % 5) * 200 + 99.5).cast("double")
+    y = (F.floor(k / 5) * 200 + 99.5).cast("double")
+    return table(spark, sf, "nation").select(
+        F.concat(F.lit("cb"), _county("n_nationkey")).alias("cbsa"), F.concat(F.lit("area "), "n_name").alias("name"),
+        F.concat(F.lit("M"), (k % 3 + 1).cast("string")).alias("lsad"), _square(x, y, F.lit(25.0) + 3 * k).alias("ring"),
+    )
