@@ -16,7 +16,7 @@ from netreach.registry.sqltables import with_tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_PLACES = {"f": 4, "r": 6, "h": 9}
+_PLACES = {"f": 4, "r": 6, "q": 7, "h": 9, "k": 11}
 
 
 def _fields(spec: str) -> list[tuple[str, str]]:
