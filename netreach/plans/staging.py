@@ -7,6 +7,7 @@ checkpoint folder the cluster names, so a lost executor costs a re-read and not
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,9 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, shared by driver and executors."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}/{name}"

