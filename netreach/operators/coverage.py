@@ -87,9 +87,11 @@ def covered_steps(order: DataFrame, weights: DataFrame, union_mode: str = "cap_s
     return j.withColumn("gain", gain)
 
 
-def union_coverage(order: DataFrame, weights: DataFrame, union_mode: str = "cap_sum") -> DataFrame:
+def union_coverage(
+    order: DataFrame, weights: DataFrame, union_mode: str = "cap_sum", steps: DataFrame | None = None
+) -> DataFrame:
     """New population and area each site adds, and their running sums, per strategy."""
-    g = covered_steps(order, weights, union_mode)
+    g = covered_steps(order, weights, union_mode) if steps is None else steps
     deltas = g.groupBy("strategy", "ord", "wwtp").agg(
         F.sum(F.col("population") * F.col("gain")).alias("delta_population"),
         F.sum(F.col("area") * F.col("gain")).alias("delta_area"),
@@ -112,13 +114,16 @@ def linked_mass(weights: DataFrame, by: list[str] | None = None) -> DataFrame:
 def coverage_table(
     order: DataFrame, links: DataFrame, features: DataFrame, union_mode: str = "cap_sum", mode: str = "intensity_exp",
     direction: str = "Destination", tau: float = 2.0, eps: float = 100.0, pop_total: float | None = None,
+    weights: DataFrame | None = None, steps: DataFrame | None = None,
 ) -> DataFrame:
     """Union coverage beside additive population and volume, with fractions of the totals.
 
-    Reach fractions refer to linked fine areas; volume refers to all sites.
+    Reach fractions refer to linked fine areas; volume refers to all sites.  Staged ``weights``
+    and ``steps`` of the same links and order may be handed in.
     """
-    weights = stage(link_weights(links, direction, mode, tau=tau, eps=eps, union_mode=union_mode))
-    curve = union_coverage(order, weights, union_mode)
+    if weights is None:
+        weights = stage(link_weights(links, direction, mode, tau=tau, eps=eps, union_mode=union_mode))
+    curve = union_coverage(order, weights, union_mode, steps)
     add = cumulative(features, order, ["pop_served", "od_volume_total"])
     served = order.join(features.select("wwtp", "pop_served"), "wwtp", "left").groupBy("strategy").agg(
         F.coalesce(F.sum("pop_served"), F.lit(0.0)).alias("_served")

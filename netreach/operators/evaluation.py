@@ -250,7 +250,7 @@ def evaluate(
     if links is not None:
         weights = stage(link_weights(links, union_mode=union_mode))
         steps = stage(covered_steps(o, weights, union_mode))
-        final = coverage_table(o, links, features, union_mode).join(last, ["strategy", "ord"])
+        final = coverage_table(o, links, features, union_mode, weights=weights, steps=steps).join(last, ["strategy", "ord"])
         keep = ["cum_population", "cum_area", "cum_pop_served", "cum_od_volume_total", *CORE]
         out = final.select("strategy", *keep)
         out = out.join(county_contribution(o, weights, union_mode, steps=steps), "strategy", "left")

@@ -26,11 +26,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written copy."""
+    """Write ``df`` once to the checkpoint folder and return a DataFrame that reads the copy.
+
+    Join sides that turn out small at run time are broadcast by adaptive execution, which
+    knows the measured size of every shuffle.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan that has fewer tasks than the cluster has cores; large scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder, shared by driver and executors."""
     ensure_checkpoint_dir(spark)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netreach.plans.staging import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -23,9 +25,9 @@ def _site(c: str):
 
 
 def _trips(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").select(
+    line = spread(table(spark, sf, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_linestatus", "l_shipdate"
-    )
+    ))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     return (
