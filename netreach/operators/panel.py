@@ -73,7 +73,9 @@ def clinical_long(
     if entities is None:
         ents = weekly.select(*keys, "region").distinct()
     elif disease:
-        ents = entities.select("region").distinct().join(F.broadcast(weekly.select("disease").distinct()))
+        names = weekly.agg(F.collect_set("disease").alias("_names"))  # one row, a handful of labels
+        ents = entities.select("region").distinct().crossJoin(F.broadcast(names)).select(
+            "region", F.explode("_names").alias("disease"))
     else:
         ents = entities.select("region")
     panel = full_panel(weekly, ents, ["raw"], keys=keys)
