@@ -101,7 +101,7 @@ def uncovered_population(shares: DataFrame) -> DataFrame:
 
 def utility_county(weights: DataFrame, areas: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Population per (site, county), its share of the site and of the whole county."""
-    pop = weights.groupBy("wwtp", "county_fips").agg(F.sum(F.col("population") * F.col("covered_prop")).alias("pop"))
+    pop = stage(weights.groupBy("wwtp", "county_fips").agg(F.sum(F.col("population") * F.col("covered_prop")).alias("pop")))
     site = pop.groupBy("wwtp").agg(F.sum("pop").alias("_s"))
     county = areas.groupBy("county_fips").agg(F.sum("population").alias("_c"))
     out = pop.join(site, "wwtp").join(county, "county_fips").select(

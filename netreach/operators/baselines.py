@@ -83,7 +83,7 @@ def greedy_new_area(links: DataFrame, features: DataFrame, n: int, direction: st
 
     Ties: area + .01 population + .0001 volume, each scaled over all sites, then name.
     """
-    per = (
+    per = stage(
         links.filter(F.lower("direction") == direction.lower())
         .groupBy("bg_fips", "wwtp").agg(F.max("area").alias("area"))
     )

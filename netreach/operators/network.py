@@ -13,6 +13,7 @@ from netreach.functions.keys import drop_historic
 from netreach.operators.od import INBOUND
 from netreach.plans.ordering import number_rows
 from netreach.plans.sparse import product, row_normalize
+from netreach.plans.staging import stage
 
 
 def nodes(clinical: DataFrame, population: DataFrame, sites: DataFrame) -> DataFrame:
@@ -40,11 +41,12 @@ def projections(flows: DataFrame, beta: float = 0.3) -> DataFrame:
 
     Zero diagonal; each projection scaled to its largest cell per step, times beta.
     """
+    flows = stage(flows)
     cw = flows.filter(F.col("src").startswith("C_"))
     wc = flows.filter(F.col("src").startswith("W_"))
     cc = product(cw, wc, ["t"]).withColumn("kind", F.lit("CC"))
     ww = product(wc, cw, ["t"]).withColumn("kind", F.lit("WW"))
-    off = cc.unionByName(ww).filter(F.col("src") != F.col("dst"))
+    off = stage(cc.unionByName(ww).filter(F.col("src") != F.col("dst")))
     top = off.groupBy("t", "kind").agg(F.max("w").alias("_m"))
     return off.join(F.broadcast(top), ["t", "kind"]).select(  # two rows per step
         "t", "src", "dst", "kind", F.coalesce(ratio(F.col("w") * F.lit(beta), F.col("_m")), F.lit(0.0)).alias("w"))
@@ -52,6 +54,7 @@ def projections(flows: DataFrame, beta: float = 0.3) -> DataFrame:
 
 def self_loops(flows: DataFrame, population: DataFrame, cap: float = 0.2) -> DataFrame:
     """Add population self weights, at most cap x the row sum without them, and normalise rows."""
+    flows = stage(flows)
     rows = flows.filter(F.col("src") != F.col("dst")).groupBy("t", "src").agg(F.sum("w").alias("_row"))
     loop = rows.join(population.select(F.col("node").alias("src"), "population"), "src", "left").select(
         "t", "src", F.col("src").alias("dst"), F.least(F.coalesce("population", F.lit(0.0)), F.lit(cap) * F.col("_row")).alias("w"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netreach.functions.expr import ratio
 from netreach.functions.periods import add_period_fields
+from netreach.plans.staging import stage
 
 INBOUND = "county_to_wwtp"
 OUTBOUND = "wwtp_to_county"
@@ -67,6 +68,7 @@ def ensure_outflow(totals: DataFrame) -> DataFrame:
 
     The week sums are aggregated first and joined back, so one task never holds a week.
     """
+    totals = stage(totals)
     weekly = totals.groupBy("week").agg(F.coalesce(F.sum("total_out"), F.lit(0.0)).alias("_week_out"))
     missing = F.col("_week_out") == 0
     out = totals.drop("total_flow", "net_flow").join(weekly, "week")
@@ -85,6 +87,7 @@ def weekly_trip_tables(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     The second table holds one row per county ever linked to the site, zero where a week has
     no trip in a direction.
     """
+    edges = stage(edges)
     totals = ensure_outflow(weekly_totals(edges))
     cells = (
         edges.groupBy("week", "wwtp", "county_fips")
@@ -164,6 +167,7 @@ def complete_grid(edges: DataFrame) -> DataFrame:
     each county, so no side of a many-to-many join is built.
     """
     pair = ["direction", "wwtp"]
+    edges = stage(edges)
     weeks = edges.groupBy(*pair).agg(F.collect_set("week").alias("_weeks"))
     counties = edges.select(*pair, "county_fips").distinct()
     grid = counties.join(weeks, pair).select(*pair, "county_fips", F.explode("_weeks").alias("week"))
@@ -192,14 +196,20 @@ def _zero_filled(edges: DataFrame, grid: DataFrame, keys: list[str], weeks: Colu
     ).drop("_s", "_lo", "_hi", "_n")
 
 
+def _one_direction(edges: DataFrame, direction: str) -> DataFrame:
+    """Collapsed volumes of one direction with their month, staged because several branches read them."""
+    return stage(
+        edges.filter(F.col("direction") == direction).groupBy("week", "wwtp", "county_fips").agg(F.sum("volume").alias("volume"))
+        .withColumn("year_month", F.date_format("week", "yyyy-MM"))
+    )
+
+
 def county_monthly(edges: DataFrame, direction: str) -> DataFrame:
     """Mean, min, max and weeks per (site, county, month) on the completed grid.
 
     The grid is never built: zeros enter through the number of observed weeks.
     """
-    e = collapse_edges(edges.filter(F.col("direction") == direction)).withColumn(
-        "year_month", F.date_format("week", "yyyy-MM")
-    )
+    e = _one_direction(edges, direction)
     site_month = e.groupBy("wwtp", "year_month").agg(F.count_distinct("week").alias("n_weeks"))
     months = site_month.groupBy("wwtp").agg(
         F.collect_list(F.struct("year_month", "n_weeks")).alias("_months")
@@ -231,9 +241,7 @@ def combine_directions(inbound: DataFrame, outbound: DataFrame, names: DataFrame
 
 def county_sources_monthly(edges: DataFrame, direction: str) -> DataFrame:
     """As ``county_monthly`` with counties seen within the month; all-zero rows dropped."""
-    e = collapse_edges(edges.filter(F.col("direction") == direction)).withColumn(
-        "year_month", F.date_format("week", "yyyy-MM")
-    )
+    e = _one_direction(edges, direction)
     site_month = e.groupBy("wwtp", "year_month").agg(F.count_distinct("week").alias("n_weeks"))
     grid = e.select("wwtp", "county_fips", "year_month").distinct().join(site_month, ["wwtp", "year_month"])
     out = _zero_filled(e, grid, ["wwtp", "county_fips", "year_month"], F.col("n_weeks"))
@@ -247,7 +255,7 @@ def yoy_monthly(
     t = weekly.withColumns({"year": F.year("week"), "month": F.month("week")})
     if months:
         t = t.filter(F.col("month").isin(months))
-    out = t.groupBy("wwtp", "year", "month").agg(*[F.avg(c).alias(c) for c in value_cols], _weeks())
+    out = stage(t.groupBy("wwtp", "year", "month").agg(*[F.avg(c).alias(c) for c in value_cols], _weeks()))
     years = out.groupBy("wwtp").agg(F.count_distinct("year").alias("n_years"))
     return out.join(years.filter(F.col("n_years") >= min_years), "wwtp")
 
@@ -287,8 +295,7 @@ def od_flow_stats(flows: DataFrame, n_nodes: DataFrame, by: str | None = "week")
     keys = [by] if by else []
     e = flows.filter((F.col("src") != F.col("dst")) & (F.col("w") > 0))
     e = e.groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
-    rows = e.groupBy(*keys, "src").agg(F.sum("w").alias("_row"))
-    p = e.join(rows, [*keys, "src"]).withColumn("p", F.col("w") / F.col("_row"))
+    p = e.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "src")))  # at most n cells per row
     per_row = p.groupBy(*keys, "src").agg(
         F.sum(-F.col("p") * F.ln("p")).alias("h"),
         F.count(F.lit(1)).alias("k"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netreach.functions.expr import clip_norm, ratio
 from netreach.functions.keys import norm_disease, norm_metric, norm_region_level
+from netreach.plans.staging import stage
 
 
 def full_panel(
@@ -38,9 +39,12 @@ def full_panel(
 
 
 def drop_incomplete(panel: DataFrame, value: str = "rate", entity: str = "region") -> DataFrame:
-    """Drop an entity that has any null value."""
-    broken = panel.filter(F.col(value).isNull()).select(entity).distinct()
-    return panel.join(broken, entity, "left_anti")
+    """Drop an entity that has any null value.
+
+    An entity has one row per week, so one shuffle by entity does it.
+    """
+    broken = F.max(F.col(value).isNull()).over(Window.partitionBy(entity))
+    return panel.withColumn("_broken", broken).filter(~F.col("_broken")).drop("_broken")
 
 
 def clinical_long(
@@ -70,6 +74,7 @@ def clinical_long(
     weekly = rec.filter(F.col("region").isNotNull() & F.col("week").isNotNull()).groupBy(
         *keys, "region", "week"
     ).agg(F.coalesce(F.sum("raw"), F.lit(0.0)).alias("raw"))
+    weekly = stage(weekly)  # the week range, the labels and the panel read it
     if entities is None:
         ents = weekly.select(*keys, "region").distinct()
     elif disease:

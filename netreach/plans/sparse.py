@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netreach.functions.expr import ratio
+from netreach.plans.staging import stage
 
 
 def row_normalize(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Divide by the row sum; a row without weight stays absent.
 
-    Row sums are aggregated first and joined back, so a heavy row is spread over tasks.
+    The cells are already summed by (row, column), so a row is at most as long as the node list
+    and one shuffle by row does it.
     """
-    by = by or []
-    total = edges.groupBy(*by, "src").agg(F.sum("w").alias("_row"))
-    return edges.join(total, [*by, "src"]).withColumn("w", ratio(F.col("w"), F.col("_row"))).filter(F.col("w").isNotNull()).drop("_row")
+    row = Window.partitionBy(*(by or []), "src")
+    return edges.withColumn("w", ratio(F.col("w"), F.sum("w").over(row))).filter(F.col("w").isNotNull())
 
 
 def product(left: DataFrame, right: DataFrame, by: list[str] | None = None, spread: int = 4) -> DataFrame:
@@ -40,6 +41,7 @@ def product(left: DataFrame, right: DataFrame, by: list[str] | None = None, spre
 
 def mean_over(edges: DataFrame, t: str = "t") -> DataFrame:
     """Mean matrix over all time steps, absent cells counted as zero."""
+    edges = stage(edges)
     n = edges.agg(F.count_distinct(t).alias("_n"))
     s = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     return s.crossJoin(F.broadcast(n)).select("src", "dst", (F.col("w") / F.col("_n")).alias("w"))
