@@ -242,7 +242,7 @@ def score_rank(spark, sf):
 
 
 @register(
-    "E10_score_vs_rank", "pathogen:s wwtp:s score:f score_rank:i pop_rank:i pop_percentile:f level1_rank:i group:s missed_by_level1:b missed_by_pop:b captured_by_both:b".replace("group:s", "grp:s"),
+    "E10_score_vs_rank", "pathogen:s wwtp:s score:f score_rank:i pop_rank:i pop_percentile:f level1_rank:i grp:s missed_by_level1:b missed_by_pop:b captured_by_both:b",
     "SELECT *, t AND NOT a AS missed_by_level1, t AND NOT b AS missed_by_pop, t AND a AND b AS captured_by_both FROM fx_score_rank",
 )
 def _e10(spark, sf):

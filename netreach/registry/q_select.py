@@ -418,8 +418,7 @@ def _b4(spark, sf):
     "B6_single_metric_orders", "strategy:s ord:i wwtp:s",
     """SELECT 'area_only' AS strategy, row_number() OVER (ORDER BY ROUND(area_reached, 6) DESC, wwtp) AS ord, wwtp FROM fx_features QUALIFY ord <= 20
        UNION ALL SELECT 'mobility_only', row_number() OVER (ORDER BY ROUND(od_volume_total, 6) DESC, wwtp) AS ord, wwtp FROM fx_features QUALIFY ord <= 20
-       UNION ALL SELECT 'ej_only', row_number() OVER (ORDER BY score DESC NULLS LAST, wwtp) AS ord, f.wwtp FROM fx_features f LEFT JOIN fx_scores s ON f.wwtp = s.wwtp QUALIFY ord <= 20""".replace(
-        "OVER (ORDER BY score DESC NULLS LAST, wwtp)", "OVER (ORDER BY COALESCE(score, 0) DESC, f.wwtp)"),
+       UNION ALL SELECT 'ej_only', row_number() OVER (ORDER BY COALESCE(score, 0) DESC, f.wwtp) AS ord, f.wwtp FROM fx_features f LEFT JOIN fx_scores s ON f.wwtp = s.wwtp QUALIFY ord <= 20""",
 )
 def _b6(spark, sf):
     f = features(spark, sf)
