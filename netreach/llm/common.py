@@ -56,3 +56,13 @@ def text_or_empty(column: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, spread_by: str, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (one row for each ``key``), where one key may hold a third of ``rows``.
+
+    Rows are dealt by (key, salt of ``spread_by``); the side is repeated only for pairs that occur.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    pairs = salted.groupBy(key, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(side, key)
+    return salted.join(pairs, [key, "_salt"]).drop("_salt")

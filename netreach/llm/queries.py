@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netreach.llm import dedup, sharding
+from netreach.llm import dedup, ngram_join, sharding
 from netreach.llm.common import read
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of texts whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
+    classes = ngram_join.jaccard_classes(read(spark, sf_dir, "documents"), width=4, percent=85)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -17,6 +23,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op10_sharding)}
 
 ORACLES = {"op3_exact_dedup": dedup.SQL}
