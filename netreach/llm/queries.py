@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netreach.llm import dedup, mixing, ngram_join, sharding
+from netreach.llm import dedup, mixing, ngram_join, sharding, toxicity
 from netreach.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four fifths of the corpus's tokens, at most two epochs of any source."""
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -28,6 +32,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op8_toxicity, op9_mixing, op10_sharding)}
 
 ORACLES = {"op3_exact_dedup": dedup.SQL, "op9_mixing": mixing.sql()}
