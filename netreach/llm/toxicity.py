@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netreach.llm.common import stage
 from netreach.llm.labelled import held_out, training_texts
 from netreach.llm.lexicon import Matcher, Term
 
@@ -30,8 +31,9 @@ from netreach.llm.lexicon import Matcher, Term
 TRAINING = 4_000
 #: Terms in the lexicon at most, and those of them that are met with automata of edits.
 TERMS, FORGIVING = 200, 60
-#: A term is in at least so many toxic texts, and so many times as often there as elsewhere.
-LEAST_TEXTS, LEAST_RATIO = 3, 20.0
+#: A term is in at least so many toxic texts of the sample and such a share of them (chance words and words of copies
+#: are in few), and so many times as often there as elsewhere.
+LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 20.0
 #: Letters of word beginnings.
 SHORTEST, LONGEST = 3, 8
 #: Letters around a hit that are read for quotation marks, and words that are read for report or address.
@@ -49,13 +51,15 @@ FEATURES = ["exact", "misspelled", "quoted", "aimed", "dense", "one"]
 @dataclass
 class Model:
     terms: list[Term] = field(default_factory=list)
+    ordinary: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> list[Term]:
     """Terms from (text, stem, toxic texts, other texts); a stem gives way to a longer form that has nearly its texts."""
     rate = lambda hit, other: np.log((hit + 0.5) / (toxic + 1)) - np.log((other + 0.5) / (clean + 1))
-    good = {(t, s): (a, rate(a, b)) for t, s, a, b in counts if a >= LEAST_TEXTS and rate(a, b) >= np.log(LEAST_RATIO)}
+    least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
+    good = {(t, s): (a, rate(a, b)) for t, s, a, b in counts if a >= least and rate(a, b) >= np.log(LEAST_RATIO)}
     chosen: list[Term] = []
     for text, stem in sorted(good, key=lambda x: (len(x[0]), not x[1])):
         if any(c.stem and text.startswith(c.text) for c in chosen):
@@ -70,18 +74,29 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: in
     return chosen[:TERMS]
 
 
-def learn_terms(texts: DataFrame) -> list[Term]:
+def learn_terms(texts: DataFrame) -> tuple[list[Term], frozenset[str]]:
+    """The lexicon, and words that resemble a term but are ordinary ones: in several clean texts of the sample."""
     sizes = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return []
+        return [], frozenset()
     word = texts.select("label", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
     begins = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda n: F.struct(F.substring("word", F.lit(1), n).alias("text"), F.lit(True).alias("stem"), n.alias("n")))
     forms = F.concat(F.filter(begins, lambda x: x["n"] <= F.length("word")), F.array(F.struct(F.col("word").alias("text"), F.lit(False).alias("stem"), F.length("word").alias("n"))))
     forms = word.select("label", "doc_id", F.explode(forms).alias("f")).select("label", "doc_id", "f.text", "f.stem").distinct()
     counts = forms.groupBy("text", "stem").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    counts = stage(counts.where("a >= 2 OR b >= 2"), "forms")
     floor = LEAST_RATIO * sizes[1] / sizes[0]
     rows = counts.where((F.col("a") >= LEAST_TEXTS) & (F.col("a") + 1 > F.col("b") * floor)).orderBy(F.desc("a"), "text", "stem").limit(50 * TERMS).collect()
-    return choose_terms([(r.text, r.stem, r.a, r.b) for r in rows], sizes[1], sizes[0])
+    terms = choose_terms([(r.text, r.stem, r.a, r.b) for r in rows], sizes[1], sizes[0])
+
+    def resemble(batches):
+        matcher = Matcher(terms[:FORGIVING])
+        for batch in batches:
+            found = matcher.match(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, (_, edits) in found.items() if edits], pa.string())})
+
+    ordinary = counts.where("NOT stem AND b >= 2 AND b >= a").select("text").mapInArrow(resemble, "word string").collect()
+    return terms, frozenset(r.word for r in ordinary)
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -96,7 +111,7 @@ def quoted(text: str, start: int, end: int) -> bool:
     return mark != '"' or before.count('"') % 2 == 1
 
 
-def scorer(terms: list[Term]):
+def scorer(terms: list[Term], ordinary: frozenset[str]):
     """A function from texts to a matrix of FEATURES."""
     forgiving = terms[:FORGIVING]
     exact = {t.text: k for k, t in enumerate(terms) if not t.stem}
@@ -116,7 +131,7 @@ def scorer(terms: list[Term]):
                 upto += 1
             words = [WORD.findall(x) for x in lowered[at:upto]]
             known = list(set().union(*words))
-            hits = {w: (matcher.terms[k], e) for w, (k, e) in matcher.match(known).items()}
+            hits = {w: (matcher.terms[k], e) for w, (k, e) in matcher.match(known).items() if not e or w not in ordinary}
             hits |= {w: (terms[exact[w]], 0) for w in known if w in exact}
             for k, own in enumerate(words):
                 if not hits or hits.keys().isdisjoint(own):
@@ -161,18 +176,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most: int = TRAINING) -> Model:
     texts = training_texts(docs, labels, "toxic", folds, fold, most)
-    terms = learn_terms(texts)
+    terms, ordinary = learn_terms(texts)
     if not terms:
         return Model()
 
     def run(batches):
-        features = scorer(terms)
+        features = scorer(terms, ordinary)
         for batch in batches:
             x = features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "label": batch.column(1)})
 
     rows = texts.select("text", "label").mapInArrow(run, "x array<double>, label int").collect()  # at most 2 x most
-    return Model(terms, fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float)))
+    return Model(terms, ordinary, fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -180,17 +195,15 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     found = docs.select(*keep, F.col("text").alias("_text"))
     if model.weights is None:
         return found.withColumn("score", F.lit(0.0)).drop("_text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
-    n = len(keep)
+    terms, ordinary, weights, n = model.terms, model.ordinary, model.weights, len(keep)
 
     def run(batches):
-        m = shared.value
-        features = scorer(m.terms)
+        features = scorer(terms, ordinary)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 x = features(part.column(n).to_pylist())
-                s = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
+                s = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], names=[*keep, "score"])
 
     schema = found.drop("_text").withColumn("score", F.lit(0.0)).schema
