@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netreach.llm import dedup, mixing, ngram_join, sharding, toxicity
+from netreach.llm import dedup, license_scan, mixing, ngram_join, quality, sharding, toxicity
 from netreach.llm.common import read
 
 
@@ -18,6 +18,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -32,6 +40,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op8_toxicity, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op8_toxicity, op9_mixing, op10_sharding)}
 
 ORACLES = {"op3_exact_dedup": dedup.SQL, "op9_mixing": mixing.sql()}
