@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netreach.llm import decontamination, dedup, license_scan, mixing, ngram_join, quality, sharding, toxicity
+from netreach.llm import decontamination, dedup, license_scan, mixing, ngram_join, quality, sharding, toxicity, training_order
 from netreach.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,6 +48,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op6_decontamination, op8_toxicity, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op6_decontamination, op7_training_order, op8_toxicity, op9_mixing, op10_sharding)}
 
 ORACLES = {"op3_exact_dedup": dedup.SQL, "op9_mixing": mixing.sql()}
