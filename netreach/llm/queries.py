@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netreach.llm import decontamination, dedup, license_scan, mixing, ngram_join, quality, sharding, toxicity, training_order
+from netreach.llm import decontamination, dedup, license_scan, mixing, ngram_join, pii, quality, sharding, toxicity, training_order
 from netreach.llm.common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.personal_data(read(spark, sf_dir, "documents")))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of texts whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
     classes = ngram_join.jaccard_classes(read(spark, sf_dir, "documents"), width=4, percent=85)
@@ -48,6 +52,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op6_decontamination, op7_training_order, op8_toxicity, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op6_decontamination, op7_training_order, op8_toxicity, op9_mixing, op10_sharding)}
 
 ORACLES = {"op3_exact_dedup": dedup.SQL, "op9_mixing": mixing.sql()}

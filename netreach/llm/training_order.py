@@ -1,16 +1,15 @@
 """Training order: every token sequence gets a global slot by a keyed permutation, and shards hold slots at a fixed stride.
 
-1. Texts are dealt by ``CELLS`` hash cells of their id, and within a cell ordered by id and text hash. Each is tokenized,
+1. Texts are dealt by hash cells of their id and text (``CELLS``, more for more rows), and within a cell ordered by id and text hash. Each is tokenized,
    ended by the end token, and cut into sequences of ``length`` tokens, the last one padded with the end token. A
    sequence is numbered within its cell, so its number does not depend on the cluster.
-2. The cells' counts (at most ``CELLS`` rows) give every sequence its number in the corpus.
+2. The cells' counts give every sequence its number in the corpus.
 3. A Feistel network keyed by ``seed`` permutes the numbers below the next power of four; numbers that land beyond the
    count are permuted again (cycle-walking), which keeps it a permutation of the count. The result is the slot.
 4. Slot s is row s mod ``rows`` of shard s div ``rows``; every row has 2 x ``length`` bytes (little-endian token ids).
 
 So the training order can be read in sequence or taken up at any slot, and is the same for the same rows, ``seed`` and
-``length``. Null and empty texts give one sequence of end tokens. Repeated rows give sequences each; a null id is a cell
-of its own. Other columns are ignored; an empty table gives no rows. Tasks hold one text and a few sequences at a time.
+``length``. Null and empty texts give one sequence of end tokens. Repeated rows give sequences each. Other columns are ignored; an empty table gives no rows. Tasks hold one text and a few sequences at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ from netreach.llm.common import stage
 #: Where a public vocabulary of byte-pair ranks lies, its end token, and how it parts texts (fixed value of the vocabulary).
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CELLS = 1024
+#: Cells at least, and rows of one cell, about, beyond that.
+CELLS, CELL_ROWS = 1024, 10_000
 ROUNDS = 6
 #: Sequences handed on at a time, rows taken from an Arrow batch at a time.
 BATCH, SLICE = 1024, 128
@@ -58,15 +58,15 @@ def permute(number: np.ndarray, count: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
+def sequences(docs: DataFrame, length: int, vocabulary: str, cells: int) -> DataFrame:
     """(cell, number, doc_id, part, n_tokens, tokens) of every sequence, numbered within its cell."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a vocabulary of a fixed size
     doc_id = F.col("doc_id").cast("long")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    cells = docs.select(doc_id.alias("doc_id"), "text", F.pmod(F.xxhash64(doc_id), F.lit(CELLS)).cast("int").alias("cell"), text_hash.alias("h"))
+    dealt = docs.select(doc_id.alias("doc_id"), "text", F.pmod(F.xxhash64(doc_id, text_hash), F.lit(cells)).cast("int").alias("cell"), text_hash.alias("h"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(parts, "cell").sortWithinPartitions("cell", "doc_id", "h").drop("h")
+    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "doc_id", "h").drop("h")
 
     def run(batches):
         import tiktoken
@@ -100,7 +100,7 @@ def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
         if rows:
             yield out()
 
-    return cells.mapInArrow(run, "cell int, number long, doc_id long, part int, n_tokens int, tokens binary")
+    return dealt.mapInArrow(run, "cell int, number long, doc_id long, part int, n_tokens int, tokens binary")
 
 
 NAMES = ["cell", "number", "doc_id", "part", "n_tokens", "tokens"]
@@ -108,18 +108,21 @@ NAMES = ["cell", "number", "doc_id", "part", "n_tokens", "tokens"]
 
 def training_order(docs: DataFrame, length: int = 512, rows: int = 256, seed: int = 13, vocabulary: str = VOCABULARY) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, part, n_tokens, tokens), each shard whole in one partition and in order of slot."""
-    found = stage(sequences(docs, length, vocabulary), "sequences")
-    counts = sorted((r.cell, r["count"]) for r in found.groupBy("cell").count().collect())  # at most CELLS rows
+    cells = max(CELLS, docs.count() // CELL_ROWS)
+    found = stage(sequences(docs, length, vocabulary, cells), "sequences")
+    counts = sorted((r.cell, r["count"]) for r in found.groupBy("cell").count().collect())  # a row a cell
     count = sum(n for _, n in counts)
-    before = np.zeros(CELLS, np.int64)
+    before = np.zeros(cells, np.int64)
     at = 0
     for cell, n in counts:
         before[cell] = at
         at += n
 
+    shared = docs.sparkSession.sparkContext.broadcast(before)  # a number a cell
+
     @F.pandas_udf("long")
     def slot(cell: pd.Series, number: pd.Series) -> pd.Series:
-        return pd.Series(permute(before[cell.to_numpy()] + number.to_numpy(), count, seed))
+        return pd.Series(permute(shared.value[cell.to_numpy()] + number.to_numpy(), count, seed))
 
     placed = found.withColumn("slot", slot("cell", "number")).withColumn("shard", F.floor(F.col("slot") / rows).cast("long"))
     placed = placed.withColumn("byte_offset", (F.col("slot") % rows) * (2 * length))
