@@ -43,22 +43,28 @@ def drop_historic(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+#: The spellings that input files use.
+DISEASE_NAMES = {
+    "COVID": ["covid", "sars-cov-2", "sars cov 2", "sars_cov_2", "sarscov2"],
+    "Influenza": ["influenza", "flu"],
+    "RSV": ["rsv"],
+}
+
+
 def norm_disease(c: Column | str) -> Column:
-    """COVID / Influenza / RSV from free text; other labels stay as given."""
+    """COVID / Influenza / RSV from their listed names alone; other labels are trimmed and capitalised."""
     s = F.lower(F.trim(_c(c)))
-    return (
-        F.when(s.rlike("covid|sars|coronavirus"), "COVID")
-        .when(s.rlike("flu"), "Influenza")
-        .when(s.rlike("rsv|respiratory syncytial"), "RSV")
-        .otherwise(F.trim(_c(c)))
-    )
+    found = F.initcap(F.regexp_replace(s, "-", "- "))
+    for name, listed in DISEASE_NAMES.items():
+        found = F.when(s.isin(*listed), name).otherwise(found)
+    return F.regexp_replace(found, "- ", "-")
 
 
 def norm_region_level(c: Column | str) -> Column:
     s = F.lower(F.trim(_c(c)))
     return (
         F.when(s.contains("county"), "county")
-        .when(s.contains("sewershed") | s.contains("utility"), "sewershed")
+        .when(s.contains("sewer") | s.contains("wwtp") | s.contains("plant") | s.contains("utility"), "sewershed")
         .otherwise(s)
     )
 

@@ -24,7 +24,7 @@ def season_name(month: Column) -> Column:
 def add_period_fields(df: DataFrame, week: str = "week") -> DataFrame:
     """year, month, year_month, quarter, year_quarter, season, season_year, year_season.
 
-    December counts to the following year's winter.
+    Quarters read Q1 and 2024-Q1. December counts to the following year's winter.
     """
     d = F.col(week)
     return df.withColumns(
@@ -32,8 +32,8 @@ def add_period_fields(df: DataFrame, week: str = "week") -> DataFrame:
             "year": F.year(d),
             "month": F.month(d),
             "year_month": F.date_format(d, "yyyy-MM"),
-            "quarter": F.quarter(d),
-            "year_quarter": F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")),
+            "quarter": F.concat(F.lit("Q"), F.quarter(d).cast("string")),
+            "year_quarter": F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string")),
             "season": season_name(F.month(d)),
             "season_year": F.year(d) + F.when(F.month(d) == 12, 1).otherwise(0),
         }

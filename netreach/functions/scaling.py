@@ -15,7 +15,7 @@ def with_group_stats(df: DataFrame, parts: list[str], stats: DataFrame) -> DataF
 
 
 def minmax(df: DataFrame, cols: dict[str, str], parts: list[str] | None = None) -> DataFrame:
-    """(x - min) / (max - min) for each ``source: target``; 0 for a constant or short column."""
+    """(x - min) / (max - min) for each ``source: target``; 0 for a constant or empty column, else null stays null."""
     parts = parts or []
     stats = df.groupBy(*parts).agg(
         *[F.min(c).alias(f"_lo_{t}") for c, t in cols.items()],
@@ -23,9 +23,9 @@ def minmax(df: DataFrame, cols: dict[str, str], parts: list[str] | None = None)
     )
     out = with_group_stats(df, parts, stats)
     scaled = {
-        t: F.coalesce(
-            F.try_divide(F.col(c) - F.col(f"_lo_{t}"), F.col(f"_hi_{t}") - F.col(f"_lo_{t}")), F.lit(0.0)
-        )
+        t: F.when(
+            F.col(f"_hi_{t}") > F.col(f"_lo_{t}"), (F.col(c) - F.col(f"_lo_{t}")) / (F.col(f"_hi_{t}") - F.col(f"_lo_{t}"))
+        ).otherwise(0.0)
         for c, t in cols.items()
     }
     return out.withColumns(scaled).drop(*[f"_lo_{t}" for t in cols.values()], *[f"_hi_{t}" for t in cols.values()])

@@ -34,7 +34,7 @@ def mean_rank_order(features: DataFrame, metrics: list[str], n: int) -> DataFram
 
 
 def greedy_cover(pairs: DataFrame, sites: DataFrame, n: int, restage: int = 8) -> list[tuple[str, float]]:
-    """At most n sites, each adding the most new mass; stops when nothing is new.
+    """At most n sites, each adding the most new mass; when nothing is new, the other sites with items by tie and name.
 
     ``pairs``: (wwtp, item, mass), ``sites``: (wwtp, tie).  A round is one job that returns one
     row; covered items are taken off the table and the shrunken table is staged now and then.
@@ -56,6 +56,10 @@ def greedy_cover(pairs: DataFrame, sites: DataFrame, n: int, restage: int = 8) -
             break
         picks.append((best["wwtp"], best["gain"]))
         fresh.append(best["wwtp"])
+    if len(picks) < n:
+        linked = pairs.select("wwtp").distinct().join(sites, "wwtp").filter(~F.col("wwtp").isin([w for w, _ in picks]))
+        more = linked.orderBy(F.desc(F.round("tie", 9)), "wwtp").limit(n - len(picks)).select("wwtp").collect()
+        picks += [(r["wwtp"], 0.0) for r in more]
     return picks
 
 

@@ -21,17 +21,17 @@ EDGE_KEY = ["week", "direction", "wwtp", "county_fips"]
 
 
 def weekly_od(daily: DataFrame) -> DataFrame:
-    """Mean of the available daily records per week; a missing day is not a zero."""
+    """Mean of the available daily records per week; a missing day is not a zero. Rows of no known direction are left out."""
     dest = F.lower("direction") == "destination"
     return (
         daily.select(
             F.date_trunc("week", "day").cast("date").alias("week"),
-            F.when(dest, INBOUND).otherwise(OUTBOUND).alias("direction"),
+            F.when(dest, INBOUND).when(F.lower("direction") == "origin", OUTBOUND).alias("direction"),
             F.when(dest, F.col("sewershed_d")).otherwise(F.col("sewershed_o")).alias("wwtp"),
             F.col("county").alias("county_fips"),
             *MEASURES,
         )
-        .filter(F.col("week").isNotNull() & F.col("wwtp").isNotNull() & F.col("county_fips").isNotNull())
+        .filter(F.col("week").isNotNull() & F.col("direction").isNotNull() & F.col("wwtp").isNotNull() & F.col("county_fips").isNotNull())
         .groupBy(*EDGE_KEY)
         .agg(*[F.avg(m).alias(m) for m in MEASURES])
     )

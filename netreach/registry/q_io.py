@@ -246,9 +246,9 @@ def _f2(spark, sf):
 
 
 @register(
-    "F3_add_period_fields", "week:d year:i month:i year_month:s quarter:i year_quarter:s season:s season_year:i year_season:s",
-    f"""SELECT DISTINCT week, year(week) AS year, month(week) AS month, strftime(week, '%Y-%m') AS year_month, quarter(week) AS quarter,
-        CAST(year(week) AS VARCHAR) || 'Q' || CAST(quarter(week) AS VARCHAR) AS year_quarter,
+    "F3_add_period_fields", "week:d year:i month:i year_month:s quarter:s year_quarter:s season:s season_year:i year_season:s",
+    f"""SELECT DISTINCT week, year(week) AS year, month(week) AS month, strftime(week, '%Y-%m') AS year_month, 'Q' || CAST(quarter(week) AS VARCHAR) AS quarter,
+        CAST(year(week) AS VARCHAR) || '-Q' || CAST(quarter(week) AS VARCHAR) AS year_quarter,
         CASE WHEN month(week) IN (12, 1, 2) THEN 'Winter' WHEN month(week) IN (3, 4, 5) THEN 'Spring' WHEN month(week) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season,
         year(week) + CASE WHEN month(week) = 12 THEN 1 ELSE 0 END AS season_year,
         CAST(year(week) + CASE WHEN month(week) = 12 THEN 1 ELSE 0 END AS VARCHAR) || '-' || CASE WHEN month(week) IN (12, 1, 2) THEN 'Winter' WHEN month(week) IN (3, 4, 5) THEN 'Spring' WHEN month(week) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS year_season
@@ -283,14 +283,15 @@ def _f6(spark, sf):
 
 @register(
     "F7_norm_labels", "disease:s level:s metric:s n:i",
-    """SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'COVID' WHEN '2' THEN 'Influenza' WHEN '3' THEN 'RSV' ELSE o_orderpriority END AS disease,
+    """SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'COVID' WHEN '2' THEN 'Influenza' WHEN '3' THEN 'RSV' WHEN '4' THEN 'Parainfluenza' ELSE 'Sars-Cov-1' END AS disease,
        CASE WHEN o_orderstatus = 'F' THEN 'county' ELSE 'sewershed' END AS level, CASE WHEN o_orderstatus = 'P' THEN 'hosp' ELSE 'case' END AS metric, COUNT(*) AS n FROM orders GROUP BY 1, 2, 3""",
 )
 def _f7(spark, sf):
     p = F.substring("o_orderpriority", 1, 1)
     o = dt.table(spark, sf, "orders").select(
-        F.when(p == "1", " sars-cov-2").when(p == "2", "Flu A ").when(p == "3", "rsv").otherwise(F.col("o_orderpriority")).alias("d"),
-        F.when(F.col("o_orderstatus") == "F", "By County").otherwise("Utility sewershed").alias("l"),
+        F.when(p == "1", " sars-cov-2").when(p == "2", "FLU ").when(p == "3", "rsv").when(p == "4", "parainfluenza").otherwise("SARS-CoV-1").alias("d"),
+        F.when(F.col("o_orderstatus") == "F", "By County").when(F.col("o_orderstatus") == "P", "Treatment plant").when(p == "1", "WWTP")
+        .when(p == "2", "Sewer area").otherwise("Utility sewershed").alias("l"),
         F.when(F.col("o_orderstatus") == "P", "Hospitalized case rate").otherwise("Case rate").alias("m"))
     return o.groupBy(keys.norm_disease("d").alias("disease"), keys.norm_region_level("l").alias("level"), keys.norm_metric("m").alias("metric")).agg(
         F.count(F.lit(1)).alias("n"))

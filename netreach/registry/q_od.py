@@ -93,7 +93,7 @@ _SEASON = ("CASE WHEN month(week) IN (12, 1, 2) THEN 'Winter' WHEN month(week) I
            "WHEN month(week) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END")
 _SYEAR = "(year(week) + CASE WHEN month(week) = 12 THEN 1 ELSE 0 END)"
 _YS = f"CAST({_SYEAR} AS VARCHAR) || '-' || {_SEASON}"
-_YQ = "CAST(year(week) AS VARCHAR) || 'Q' || CAST(quarter(week) AS VARCHAR)"
+_YQ = "CAST(year(week) AS VARCHAR) || '-Q' || CAST(quarter(week) AS VARCHAR)"
 _Y = "CAST(year(week) AS VARCHAR)"
 
 

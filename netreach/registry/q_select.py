@@ -211,7 +211,7 @@ def _x8(spark, sf):
 
 TABLES["fx_selection"] = """
 SELECT wwtp, component, component_size, avg_rank, CASE WHEN component_size = 1 THEN CASE WHEN i <= 6 THEN 'reserved' ELSE 'pruning_rule' END
-   WHEN r = 1 THEN 'coverage_gain' WHEN r = 2 THEN 'saturation_component' ELSE 'component_quota_or_lower_gain' END AS method,
+   WHEN r = 1 THEN 'coverage_gain' WHEN r = 2 THEN 'saturation_component' ELSE 'not taken' END AS method,
  CASE WHEN component_size = 1 THEN i <= 6 ELSE r <= 2 END AS selected FROM (
  SELECT c.wwtp, component, component_size, final_rank AS avg_rank, row_number() OVER (PARTITION BY component_size ORDER BY ROUND(importance, 6) DESC, c.wwtp) AS i,
   row_number() OVER (PARTITION BY component ORDER BY final_rank, c.wwtp) AS r FROM fx_components c JOIN fx_importance m ON c.wwtp = m.wwtp)"""
@@ -234,7 +234,7 @@ def simple_selection(spark, sf):
     d = d.join(one, "wwtp", "left").join(multi, "wwtp", "left")
     method = (
         F.when(F.col("i").isNotNull(), "reserved").when(F.col("component_size") == 1, "pruning_rule").when(F.col("r") == 1, "coverage_gain")
-        .when(F.col("r") == 2, "saturation_component").otherwise("component_quota_or_lower_gain")
+        .when(F.col("r") == 2, "saturation_component").otherwise("not taken")
     )
     sel = F.col("i").isNotNull() | F.col("r").isNotNull()
     return stage(d.select("wwtp", "component", "component_size", "avg_rank", method.alias("method"), sel.alias("selected"),

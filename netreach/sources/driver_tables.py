@@ -96,8 +96,8 @@ def clinical(spark: SparkSession, sf: str) -> DataFrame:
         _county("c_nationkey").alias("region"),
         F.element_at(
             F.create_map(
-                F.lit("1"), F.lit("SARS-CoV-2 covid"),
-                F.lit("2"), F.lit("Influenza A"),
+                F.lit("1"), F.lit("SARS-CoV-2"),
+                F.lit("2"), F.lit("Flu"),
                 F.lit("3"), F.lit("RSV"),
             ),
             F.substring("o_orderpriority", 1, 1),

@@ -79,12 +79,13 @@ def skipped_files(spark: SparkSession, path: str) -> DataFrame:
     return p.filter(date_from_path(F.col("path")).isNull()).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_weekly_edges(edges: DataFrame, path: str, split_weeks: int = 1) -> None:
+def write_weekly_edges(edges: DataFrame, path: str, rows_in_file: int = 5_000_000) -> None:
     """Weekly edge list partitioned by week, sorted by direction inside the files.
 
-    One shuffle by week, split by a hash of the site so that no task holds a whole week.
+    One shuffle by week and a hash of the edge, split so far that a task writes about ``rows_in_file`` rows of a week.
     """
-    split = F.pmod(F.xxhash64("wwtp"), F.lit(max(1, split_weeks)))
+    most = edges.groupBy("week").count().agg(F.max("count")).first()[0] or 0
+    split = F.pmod(F.xxhash64("wwtp", "county_fips"), F.lit(most // rows_in_file + 1))
     edges.repartition("week", split).sortWithinPartitions("week", "direction").write.mode("overwrite").partitionBy("week").parquet(path)
 
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from netreach.plans.ordering import top_rows
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet") -> DataFrame | None:
+def write_table(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet", rows_in_file: int = 5_000_000) -> DataFrame | None:
     """Write a table; with a partition column, return the manifest (value, path).
 
-    Rows are clustered by the partition column and split further at random, so that one large
-    site is written by several tasks.
+    Rows are clustered by the partition column; a value with more than ``rows_in_file`` rows is split further by a hash
+    of the row, so it is written by several tasks and a retried task writes the same rows.
     """
     if partition is None:
         df.write.mode("overwrite").format(fmt).option("header", True).save(path)
         return None
-    df.repartition(F.col(partition), F.floor(F.rand(7) * 4)).write.mode("overwrite").format(fmt).option("header", True).partitionBy(partition).save(path)
+    most = df.groupBy(partition).count().agg(F.max("count")).first()[0] or 0
+    split = F.pmod(F.xxhash64(*df.columns), F.lit(most // rows_in_file + 1))
+    df.repartition(F.col(partition), split).write.mode("overwrite").format(fmt).option("header", True).partitionBy(partition).save(path)
     return manifest(df, path, partition)
 
 

@@ -26,10 +26,10 @@ def weekly_od_stream(daily: DataFrame, late: str = "14 days") -> DataFrame:
     dest = F.lower("direction") == "destination"
     rows = daily.select(
         F.col("day").cast("timestamp").alias("at"),
-        F.when(dest, INBOUND).otherwise(OUTBOUND).alias("direction"),
+        F.when(dest, INBOUND).when(F.lower("direction") == "origin", OUTBOUND).alias("direction"),
         F.when(dest, F.col("sewershed_d")).otherwise(F.col("sewershed_o")).alias("wwtp"),
         F.col("county").alias("county_fips"), *MEASURES,
-    ).filter(F.col("wwtp").isNotNull() & F.col("county_fips").isNotNull())
+    ).filter(F.col("direction").isNotNull() & F.col("wwtp").isNotNull() & F.col("county_fips").isNotNull())
     week = F.window("at", "7 days", "7 days", "4 days")  # windows counted from a Thursday start on Mondays
     return (
         rows.withWatermark("at", late).groupBy(week.alias("w"), "direction", "wwtp", "county_fips")
