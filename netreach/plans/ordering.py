@@ -18,12 +18,19 @@ from pyspark.sql import functions as F
 
 from netreach.plans.staging import stage
 
-SAMPLE_ROWS = 4096
-MAX_BUCKETS = 256
+#: Sampled keys for each range.
+SAMPLE_A_RANGE = 16
 
 
 def _bucket_count(df: DataFrame) -> int:
-    return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null meeting null; the keys stay once."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _bucketed(df: DataFrame, parts: list[str], order: list[Column]) -> DataFrame:
@@ -32,19 +39,19 @@ def _bucketed(df: DataFrame, parts: list[str], order: list[Column]) -> DataFrame
     sample = (
         keyed.select(*parts, "_key")
         .orderBy(F.xxhash64("_key", *parts), "_key")
-        .limit(SAMPLE_ROWS)
+        .limit(SAMPLE_A_RANGE * n)
     )
     cuts = sample.groupBy(*parts).agg(F.array_sort(F.collect_list("_key")).alias("_all"))
     cuts = cuts.select(
         *parts,
-        F.transform(
+        F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.lit(n - 1)),
             lambda i: F.element_at("_all", (F.floor(i * F.size("_all") / n) + 1).cast("int")),
-        ).alias("_cuts"),
+        )).alias("_cuts"),
     )
-    # at most SAMPLE_ROWS keys in all, so the broadcast has a fixed bound
+    # distinct keys of the sample, so at most SAMPLE_A_RANGE x n of them over all groups
     if parts:
-        joined = keyed.join(F.broadcast(cuts), parts, "left")
+        joined = _join_null_safe(keyed, F.broadcast(cuts), parts, "left")
     else:
         joined = keyed.crossJoin(F.broadcast(cuts))
     at = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c <= F.col("_key")))
@@ -60,7 +67,7 @@ def _bucketed_offsets(rows: DataFrame, parts: list[str], sums: dict[str, Column]
         "_bkt",
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
     )
-    return rows.join(offsets, [*parts, "_bkt"])
+    return _join_null_safe(rows, offsets, [*parts, "_bkt"])
 
 
 def running_sums(
