@@ -43,9 +43,9 @@ def drop_historic(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-#: The spellings that input files use.
+#: The spellings that input files use; "covid-19" is an addition.
 DISEASE_NAMES = {
-    "COVID": ["covid", "sars-cov-2", "sars cov 2", "sars_cov_2", "sarscov2"],
+    "COVID": ["covid", "sars-cov-2", "sars cov 2", "sars_cov_2", "sarscov2", "covid-19"],
     "Influenza": ["influenza", "flu"],
     "RSV": ["rsv"],
 }

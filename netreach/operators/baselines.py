@@ -34,7 +34,7 @@ def mean_rank_order(features: DataFrame, metrics: list[str], n: int) -> DataFram
 
 
 def greedy_cover(pairs: DataFrame, sites: DataFrame, n: int, restage: int = 8) -> list[tuple[str, float]]:
-    """At most n sites, each adding the most new mass; when nothing is new, the other sites with items by tie and name.
+    """At most n sites, each adding the most new mass; stops when nothing is new.
 
     ``pairs``: (wwtp, item, mass), ``sites``: (wwtp, tie).  A round is one job that returns one
     row; covered items are taken off the table and the shrunken table is staged now and then.
@@ -56,13 +56,18 @@ def greedy_cover(pairs: DataFrame, sites: DataFrame, n: int, restage: int = 8) -
             break
         picks.append((best["wwtp"], best["gain"]))
         fresh.append(best["wwtp"])
-    if len(picks) < n:
-        linked = pairs.select("wwtp").distinct().join(sites, "wwtp").filter(~F.col("wwtp").isin([w for w, _ in picks]))
-        more = linked.orderBy(F.desc(F.round("tie", 9)), "wwtp").limit(n - len(picks)).select("wwtp").collect()
-        picks += [(r["wwtp"], 0.0) for r in more]
     return picks
 
 
+def linked_tail(picks: list[tuple[str, float]], pairs: DataFrame, sites: DataFrame, n: int) -> list[tuple[str, float]]:
+    """The picks, then up to ``n`` in all the other sites with items, which add nothing new, by tie and name."""
+    if len(picks) >= n:
+        return picks
+    linked = pairs.select("wwtp").distinct().join(sites, "wwtp").filter(~F.col("wwtp").isin([w for w, _ in picks]))
+    more = linked.orderBy(F.desc(F.round("tie", 9)), "wwtp").limit(n - len(picks)).select("wwtp").collect()
+    return picks + [(r["wwtp"], 0.0) for r in more]
+
+
 def _with_fill(features: DataFrame, picks: list[tuple[str, float]], fill: str, n: int | None) -> DataFrame:
     """Picked sites, then the others by a metric; ``n=None`` orders every site."""
     spark = features.sparkSession
@@ -95,7 +100,7 @@ def greedy_new_area(links: DataFrame, features: DataFrame, n: int, direction: st
     pairs = per.join(mass, "bg_fips").select("wwtp", F.col("bg_fips").alias("item"), "mass")
     tie = minmax(features.fillna(0.0, METRICS), {"area_reached": "_a", "pop_covered_by_od": "_p", "od_volume_total": "_v"})
     tie = stage(tie.select("wwtp", (F.col("_a") + 0.01 * F.col("_p") + 0.0001 * F.col("_v")).alias("tie")))
-    return _with_fill(features, greedy_cover(pairs, tie, n), "area_reached", None if full else n)
+    return _with_fill(features, linked_tail(greedy_cover(pairs, tie, n), pairs, tie, n), "area_reached", None if full else n)
 
 
 def greedy_new_polygon_area(cells: DataFrame, features: DataFrame, cell_area: float, n: int, full: bool = False) -> DataFrame:
