@@ -5,7 +5,7 @@ stretch of it is within ``EDITS`` x the item's length edits. For each class of s
 
 1. Windows of the class's length start at every word. A window that could be within the edits shares at least
    length - Q + 1 - Q x edits of its runs of Q letters with the item (q-gram lemma), so windows with fewer runs known
-   from any item are passed over. This step loses nothing; it keeps the rest affordable.
+   from the class's items are passed over. This step loses nothing; it keeps the rest affordable.
 2. The windows left and the items are embedded by CGK random walks, which turn edit distance into Hamming distance, and
    ``SAMPLES`` samples of ``BITS`` places of each of ``WALKS`` walks are bucket keys. Windows meet the items in their
    buckets. Repetitions are set for the recall ``TARGET`` at the Hamming share ``SPREAD``: 1 - (1 - (1 - SPREAD)^BITS)^n.
@@ -19,7 +19,6 @@ rows each, other columns are ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,7 @@ EDITS = 0.06
 Q = 10
 #: Ratio of the longest to the shortest item of a class.
 CLASS = 1.12
-WALKS, SAMPLES, BITS = 4, 8, 8
+WALKS, SAMPLES, BITS = 4, 8, 6
 #: The Hamming share of the embeddings of a pair at the allowed edits, about, and the recall wanted there.
 SPREAD, TARGET = 0.2, 0.95
 assert 1 - (1 - (1 - SPREAD) ** BITS) ** (WALKS * SAMPLES) >= TARGET
@@ -44,11 +43,8 @@ SEED = 5
 #: Windows embedded at a time, about, rows taken from an Arrow batch at a time.
 WINDOWS, SLICE = 20_000, 128
 
-_SPACE = re.compile("[\x20\x09-\x0D]+")
-
-
 def plain(text: str | None) -> str:
-    return _SPACE.sub(" ", text or "").strip().lower()
+    return " ".join((text or "").lower().split())
 
 
 def codes(text: str) -> np.ndarray:
@@ -56,14 +52,24 @@ def codes(text: str) -> np.ndarray:
 
 
 def run_slots(c: np.ndarray) -> np.ndarray:
-    """The slot of each run of Q letters."""
-    x = np.zeros(max(0, len(c) - Q + 1), np.uint64)
-    for k in range(Q):
-        x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ c[k:len(c) - Q + 1 + k].astype(np.uint64)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
+    """The slot of each run of Q letters, from the hashes of runs of 1, 2, 4, ... letters."""
+    pieces, step, x = {1: c.astype(np.uint64)}, 1, None
+    while 2 * step <= Q:
+        pieces[2 * step] = (pieces[step][:-step] * _M) ^ (pieces[step][step:] + np.uint64(step))
+        step *= 2
+    have = 0
+    for step in sorted(pieces, reverse=True):
+        if have + step <= Q:
+            part = pieces[step][have:]
+            x = part if x is None else (x[:len(part)] * _M) ^ part[:len(x)]
+            have += step
+    x = x[:len(c) - Q + 1] * np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
 def embed(strings: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.ndarray:
     """CGK: rows of letters to rows of ``steps`` letters; a step writes the letter it stands on and moves on or stays.
 
@@ -132,6 +138,9 @@ class Class:
     least_runs: int
 
 
+_NONE = np.empty(0, np.int64)
+
+
 def letters(c: np.ndarray) -> np.ndarray:
     """Letters in one byte, never 0."""
     return (c % 255 + 1).astype(np.uint8)
@@ -141,10 +150,9 @@ class Finder:
     def __init__(self, items: list[tuple[int, str]]):
         self.short = [(i, t) for i, t in items if len(t) < Q]
         long = sorted(((i, t) for i, t in items if len(t) >= Q), key=lambda x: len(x[1]))
-        self.known = np.zeros(1 << SLOTS, bool)
+        #: for each slot the classes that know it, a bit each; classes 64 apart share one
+        self.known = np.zeros(1 << SLOTS, np.uint64)
         self.classes: list[Class] = []
-        for _, t in long:
-            self.known[run_slots(codes(t))] = True
         k = 0
         while k < len(long):
             upto = k
@@ -152,6 +160,8 @@ class Finder:
                 upto += 1
             part = long[k:upto]
             length = len(part[0][1])
+            for _, t in part:
+                self.known[run_slots(codes(t))] |= np.uint64(1 << len(self.classes) % 64)
             most = int(EDITS * len(part[-1][1]))
             # items are cut to the class's length for their keys: windows have that length
             rows = np.stack([letters(codes(t[:length])) for _, t in part])
@@ -172,15 +182,20 @@ class Finder:
         c = codes(text)
         if len(c) < Q or not self.classes:
             return held, []
-        hits = np.concatenate([[0], np.cumsum(self.known[run_slots(c)])])
-        if hits[-1] < self.fewest:
+        known = self.known[run_slots(c)]
+        place = np.flatnonzero(known)
+        if len(place) < self.fewest:
             return held, []
-        starts = np.concatenate([[0], np.flatnonzero(c == 32) + 1])
-        begin = hits[np.minimum(starts, len(hits) - 1)]
-        found = []
-        for group in self.classes:
-            end = hits[np.minimum(starts + group.length - Q + 1, len(hits) - 1)]
-            found.append(starts[end - begin >= group.least_runs])
+        known, starts, found = known[place], None, []
+        for k, group in enumerate(self.classes):
+            own = place[(known >> np.uint64(k % 64) & np.uint64(1)).astype(bool)]
+            if len(own) < group.least_runs:
+                found.append(_NONE)
+                continue
+            if starts is None:
+                starts = np.concatenate([[0], np.flatnonzero(c == 32) + 1])
+            runs = np.searchsorted(own, starts + group.length - Q + 1) - np.searchsorted(own, starts)
+            found.append(starts[runs >= group.least_runs])
         return held, found if any(map(len, found)) else []
 
     def resolve(self, texts: list[str], windows: list[list[np.ndarray]], held: list[dict[int, int]]) -> None:
@@ -261,7 +276,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame
                         if short or open_:
                             # waits until enough windows have gathered
                             texts.append(text)
-                            windows.append(open_ or [np.empty(0, np.int64)] * len(finder.classes))
+                            windows.append(open_ or [_NONE] * len(finder.classes))
                             held.append(short)
                             rows.append((part.slice(at, 1), before))
                             waiting += sum(map(len, open_)) + 20
