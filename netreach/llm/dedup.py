@@ -43,9 +43,10 @@ class DigestIndex:
 
     def ingest(self, digests: DataFrame) -> None:
         """Append the digests of a batch (doc_id, digest, salt) that the index lacks, each with its smallest id."""
-        first = (
+        # staged, as the optimizer would else put the join below both sums and bring all rows of a digest together
+        first = stage(
             digests.groupBy("digest", "salt").agg(F.min("doc_id").alias("keep_id"))
-            .groupBy("digest").agg(F.min("keep_id").alias("keep_id"))
+            .groupBy("digest").agg(F.min("keep_id").alias("keep_id")), "first-digests"
         )
         new = first.join(self.rows().select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id")
         (new.repartition(self.buckets, "digest").write.format("parquet").mode("append")
