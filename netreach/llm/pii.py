@@ -14,8 +14,8 @@ which is 1 if the word is in no other text. A pair seen in at least ``SUPPORT``
 
 All of it is DataFrame operations. Positions come from the text's pieces between matches, in code points, end exclusive.
 Patterns use possessive quantifiers and start only where a run of their letters starts, so a run of any length is read
-once and without recursion; they match what the plain forms match. Pairs are counted before they are joined; only words
-of pairs with support are looked for in the corpus. A null text is empty. Rows with equal id and text share their result;
+once and without recursion; they match what the plain forms match. Pairs and words are counted before they are
+joined. A null text is empty. Rows with equal id and text share their result;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -136,7 +136,8 @@ def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame:
     entities = held.distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     wanted = stage(pairs.select("term").distinct(), "terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\p{L}{4,}+"), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).join(small(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join, so it meets a row for each word of the vocabulary, not for each use
+    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(small(wanted), "term")
     total = docs.count()
     joined = pairs.join(entities, "entity").join(terms, "term")
     information = F.log(F.lit(float(total)) / F.col("n_e"))
