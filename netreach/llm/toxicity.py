@@ -1,9 +1,10 @@
 """Toxicity by a learned lexicon: misspelled terms too, and quotation told from abuse by a context window.
 
 1. The lexicon is learned from a bounded sample of labelled texts: words, and word beginnings of three letters or more,
-   that are in many toxic texts and in few others. Like counts along a beginning are one term, its longest form.
-2. Terms stand in a trie, which is met with Levenshtein automata (``lexicon``): one edit for words of five letters, two
-   from nine on, none for word beginnings.
+   that are in significantly many toxic texts and in few others; copies of a text count once. Like counts along a
+   beginning are one term, its longest form; words that are significant themselves stay beside their beginning.
+2. All terms stand in tries, which are met with Levenshtein automata (``lexicon``): one edit for words and word beginnings
+   of five letters, two from nine on.
 3. Each hit is read in its context: inside quotation marks or beside a word of report it counts as quoted; beside a word
    of address it counts as aimed. A logistic model over exact, misspelled, quoted and aimed hits gives the score. A
    misspelled hit is weighed as an exact one unless the labels say otherwise.
@@ -15,25 +16,29 @@ rows give rows each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netreach.llm.common import stage
+from netreach.llm.common import stage, text_or_empty
 from netreach.llm.labelled import held_out, training_texts
 from netreach.llm.lexicon import Matcher, Term
 
 #: Labelled texts of each class that the lexicon and the model are learned from, at most.
 TRAINING = 4_000
-#: Terms in the lexicon at most, and those of them that are met with automata of edits.
-TERMS, FORGIVING = 200, 60
-#: A term is in at least so many toxic texts of the sample and such a share of them (chance words and words of copies
-#: are in few), and so many times as often there as elsewhere.
-LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 20.0
+#: Terms in the lexicon at most; words beside a beginning are not counted.
+TERMS = 200
+#: A term is in at least so many distinct toxic texts of the sample, and so many times as often there as elsewhere.
+LEAST_TEXTS, LEAST_RATIO = 3, 20.0
+#: Forms as common as a term that would be as toxic by chance, at most, if labels were dealt at random.
+CHANCE = 0.1
 #: Letters of word beginnings.
 SHORTEST, LONGEST = 3, 8
 #: Letters around a hit that are read for quotation marks, and words that are read for report or address.
@@ -50,53 +55,96 @@ FEATURES = ["exact", "misspelled", "quoted", "aimed", "dense", "one"]
 
 @dataclass
 class Model:
-    terms: list[Term] = field(default_factory=list)
+    matcher: Matcher = field(default_factory=lambda: Matcher([]))
     ordinary: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
 
 
-def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> list[Term]:
-    """Terms from (text, stem, toxic texts, other texts); a stem gives way to a longer form that has nearly its texts."""
-    rate = lambda hit, other: np.log((hit + 0.5) / (toxic + 1)) - np.log((other + 0.5) / (clean + 1))
-    least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
-    good = {(t, s): (a, rate(a, b)) for t, s, a, b in counts if a >= least and rate(a, b) >= np.log(LEAST_RATIO)}
-    chosen: list[Term] = []
-    for text, stem in sorted(good, key=lambda x: (len(x[0]), not x[1])):
-        if any(c.stem and text.startswith(c.text) for c in chosen):
-            continue
-        texts, weight = good[text, stem]
+def log_rate(hit, other, toxic: int, clean: int):
+    return np.log((hit + 0.5) / (toxic + 1)) - np.log((other + 0.5) / (clean + 1))
+
+
+def chance(hit: int, other: int, toxic: int, clean: int) -> float:
+    """How likely at least ``hit`` of the texts with a form are toxic, if each is so with the sample's share."""
+    n, p = hit + other, toxic / (toxic + clean)
+    at = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return sum(math.exp(at(k)) for k in range(hit, n + 1))
+
+
+def significant(hit: int, other: int, toxic: int, clean: int, as_common: int) -> bool:
+    """Whether a form is toxic beyond chance, where ``as_common`` forms are in as many texts or more."""
+    if hit < LEAST_TEXTS or log_rate(hit, other, toxic, clean) < np.log(LEAST_RATIO):
+        return False
+    return chance(hit, other, toxic, clean) * as_common <= CHANCE
+
+
+def choose_terms(good: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> list[Term]:
+    """Terms from significant (text, stem, toxic texts, other texts); a stem gives way to a longer form that has nearly its texts.
+
+    The good words that begin with a chosen stem come along with it.
+    """
+    texts = {(t, s): a for t, s, a, _ in good}
+    weight = {(t, s): float(log_rate(a, b, toxic, clean)) for t, s, a, b in good}
+    # the most texts of a longer form, for each beginning
+    longer: dict[str, int] = {}
+    for (text, stem), a in texts.items():
+        for n in range(SHORTEST, min(len(text), LONGEST) + 1):
+            if not stem or n < len(text):
+                longer[text[:n]] = max(longer.get(text[:n], 0), a)
+    chosen: set[tuple[str, bool]] = set()
+    beside: dict[str, list[str]] = {}
+    for text, stem in sorted(texts, key=lambda x: (len(x[0]), not x[1])):
+        above = next((text[:n] for n in range(SHORTEST, min(len(text), LONGEST) + 1) if (text[:n], True) in chosen), None)
+        if above is not None:
+            if not stem and text != above:
+                beside.setdefault(above, []).append(text)
+        elif not stem or longer.get(text, 0) < 0.9 * texts[text, stem]:
+            chosen.add((text, stem))
+    out: list[Term] = []
+    for text, stem in sorted(chosen, key=lambda x: (-texts[x] * weight[x], x))[:TERMS]:
+        out.append(Term(text, stem, weight[text, stem]))
         if stem:
-            longer = [x for x in good if x[0].startswith(text) and x != (text, True)]
-            if any(good[x][0] >= 0.9 * texts for x in longer):
-                continue  # the longer form comes later
-        chosen.append(Term(text, stem, float(weight)))
-    chosen.sort(key=lambda t: -good[t.text, t.stem][0] * t.weight)
-    return chosen[:TERMS]
+            out += [Term(x, False, weight[x, False]) for x in beside.get(text, ())]
+    return out
 
 
-def learn_terms(texts: DataFrame) -> tuple[list[Term], frozenset[str]]:
+def learn_terms(texts: DataFrame) -> tuple[Matcher, frozenset[str]]:
     """The lexicon, and words that resemble a term but are ordinary ones: in several clean texts of the sample."""
+    texts = texts.select("label", "text", F.xxhash64(text_or_empty()).alias("doc_id")).dropDuplicates(["label", "doc_id"])
     sizes = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return [], frozenset()
+        return Matcher([]), frozenset()
     word = texts.select("label", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
     begins = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda n: F.struct(F.substring("word", F.lit(1), n).alias("text"), F.lit(True).alias("stem"), n.alias("n")))
     forms = F.concat(F.filter(begins, lambda x: x["n"] <= F.length("word")), F.array(F.struct(F.col("word").alias("text"), F.lit(False).alias("stem"), F.length("word").alias("n"))))
     forms = word.select("label", "doc_id", F.explode(forms).alias("f")).select("label", "doc_id", "f.text", "f.stem").distinct()
     counts = forms.groupBy("text", "stem").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     counts = stage(counts.where("a >= 2 OR b >= 2"), "forms")
-    floor = LEAST_RATIO * sizes[1] / sizes[0]
-    rows = counts.where((F.col("a") >= LEAST_TEXTS) & (F.col("a") + 1 > F.col("b") * floor)).orderBy(F.desc("a"), "text", "stem").limit(50 * TERMS).collect()
-    terms = choose_terms([(r.text, r.stem, r.a, r.b) for r in rows], sizes[1], sizes[0])
+    toxic, clean = sizes[1], sizes[0]
+    # a row for each number of texts, at most as many as the sample has
+    many = sorted(((r.n, r["count"]) for r in counts.groupBy((F.col("a") + F.col("b")).alias("n")).count().collect()), reverse=True)
+    as_common, total = {}, 0
+    for n, forms_of_n in many:
+        total += forms_of_n
+        as_common[n] = total
+
+    def good(batches):
+        for batch in batches:
+            kept = [significant(a, b, toxic, clean, as_common[a + b]) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    rows = counts.where(F.col("a") >= LEAST_TEXTS).mapInArrow(good, counts.schema).collect()
+    matcher = Matcher(choose_terms([(r.text, r.stem, r.a, r.b) for r in rows], toxic, clean))
+    shared = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(matcher))  # a lexicon of bounded size, by value
 
     def resemble(batches):
-        matcher = Matcher(terms[:FORGIVING])
+        matcher = pickle.loads(shared.value)
         for batch in batches:
             found = matcher.match(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, (_, edits) in found.items() if edits], pa.string())})
 
     ordinary = counts.where("NOT stem AND b >= 2 AND b >= a").select("text").mapInArrow(resemble, "word string").collect()
-    return terms, frozenset(r.word for r in ordinary)
+    return matcher, frozenset(r.word for r in ordinary)
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -111,13 +159,9 @@ def quoted(text: str, start: int, end: int) -> bool:
     return mark != '"' or before.count('"') % 2 == 1
 
 
-def scorer(terms: list[Term], ordinary: frozenset[str]):
+def scorer(matcher: Matcher, ordinary: frozenset[str]):
     """A function from texts to a matrix of FEATURES."""
-    forgiving = terms[:FORGIVING]
-    exact = {t.text: k for k, t in enumerate(terms) if not t.stem}
-    # what lies beyond the forgiving ones is matched as it is written
-    matcher = Matcher(forgiving + [t for t in terms[FORGIVING:] if t.stem])
-    weight = {t: t.weight for t in terms}
+    weight = {t: t.weight for t in matcher.terms}
 
     def features(texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), len(FEATURES)))
@@ -132,7 +176,6 @@ def scorer(terms: list[Term], ordinary: frozenset[str]):
             words = [WORD.findall(x) for x in lowered[at:upto]]
             known = list(set().union(*words))
             hits = {w: (matcher.terms[k], e) for w, (k, e) in matcher.match(known).items() if not e or w not in ordinary}
-            hits |= {w: (terms[exact[w]], 0) for w in known if w in exact}
             for k, own in enumerate(words):
                 if not hits or hits.keys().isdisjoint(own):
                     continue
@@ -176,18 +219,19 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most: int = TRAINING) -> Model:
     texts = training_texts(docs, labels, "toxic", folds, fold, most)
-    terms, ordinary = learn_terms(texts)
-    if not terms:
+    matcher, ordinary = learn_terms(texts)
+    if not matcher.terms:
         return Model()
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((matcher, ordinary)))  # a lexicon of bounded size, words of the sample
 
     def run(batches):
-        features = scorer(terms, ordinary)
+        features = scorer(*pickle.loads(shared.value))
         for batch in batches:
             x = features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "label": batch.column(1)})
 
     rows = texts.select("text", "label").mapInArrow(run, "x array<double>, label int").collect()  # at most 2 x most
-    return Model(terms, ordinary, fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float)))
+    return Model(matcher, ordinary, fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -195,10 +239,11 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     found = docs.select(*keep, F.col("text").alias("_text"))
     if model.weights is None:
         return found.withColumn("score", F.lit(0.0)).drop("_text")
-    terms, ordinary, weights, n = model.terms, model.ordinary, model.weights, len(keep)
+    weights, n = model.weights, len(keep)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model.matcher, model.ordinary)))
 
     def run(batches):
-        features = scorer(terms, ordinary)
+        features = scorer(*pickle.loads(shared.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)

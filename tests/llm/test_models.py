@@ -78,3 +78,14 @@ def test_quality(spark, docs_of, messy, nothing, no_labels):
     assert len(rows) == messy.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.quality(messy, no_labels).collect()} == {0.5}
     assert quality.quality(nothing, table).count() == 0
+
+
+def test_rare_terms_are_learned_and_copies_count_once(spark):
+    rng = random.Random(9)
+    terms = ["".join(rng.choice("bcdfghjklmnpqrstvwz") for _ in range(9)) for _ in range(100)]
+    rows = [(f"{words(rng, 6)} {t} {words(rng, 6)}", 1) for t in terms for _ in range(16)]
+    rows += [("a text that has copiedword in it", 1)] * 60 + [(words(rng, 12), 0) for _ in rows]
+    texts = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, label int")
+    matcher, _ = toxicity.learn_terms(texts)
+    # each is in one toxic text of a hundred
+    assert set(matcher.match(terms)) == set(terms) and not matcher.match(["copiedword"])
