@@ -89,3 +89,26 @@ def test_rare_terms_are_learned_and_copies_count_once(spark):
     matcher, _ = toxicity.learn_terms(texts)
     # each is in one toxic text of a hundred
     assert set(matcher.match(terms)) == set(terms) and not matcher.match(["copiedword"])
+
+
+def test_every_term_and_beginning_forgives_edits(spark):
+    rng = random.Random(10)
+    terms = [Term("".join(rng.choice("bcdfghjklmnpqrstvwz") for _ in range(rng.randrange(5, 10))), k % 4 == 0, 1.0) for k in range(150)]
+    texts = [t.text[:2] + "x" + t.text[3:] + ("ing" if t.stem else "") for t in terms]
+    features = toxicity.scorer(Matcher(terms), frozenset())(texts)
+    assert (features[:, 1] > 0).all() and not features[:, 0].any()
+    matcher = Matcher(terms[:40])
+    near = lambda w, t: min(distance(w[:n], t.text) for n in (range(len(w) + 1) if t.stem else [len(w)]))
+    every = {t.text[:k] + rng.choice(["", "b", "xx"]) + t.text[k + rng.randrange(2):] + rng.choice(["", "", "q", "ing"]) for t in terms[:40] for k in range(len(t.text))}
+    got = matcher.match(sorted(every))
+    for w in every:
+        edits = [near(w, t) for t in matcher.terms if near(w, t) <= edits_allowed(t)]
+        assert (w in got) == bool(edits) and (not edits or got[w][1] == min(edits))
+
+
+def test_words_stay_beside_a_beginning():
+    good = [("grobian", True, 100, 0), ("grobians", False, 40, 0), ("grobiansky", False, 40, 0), ("solo", False, 30, 0)]
+    terms = toxicity.choose_terms(good, 1000, 1000)
+    assert {(t.text, t.stem) for t in terms} == {("grobian", True), ("grobians", False), ("grobiansky", False), ("solo", False)}
+    # two edits of the word, both within the beginning
+    assert Matcher(terms).match(["grxxiansky"])["grxxiansky"][1] == 2
