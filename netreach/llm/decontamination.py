@@ -3,7 +3,7 @@
 Texts and items are compared in lower case with each run of white space as one space. A text holds an item if some
 stretch of it is within ``EDITS`` x the item's length edits. For each class of similar item lengths:
 
-1. Windows of the class's length start at every word. A window that could be within the edits shares at least
+1. Windows of the class's length start at every letter. A window that could be within the edits shares at least
    length - Q + 1 - Q x edits of its runs of Q letters with the item (q-gram lemma), so windows with fewer runs known
    from the class's items are passed over. This step loses nothing; it keeps the rest affordable.
 2. The windows left and the items are embedded by CGK random walks, which turn edit distance into Hamming distance, and
@@ -186,16 +186,21 @@ class Finder:
         place = np.flatnonzero(known)
         if len(place) < self.fewest:
             return held, []
-        known, starts, found = known[place], None, []
+        known, found = known[place], []
         for k, group in enumerate(self.classes):
             own = place[(known >> np.uint64(k % 64) & np.uint64(1)).astype(bool)]
             if len(own) < group.least_runs:
                 found.append(_NONE)
                 continue
-            if starts is None:
-                starts = np.concatenate([[0], np.flatnonzero(c == 32) + 1])
-            runs = np.searchsorted(own, starts + group.length - Q + 1) - np.searchsorted(own, starts)
-            found.append(starts[runs >= group.least_runs])
+            # a window has enough runs if the last of them that it needs is near enough to one that it starts at or before
+            span, last = group.length - Q + 1, group.least_runs - 1
+            first, upto = own[:len(own) - last], own[last:]
+            low, high = np.maximum(0, upto - span + 1), first
+            low, high = low[low <= high], high[low <= high]
+            # the starts from low to high, each once; both rise
+            low = np.maximum(low, np.concatenate([[0], high[:-1] + 1]))
+            count = np.maximum(0, high - low + 1)
+            found.append(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum()))
         return held, found if any(map(len, found)) else []
 
     def resolve(self, texts: list[str], windows: list[list[np.ndarray]], held: list[dict[int, int]]) -> None:
@@ -203,28 +208,38 @@ class Finder:
         for k, group in enumerate(self.classes):
             owner = np.repeat(np.arange(len(texts)), [len(w[k]) for w in windows])
             start = np.concatenate([w[k] for w in windows])
+            plain_letters: dict[int, np.ndarray] = {}
             for upto in range(0, len(start), WINDOWS):
                 own, at = owner[upto:upto + WINDOWS], start[upto:upto + WINDOWS]
                 rows, length = np.zeros((len(at), group.length), np.uint8), np.zeros(len(at), np.int64)
                 for n, (x, y) in enumerate(zip(own.tolist(), at.tolist(), strict=True)):
-                    part = letters(codes(texts[x][y:y + group.length]))
+                    if x not in plain_letters:
+                        plain_letters = {x: letters(codes(texts[x]))}
+                    part = plain_letters[x][y:y + group.length]
                     rows[n, :len(part)], length[n] = part, len(part)
-                tried: set[tuple[int, int]] = set()
+                met: dict[tuple[int, int], set[int]] = {}
                 for key, bucket in zip(keys(rows, length, group.steps), group.buckets, strict=True):
                     for n in np.flatnonzero(np.isin(key, np.fromiter(bucket, np.uint64, len(bucket)))).tolist():
                         for item in bucket[int(key[n])]:
-                            if (item, n) not in tried:
-                                tried.add((item, n))
-                                self._verify(group, item, texts[own[n]], int(at[n]), held[own[n]])
+                            met.setdefault((int(own[n]), item), set()).add(int(at[n]))
+                for (x, item), places in met.items():
+                    self._verify(group, item, texts[x], sorted(places), held[x])
 
-    def _verify(self, group: Class, item: int, text: str, at: int, held: dict[int, int]) -> None:
+    def _verify(self, group: Class, item: int, text: str, places: list[int], held: dict[int, int]) -> None:
+        """Windows whose surroundings overlap are verified as one stretch."""
         ident, own = group.ids[item], group.texts[item]
-        if held.get(ident) == 0:
-            return
         room = int(EDITS * len(own))
-        edits = least_edits(own, text[max(0, at - room):at + len(own) + room])
-        if edits <= room and edits < held.get(ident, room + 1):
-            held[ident] = edits
+        reach = len(own) + room
+        first = 0
+        for k in range(1, len(places) + 1):
+            if k < len(places) and places[k] - room <= places[k - 1] + reach:
+                continue
+            if held.get(ident) == 0:
+                return
+            edits = least_edits(own, text[max(0, places[first] - room):places[k - 1] + reach])
+            if edits <= room and edits < held.get(ident, room + 1):
+                held[ident] = edits
+            first = k
 
     def find(self, text: str) -> dict[int, int]:
         """{item: edits} of the items that a plain text holds."""

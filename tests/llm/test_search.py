@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from conftest import words
 
 from netreach.llm import decontamination, license_scan, pii
@@ -125,3 +126,23 @@ def test_decontamination(spark, docs_of, messy, nothing):
     assert decontamination.drop_contaminated(messy, benchmark).columns == messy.columns
     assert decontamination.contaminated(messy, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontamination.contaminated(nothing, benchmark).count() == 0
+
+
+def test_items_that_begin_anywhere():
+    rng = random.Random(11)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    items = [" ".join(letters(rng.randrange(2, 8), "abcdefghijklmno") for _ in range(n)) for n in (14, 20, 30, 45) for _ in range(5)]
+    items += [letters(n, "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往") for n in (40, 100, 200) for _ in range(3)]
+    finder = decontamination.Finder(list(enumerate(items)))
+    for i, item in enumerate(items):
+        for glued in (1, 7, 20, 60, 400):
+            before, after = letters(glued, "pqrstuv"), letters(50, "pqrstuv")
+            assert finder.find(before + item + after) == {i: 0}
+    # the starts are those of all windows with enough known runs
+    text = letters(30, "pq") + items[3][:60] + letters(9, "pq") + items[3][40:] + items[9] + letters(90, "pq")
+    _, windows = finder.windows(text)
+    known = finder.known[decontamination.run_slots(decontamination.codes(text))]
+    for k, group in enumerate(finder.classes):
+        own = ((known >> np.uint64(k % 64)) & np.uint64(1)).astype(int).tolist()
+        want = [s for s in range(len(text)) if sum(own[s:s + group.length - decontamination.Q + 1]) >= group.least_runs]
+        assert windows[k].tolist() == want
