@@ -3,19 +3,20 @@ r"""Personal data, by patterns and by what words near them disclose about them.
 Base spans are e-mail and IP addresses, card and phone numbers, found in the whole text: leftmost, not overlapping within
 a kind; matches that fail their check (parts of an address, digits, Luhn) are dropped and not tried again.
 
-The method adds spans of words (information-theoretic sanitisation). An entity is a base span's value. Every word of four
-letters or more within ``NEAR`` letters of it is a candidate. Over the whole corpus, with n texts, of which n_e hold the
-entity, n_t the word, and n_et the word near the entity, a word discloses of the entity's information
+The method adds spans of words (information-theoretic sanitisation). An entity is a base span's value. A word is a run of
+letters outside the base spans, of any length. Every word of a text that holds the entity is a candidate. Over the whole
+corpus, with n texts, of which n_e hold the entity, n_t the word, and n_et both, a word discloses of the entity's information
 
     ln(n_et n / (n_e n_t)) / ln(n / n_e)
 
 which is 1 if the word is in no other text. A pair seen in at least ``SUPPORT`` texts is removed (kind ``term``) from
-``REMOVE`` on, and generalised (kind ``general``) from ``GENERALISE`` on. Base spans stay as they are.
+``REMOVE`` on, and generalised (kind ``general``) from ``GENERALISE`` on, at every place in the texts that hold the entity.
+Base spans stay as they are. In scripts without spaces a run of letters is a word, so names within it are not told apart.
 
 All of it is DataFrame operations. Positions come from the text's pieces between matches, in code points, end exclusive.
 Patterns use possessive quantifiers and start only where a run of their letters starts, so a run of any length is read
 once and without recursion; they match what the plain forms match. Pairs and words are counted before they are
-joined. A null text is empty. Rows with equal id and text share their result;
+joined; only texts with an entity of enough support give pairs. A null text is empty. Rows with equal id and text share their result;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -34,40 +35,36 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-NEAR = 60
 SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
-#: A word before a span is whole if something that is no letter stands before it, one after it if such stands after it.
-BEFORE, AFTER = r"(?<=[^\p{L}])\p{L}{4,}+", r"(?<!\p{L})\p{L}{4,}+(?=[^\p{L}])"
+WORD = r"\p{L}++"
+#: Matches that are placed at a time, so that the work grows with a text's matches and not with their square.
+BLOCK = 256
 
 
-def found(text: Column, pattern: str, near: bool = False) -> Column:
-    """Matches in order: struct(start, end, value), with the text before and after each if ``near``."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,value:string,left:string,right:string>>>"
+def found(text: Column, pattern: str | Column) -> Column:
+    """Matches in order: struct(start, end, value)."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    pieces = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+    out = "array<struct<start:int,end:int,value:string>>"
+    kind = f"struct<at:int,out:{out}>"
 
     def step(acc: Column, x: Column) -> Column:
         # a piece is the text up to a match, and the match; the last has none
-        start = acc["at"] + F.length(x["gap"])
-        before = acc["out"]
-        if near:
-            last = F.size(before) - 1
-            closed = F.when(last >= 0, F.concat(
-                F.slice(before, 1, F.greatest(last, F.lit(0))),
-                F.array(_with_right(F.element_at(before, -1), F.substring(x["gap"], 1, NEAR))))).otherwise(before)
-            left = F.substring(x["gap"], -NEAR, NEAR)
-        else:
-            closed, left = before, F.lit("")
-        own = F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), left.alias("left"), F.lit("").alias("right"))
-        out = F.when(x["value"].isNull(), closed).otherwise(F.concat(closed, F.array(own)))
-        return F.struct((start + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), out.alias("out")).cast(kind)
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        own = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
+        more = F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(own)))
+        return F.struct(end.alias("at"), more.alias("out")).cast(kind)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>").alias("out")).cast(kind)
-    return F.aggregate(pieces, start, step)["out"]
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("out")).cast(kind)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)), empty, step))
 
+    def place(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda y: F.struct((acc["at"] + y["start"]).alias("start"), (acc["at"] + y["end"]).alias("end"), y["value"].alias("value")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], moved).alias("out")).cast(kind)
 
-def _with_right(x: Column, right: Column) -> Column:
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), right.alias("right"))
+    return F.aggregate(blocks, empty, place)["out"]
 
 
 def digits(value: Column) -> Column:
@@ -94,72 +91,109 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Valid base spans by start, then kind: struct(start, rank, end, kind, value, left, right)."""
+    """Valid base spans by start, then kind: struct(start, rank, end, kind, value)."""
     def of_kind(rank: int, kind: str) -> Column:
         pattern, test = PATTERNS[kind]
-        kept = F.filter(found(text, pattern, near=True), lambda x: valid(kind, x["value"]))
+        kept = F.filter(found(text, pattern), lambda x: valid(kind, x["value"]))
         whole = F.transform(kept, lambda x: F.struct(
             x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"),
-            x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+            x["value"].alias("value")))
         return F.when(F.regexp_like(text, F.lit(test)), whole).otherwise(F.array().cast(SPANS))
 
     parts = [of_kind(rank, kind) for rank, kind in enumerate(PATTERNS)]
     return F.array_sort(F.concat(*parts))
 
 
-SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:string,right:string>>"
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def words_near(base: DataFrame) -> DataFrame:
-    """(doc_id, text_key, entity, term, start, end) of every candidate word outside the base spans."""
-    each = base.select("doc_id", "text_key", "spans", F.explode("spans").alias("s"))
-    entity = F.concat_ws(":", F.col("s.kind"), F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value")))
-    place = lambda x, at: F.struct(F.lower(x["value"]).alias("term"), (at + x["start"]).alias("start"), (at + x["end"]).alias("end"))
-    left = F.transform(found(F.col("s.left"), BEFORE), lambda x: place(x, F.col("s.start") - F.length("s.left")))
-    right = F.transform(found(F.col("s.right"), AFTER), lambda x: place(x, F.col("s.end")))
-    near = each.select("doc_id", "text_key", "spans", entity.alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    free = ~F.exists("spans", lambda x: (x["start"] < F.col("w.end")) & (F.col("w.start") < x["end"]))
-    return near.where(free).select("doc_id", "text_key", "entity", "w.term", "w.start", "w.end")
+def entity_of(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame:
+def words_of(text: Column) -> Column:
+    """The words of a text, each spelling once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+
+def without(text: Column, spans: Column) -> Column:
+    """``text`` with a digit for each letter of ``spans``, so places stay."""
+    acc = lambda at, out: F.struct(at.cast("int").alias("at"), out.cast("string").alias("out"))
+    return F.aggregate(spans, acc(F.lit(0), F.lit("")), lambda a, x: F.when(x["end"] > a["at"], acc(x["end"], F.concat(
+        a["out"], F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))),
+        F.repeat(F.lit("0"), x["end"] - F.greatest(x["start"], a["at"]))))).otherwise(a),
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def same_row(left: str = "_doc", right: str = "_key") -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(left)) & (F.col("text_key") == F.col(right))
+
+
+def holding_texts(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, free: text without its base spans, entities) of the texts that hold an entity of enough support,
+    each once, and (entity, n_e) of those entities."""
+    spans = base.where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
+    held = spans.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity"))
+    entities = stage(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
+    wide = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("places"))
+    own = held.join(small(entities.select("entity")), "entity").groupBy("doc_id", "text_key").agg(F.collect_list("entity").alias("entities"))
+    own = stage(own.join(wide, same_row()).select("_doc", "_key", "entities", "places"), "holding")
+    tests = F.lit(False)
+    for _, test in PATTERNS.values():
+        tests = tests | F.regexp_like(F.col("text"), F.lit(test))
+    texts = docs.where(tests).select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text")
+    texts = texts.join(small(own), same_row()).dropDuplicates(["doc_id", "text_key"])
+    return stage(texts.select("doc_id", "text_key", without(F.col("text"), F.col("places")).alias("free"), "entities"), "texts"), entities
+
+
+def disclosures(docs: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs with enough support that disclose enough."""
-    row = F.struct("doc_id", "text_key")
-    pairs = near.select("entity", "term", row.alias("row")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    lowered = lambda words: F.array_distinct(F.transform(words, F.lower))
+    each = texts.select(F.explode("entities").alias("entity"), lowered(words_of(F.col("free"))).alias("words"))
+    pairs = each.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = stage(pairs.where(F.col("n_et") >= SUPPORT), "pairs")
-    held = base.select("doc_id", "text_key", F.explode("spans").alias("s")).select(
-        F.concat_ws(":", F.col("s.kind"), F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value"))).alias("entity"), row.alias("row"))
-    entities = held.distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     wanted = stage(pairs.select("term").distinct(), "terms")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\p{L}{4,}+"), F.lit(0)))
     # counted before the join, so it meets a row for each word of the vocabulary, not for each use
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(small(wanted), "term")
+    terms = docs.select(F.explode(lowered(words_of(text_or_empty()))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(small(wanted), "term")
     total = docs.count()
-    joined = pairs.join(entities, "entity").join(terms, "term")
+    joined = pairs.join(small(entities), "entity").join(terms, "term")
     information = F.log(F.lit(float(total)) / F.col("n_e"))
     share = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.when(information > 0, information)
     return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
+def marks(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(_doc, _key, extra: struct(start, rank, end, kind) of every place of the words that disclose an entity of the text)."""
+    rank = F.when(F.col("disclosure") >= REMOVE, 4).otherwise(5)
+    uses = texts.select("doc_id", "text_key", F.explode("entities").alias("entity"), words_of(F.col("free")).alias("words"))
+    uses = uses.select("doc_id", "text_key", "entity", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    # a word may disclose several entities: its strongest mark holds
+    own = uses.join(small(told), ["entity", "term"]).groupBy("doc_id", "text_key", "word").agg(F.min(rank).alias("rank"))
+    of = lambda k: F.collect_list(F.when(F.col("rank") == k, F.col("word")))
+    own = own.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(of(4).alias("removed"), of(5).alias("generalised"))
+    own = stage(own, "told-words")
+
+    def places(words: str, rank: int, kind: str) -> Column:
+        whole = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+        at = F.transform(found(F.col("free"), whole), lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.when(F.size(words) > 0, at).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
+
+    return texts.join(small(own), same_row()).select("_doc", "_key", F.concat(places("removed", 4, "term"), places("generalised", 5, "general")).alias("extra"))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans: all of them by start, then kind; base: the base ones) of every row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stage(slim.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), base_spans(text_or_empty()).alias("spans")), "base-spans")
-    near = stage(words_near(base), "near")
-    told = stage(disclosures(slim, base, near), "disclosures")
-    marked = near.join(small(told), ["entity", "term"])
-    rank = F.when(F.col("disclosure") >= REMOVE, 4).otherwise(5)
-    # a word may be near several entities: its strongest mark holds
-    marks = marked.groupBy("doc_id", "text_key", "start", "end").agg(F.min(rank).alias("rank"))
-    each = F.struct("start", "rank", "end", F.when(F.col("rank") == 4, "term").otherwise("general").alias("kind"))
-    extra = marks.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list(each).alias("extra"))
+    texts, entities = holding_texts(slim, base)
+    told = stage(disclosures(slim, texts, entities), "disclosures")
+    extra = marks(texts, told)
     plain = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    both = base.select("doc_id", "text_key", plain.alias("base")).join(
-        extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    both = base.select("doc_id", "text_key", plain.alias("base")).join(extra, same_row(), "left")
     return both.select("doc_id", "text_key", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))).alias("spans"), "base")
 
 

@@ -146,3 +146,17 @@ def test_items_that_begin_anywhere():
         own = ((known >> np.uint64(k % 64)) & np.uint64(1)).astype(int).tolist()
         want = [s for s in range(len(text)) if sum(own[s:s + group.length - decontamination.Q + 1]) >= group.least_runs]
         assert windows[k].tolist() == want
+
+
+def test_disclosing_words_are_marked_everywhere(docs_of):
+    rng = random.Random(12)
+    texts = [f"Zanzibar {words(rng, 40)} a.b@c.org {words(rng, 40)} zanzibar, Li {words(rng, 40)} 😀 ZANZIBAR" for _ in range(4)]
+    # over sixty letters away in every text, at its start and its end, and short
+    texts += [f"Quorn {words(rng, 30)} +1 212 555 0100 {words(rng, 30)} 王芳" for _ in range(3)] + [f"{words(rng, 60)} Lima" for _ in range(60)]
+    rows = {r.doc_id: r for r in pii.personal_data(docs_of(texts)).collect()}
+    marked = lambda i: [texts[i][x.start:x.end] for x in rows[i].spans if x.kind == "term"]
+    assert all(marked(i) == ["Zanzibar", "zanzibar", "Li", "ZANZIBAR"] for i in range(4))
+    assert all(marked(i) == ["Quorn", "王芳"] for i in range(4, 7))
+    assert not any(rows[i].spans for i in range(7, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs_of(texts)).collect()}
+    assert "zanzibar" not in clean[0].lower() and " Li " not in clean[0] and "Quorn" not in clean[4]
