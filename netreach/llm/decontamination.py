@@ -5,7 +5,8 @@ stretch of it is within ``EDITS`` x the item's length edits. For each class of s
 
 1. Windows of the class's length start at every letter. A window that could be within the edits shares at least
    length - Q + 1 - Q x edits of its runs of Q letters with the item (q-gram lemma), so windows with fewer runs known
-   from the class's items are passed over. This step loses nothing; it keeps the rest affordable.
+   from the class's items are passed over. Runs are shorter than Q where that bound would be below 1. So this step loses
+   nothing; it keeps the rest affordable.
 2. The windows left and the items are embedded by CGK random walks, which turn edit distance into Hamming distance, and
    ``SAMPLES`` samples of ``BITS`` places of each of ``WALKS`` walks are bucket keys. Windows meet the items in their
    buckets. Repetitions are set for the recall ``TARGET`` at the Hamming share ``SPREAD``: 1 - (1 - (1 - SPREAD)^BITS)^n.
@@ -51,19 +52,19 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def run_slots(c: np.ndarray) -> np.ndarray:
-    """The slot of each run of Q letters, from the hashes of runs of 1, 2, 4, ... letters."""
+def run_slots(c: np.ndarray, q: int = Q) -> np.ndarray:
+    """The slot of each run of ``q`` letters, from the hashes of runs of 1, 2, 4, ... letters."""
     pieces, step, x = {1: c.astype(np.uint64)}, 1, None
-    while 2 * step <= Q:
+    while 2 * step <= q:
         pieces[2 * step] = (pieces[step][:-step] * _M) ^ (pieces[step][step:] + np.uint64(step))
         step *= 2
     have = 0
     for step in sorted(pieces, reverse=True):
-        if have + step <= Q:
+        if have + step <= q:
             part = pieces[step][have:]
             x = part if x is None else (x[:len(part)] * _M) ^ part[:len(x)]
             have += step
-    x = x[:len(c) - Q + 1] * np.uint64(0xBF58476D1CE4E5B9)
+    x = x[:len(c) - q + 1] * np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
@@ -135,10 +136,11 @@ class Class:
     ids: list[int]
     texts: list[str]
     buckets: list[dict[int, list[int]]]
+    q: int
     least_runs: int
 
 
-_NONE = np.empty(0, np.int64)
+_NONE, _NO_CLASS = np.empty(0, np.int64), np.empty(0, np.uint64)
 
 
 def letters(c: np.ndarray) -> np.ndarray:
@@ -150,8 +152,8 @@ class Finder:
     def __init__(self, items: list[tuple[int, str]]):
         self.short = [(i, t) for i, t in items if len(t) < Q]
         long = sorted(((i, t) for i, t in items if len(t) >= Q), key=lambda x: len(x[1]))
-        #: for each slot the classes that know it, a bit each; classes 64 apart share one
-        self.known = np.zeros(1 << SLOTS, np.uint64)
+        #: for each length of runs and each slot the classes that know it, a bit each; classes 64 apart share one
+        self.known: dict[int, np.ndarray] = {}
         self.classes: list[Class] = []
         k = 0
         while k < len(long):
@@ -160,9 +162,11 @@ class Finder:
                 upto += 1
             part = long[k:upto]
             length = len(part[0][1])
-            for _, t in part:
-                self.known[run_slots(codes(t))] |= np.uint64(1 << len(self.classes) % 64)
             most = int(EDITS * len(part[-1][1]))
+            q = min(Q, length // (most + 1))
+            known = self.known.setdefault(q, np.zeros(1 << SLOTS, np.uint64))
+            for _, t in part:
+                known[run_slots(codes(t), q)] |= np.uint64(1 << len(self.classes) % 64)
             # items are cut to the class's length for their keys: windows have that length
             rows = np.stack([letters(codes(t[:length])) for _, t in part])
             steps = 2 * length
@@ -172,9 +176,9 @@ class Finder:
                 for n, x in enumerate(key.tolist()):
                     found.setdefault(x, []).append(n)
                 buckets.append(found)
-            self.classes.append(Class(length, steps, [i for i, _ in part], [t for _, t in part], buckets, max(1, length - Q + 1 - Q * most)))
+            self.classes.append(Class(length, steps, [i for i, _ in part], [t for _, t in part], buckets, q, length - q + 1 - q * most))
             k = upto
-        self.fewest = min((g.least_runs for g in self.classes), default=0)
+        self.fewest = {q: min(g.least_runs for g in self.classes if g.q == q) for q in self.known}
 
     def windows(self, text: str) -> tuple[dict[int, int], list[np.ndarray]]:
         """Short items that a plain text holds, and for each class the starts of the windows to be embedded."""
@@ -182,18 +186,21 @@ class Finder:
         c = codes(text)
         if len(c) < Q or not self.classes:
             return held, []
-        known = self.known[run_slots(c)]
-        place = np.flatnonzero(known)
-        if len(place) < self.fewest:
-            return held, []
-        known, found = known[place], []
-        for k, group in enumerate(self.classes):
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for q, table in self.known.items():
+            known = table[run_slots(c, q)]
+            place = np.flatnonzero(known)
+            if len(place) >= self.fewest[q]:
+                seen[q] = place, known[place]
+        found = []
+        for k, group in enumerate(self.classes if seen else ()):
+            place, known = seen.get(group.q, (_NONE, _NO_CLASS))
             own = place[(known >> np.uint64(k % 64) & np.uint64(1)).astype(bool)]
             if len(own) < group.least_runs:
                 found.append(_NONE)
                 continue
             # a window has enough runs if the last of them that it needs is near enough to one that it starts at or before
-            span, last = group.length - Q + 1, group.least_runs - 1
+            span, last = group.length - group.q + 1, group.least_runs - 1
             first, upto = own[:len(own) - last], own[last:]
             low, high = np.maximum(0, upto - span + 1), first
             low, high = low[low <= high], high[low <= high]

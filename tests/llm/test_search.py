@@ -141,13 +141,24 @@ def test_items_that_begin_anywhere():
     # the starts are those of all windows with enough known runs
     text = letters(30, "pq") + items[3][:60] + letters(9, "pq") + items[3][40:] + items[9] + letters(90, "pq")
     _, windows = finder.windows(text)
-    known = finder.known[decontamination.run_slots(decontamination.codes(text))]
+    known = finder.known[decontamination.Q][decontamination.run_slots(decontamination.codes(text))]
     for k, group in enumerate(finder.classes):
         own = ((known >> np.uint64(k % 64)) & np.uint64(1)).astype(int).tolist()
         want = [s for s in range(len(text)) if sum(own[s:s + group.length - decontamination.Q + 1]) >= group.least_runs]
         assert windows[k].tolist() == want
 
 
+def test_runs_of_short_items_leave_room_for_an_edit():
+    rng = random.Random(13)
+    for n in (17, 18, 19):
+        item = "".join(rng.choice("abcdefghijklmno") for _ in range(n))
+        for others in ([], ["".join(rng.choice("pqrstuv") for _ in range(16))]):
+            finder = decontamination.Finder(list(enumerate([item, *others])))
+            for k in range(n):
+                _, windows = finder.windows("zzzzz" + item[:k] + "y" + item[k + 1:] + "z" * 40)
+                assert windows and any(5 in w for w in windows)
+
+
 def test_disclosing_words_are_marked_everywhere(docs_of):
     rng = random.Random(12)
     texts = [f"Zanzibar {words(rng, 40)} a.b@c.org {words(rng, 40)} zanzibar, Li {words(rng, 40)} 😀 ZANZIBAR" for _ in range(4)]
