@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netreach.llm import decontamination, dedup, license_scan, mixing, ngram_join, pii, quality, sharding, toxicity, training_order
+from netreach.llm import decontamination, dedup, language_id, license_scan, manifest, mixing, ngram_join, pii, quality, sharding, spelling, toxicity, training_order
 from netreach.llm.common import read
 
 
@@ -52,6 +52,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(read(spark, sf_dir, "documents"), 40).drop("group_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op6_decontamination, op7_training_order, op8_toxicity, op9_mixing, op10_sharding)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language(read(spark, sf_dir, "documents"))
 
-ORACLES = {"op3_exact_dedup": dedup.SQL, "op9_mixing": mixing.sql()}
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's digests, its proof, and the root that a fifth of the rows, tampered with, fold to."""
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_jaccard, op3_exact_dedup, op4_quality, op5_license_scan, op6_decontamination, op7_training_order, op8_toxicity, op9_mixing, op10_sharding, op11_language_id, op12_merkle_manifest, op13_spelling_variants)}
+
+ORACLES = {"op3_exact_dedup": dedup.SQL, "op9_mixing": mixing.sql(), "op12_merkle_manifest": manifest.sql(), "op13_spelling_variants": spelling.sql()}
