@@ -143,7 +143,7 @@ FROM fx_selection s JOIN fx_tagged t ON s.wwtp = t.wwtp LEFT JOIN fx_scores c ON
     """SELECT *, CASE WHEN selected AND (official OR tag <> 'none') THEN 'transmission_reinforced' WHEN selected THEN 'recommended' WHEN official THEN 'existing' ELSE 'other' END AS category FROM fx_site_table""",
 )
 def _s11(spark, sf):
-    s = sel.simple_selection(spark, sf)
+    s = sel.whole_selection(spark, sf)
     tags = sel.selection.tag_post_selection(s, dt.scores(spark, sf), 20)
     return sinks.export_site_table(dt.sites(spark, sf).select("wwtp"), s, sel.official(spark, sf), tags, dt.scores(spark, sf))
 

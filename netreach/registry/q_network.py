@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netreach.functions import keys
 from netreach.operators import contribution as ct
 from netreach.operators import forecast as fc
 from netreach.operators import network as nw
@@ -150,7 +151,7 @@ def node_features(spark, sf):
     f = stage(flows(spark, sf))
     months = f.agg(F.collect_set("t").alias("_t"))
     grid = all_nodes(spark, sf).select("node").crossJoin(F.broadcast(months)).select("node", F.explode("_t").alias("t"))
-    clin = dt.clinical(spark, sf).filter(F.col("pathogen").contains("covid")).groupBy(
+    clin = dt.clinical(spark, sf).filter(keys.norm_disease("pathogen") == "COVID").groupBy(
         F.date_trunc("month", "event_date").cast("date").alias("t"), F.concat(F.lit("C_"), "region").alias("node")).agg(F.sum("hospitalized").alias("rate"))
     viral = dt.table(spark, sf, "lineitem").groupBy(
         F.date_trunc("month", "l_shipdate").cast("date").alias("t"), F.concat(F.lit("W_"), F.col("l_suppkey").cast("string")).alias("node")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netreach.operators import areal, baselines, graph, ranking, selection
+from netreach.operators.risk import monthly_risk_signal
 from netreach.plans.staging import stage
 from netreach.registry.base import register
-from netreach.registry.q_graph import features, half_sites, month_coverage, month_features
+from netreach.registry.q_graph import features, half_sites, month_coverage
+from netreach.registry.q_od import _YM
+from netreach.registry.q_risk import summary
 from netreach.registry.sqltables import TABLES
 from netreach.sources import driver_tables as dt
 
@@ -174,76 +177,154 @@ def _graph(spark, sf):
     return graph.components(s, graph.site_edges(s)), graph.nearest_other(s)
 
 
-def selected_month(spark, sf):
+def _select_inputs(ranks: str, pairs: str, cols: list[str], risk: str | None = None) -> list[str]:
+    """CTEs of what the rules look at, by part ``p``, and of the counties of each site."""
+    mean = " + ".join(f"COALESCE({c}, 0)" for c in cols)
+    known = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in cols)
+    mm = lambda c: f"COALESCE(({c} - MIN({c}) OVER w) / NULLIF(MAX({c}) OVER w - MIN({c}) OVER w, 0), 0)"
+    top = " OR ".join(f"COALESCE({c} <= ceil(0.3 * COUNT({c}) OVER w), FALSE)" for c in cols)
+    low = " AND ".join(f"COALESCE({c} >= floor(0.8 * COUNT({c}) OVER w), TRUE)" for c in cols)
+    half = " AND ".join(f"ROUND({m}, 6) < ROUND(MEDIAN({m}) OVER w, 6)" for m in M)
+    # the scale of the inverse risk skips nulls, and a null there leaves no score at all
+    inverse = f"CASE WHEN MAX(1.0 / {risk}) OVER w > MIN(1.0 / {risk}) OVER w THEN ((1.0 / {risk}) - MIN(1.0 / {risk}) OVER w) / (MAX(1.0 / {risk}) OVER w - MIN(1.0 / {risk}) OVER w) ELSE 0 END" if risk else "0"
+    return [
+        f"""si_base AS MATERIALIZED (SELECT r.*, component, nearest_km, t.score AS diffusion_score, ({mean}) / CAST({known} AS DOUBLE) AS mean_rank,
+          COUNT(*) OVER (PARTITION BY p, component) AS size FROM ({ranks}) r JOIN fx_components c ON r.wwtp = c.wwtp JOIN fx_nearest n ON r.wwtp = n.wwtp
+          LEFT JOIN (SELECT wwtp, score FROM fx_scores ORDER BY score DESC, wwtp LIMIT {N}) t ON r.wwtp = t.wwtp)""",
+        f"""si AS MATERIALIZED (SELECT p, wwtp, component, size, nearest_km, diffusion_score, ROUND(mean_rank, 6) AS avg_rank,
+          COALESCE((1 - {mm('mean_rank')}) + 0.5 * (0.5 * {mm('pop_served')} + 0.5 * {mm('pop_covered_by_od')}) + 0.5 * {inverse}
+            + 0.5 * CASE WHEN nearest_km >= 100 THEN 1 ELSE 0 END, 0) AS importance,
+          ({top}) AS top_any, ({low}) AND ({known}) > 0 AS bottom_all, {half} AS low_impact FROM si_base WINDOW w AS (PARTITION BY p))""",
+        f"si_pairs AS MATERIALIZED ({pairs})",
+    ]
+
+
+def _select_sql(inputs: list[str], legacy: bool = True) -> str:
+    """The whole selection, one pick per component and step, as the rules are told."""
+    saturated = "seen AND gain >= 1" if legacy else "FALSE"
+    late = "" if legacy else "WHEN gain >= 1 THEN 'saturation_component'"
+    ctes = [*inputs, f"""si_one AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ROUND(importance, 6) DESC, avg_rank, wwtp) <= 6 AS res,
+        (low_impact OR (NOT top_any AND nearest_km <= 100)) AND (diffusion_score IS NULL OR bottom_all) AS gone FROM si WHERE size = 1)""",
+        """si_multi AS MATERIALIZED (SELECT s.*, c.counties, greatest(1, CAST(ceil(0.25 * size) AS BIGINT)) AS quota,
+          CASE WHEN diffusion_score IS NOT NULL AND size >= 3 THEN row_number() OVER (PARTITION BY s.p, component, diffusion_score IS NULL ORDER BY diffusion_score DESC, avg_rank, s.wwtp) END AS k
+          FROM si s LEFT JOIN (SELECT p, wwtp, list(county) AS counties FROM si_pairs GROUP BY 1, 2) c ON s.p = c.p AND s.wwtp = c.wwtp WHERE size > 1)""",
+        """si_first AS MATERIALIZED (SELECT p, component, any_value(quota) AS quota, COALESCE(list(wwtp) FILTER (k <= quota), []) AS chosen,
+          COALESCE(list_distinct(flatten(list(COALESCE(counties, [])) FILTER (k <= quota))), []) AS covered FROM si_multi GROUP BY 1, 2)""",
+        f"""si_greedy AS MATERIALIZED (WITH RECURSIVE g AS (
+          SELECT p, component, quota, NULL::VARCHAR AS wwtp, 0::BIGINT AS gain, NULL::VARCHAR AS method, FALSE AS seen, len(chosen) AS pick, chosen, covered FROM si_first
+          UNION ALL
+          SELECT p, component, quota, wwtp, gain, method, seen OR method = 'coverage_gain', pick + 1, list_append(chosen, wwtp), list_distinct(list_concat(covered, counties)) FROM (
+            SELECT *, CASE WHEN {saturated} THEN 'saturation_component' WHEN pick < quota THEN 'coverage_gain' {late} END AS method FROM (
+              SELECT *, row_number() OVER (PARTITION BY p, component ORDER BY gain DESC, avg_rank, wwtp) AS rn FROM (
+                SELECT g.p, g.component, g.quota, g.seen, g.pick, g.chosen, g.covered, s.wwtp, s.avg_rank, COALESCE(s.counties, []) AS counties,
+                  len(list_filter(COALESCE(s.counties, []), lambda c: NOT list_contains(g.covered, c))) AS gain
+                FROM g JOIN si_multi s ON g.p = s.p AND g.component = s.component WHERE NOT list_contains(g.chosen, s.wwtp))) WHERE rn = 1)
+          WHERE method IS NOT NULL) SELECT * FROM g)""",
+        "si_last AS (SELECT p, component, arg_max(covered, pick) AS covered FROM si_greedy GROUP BY 1, 2)",
+        """si_picked AS (SELECT p, wwtp, pick, gain, method FROM si_greedy WHERE wwtp IS NOT NULL
+          UNION ALL SELECT p, wwtp, k, len(COALESCE(counties, [])), 'diffusion_priority' FROM si_multi WHERE k <= quota)""",
+    ]
+    body = """
+      SELECT p AS year_month, wwtp, component, size AS component_size, avg_rank, importance, CASE WHEN res OR NOT gone THEN 'keep' ELSE 'drop' END AS decision,
+        CASE WHEN res THEN 'reserved' WHEN gone THEN 'pruning_rule' WHEN diffusion_score IS NOT NULL AND NOT bottom_all THEN 'diffusion_singleton' ELSE 'singleton_pass' END AS method,
+        CASE WHEN res THEN 'reserved_singleton'
+          WHEN gone THEN concat_ws(' | ', CASE WHEN low_impact THEN 'low_impact' END, CASE WHEN NOT top_any AND nearest_km <= 100 THEN 'near another and top in nothing' END,
+            CASE WHEN diffusion_score IS NOT NULL AND bottom_all THEN 'in diffusion, bottom everywhere' END)
+          ELSE concat_ws(' | ', CASE WHEN diffusion_score IS NOT NULL AND NOT bottom_all THEN 'in diffusion' END, CASE WHEN NOT low_impact THEN 'has impact' END,
+            CASE WHEN top_any THEN 'top in a metric' END, CASE WHEN nearest_km > 100 THEN 'isolated' END) END AS reason,
+        NULL::BIGINT AS pick, NULL::BIGINT AS coverage_gain, NULL::BIGINT AS residual_gain, res AS selected FROM si_one
+      UNION ALL
+      SELECT s.p, s.wwtp, s.component, size, avg_rank, importance, CASE WHEN k.method IS NULL THEN 'not_chosen' ELSE 'keep' END, COALESCE(k.method, 'not taken'),
+        CASE k.method WHEN 'diffusion_priority' THEN 'high score, within the quota' WHEN 'saturation_component' THEN 'at least 1 new counties'
+          WHEN 'coverage_gain' THEN 'new counties, then rank' ELSE 'others of its component came first' END,
+        k.pick, k.gain, CASE WHEN k.method IS NULL THEN len(list_filter(COALESCE(s.counties, []), lambda c: NOT list_contains(l.covered, c))) END, k.method IS NOT NULL
+      FROM si_multi s JOIN si_last l ON s.p = l.p AND s.component = l.component LEFT JOIN si_picked k ON s.p = k.p AND s.wwtp = k.wwtp"""
+    return f"WITH {', '.join(ctes)} {body}"
+
+
+_RANKED = [f"rank_{m}" for m in M]
+_MONTH_PAIRS = f"SELECT DISTINCT {_YM} AS p, wwtp, county_fips AS county FROM fx_edges"
+_ALL_RANKS = "SELECT 'all' AS p, * FROM fx_ranks"
+_MONTH_RANKS = "SELECT year_month AS p, * FROM fx_ranks_month"
+_RISK_RANKS = """SELECT r.year_month AS p, r.*, rank_combined_risk FROM fx_ranks_month r
+  LEFT JOIN fx_risk_rank k ON r.year_month = k.year_month AND r.wwtp = k.wwtp"""
+TABLES["fx_selection_month"] = _select_sql(_select_inputs(_MONTH_RANKS, _MONTH_PAIRS, _RANKED))
+TABLES["fx_selection_quota"] = _select_sql(_select_inputs(_MONTH_RANKS, _MONTH_PAIRS, _RANKED), legacy=False)
+TABLES["fx_selection_risk"] = _select_sql(_select_inputs(_RISK_RANKS, _MONTH_PAIRS, [*_RANKED, "rank_combined_risk"], "rank_combined_risk"))
+TABLES["fx_selection"] = _select_sql(_select_inputs(_ALL_RANKS, "SELECT DISTINCT 'all' AS p, wwtp, county_fips AS county FROM fx_edges", _RANKED))
+TABLES["fx_budget"] = f"""
+SELECT * FROM (SELECT *, row_number() OVER (ORDER BY tier, avg_rank, wwtp) AS ord FROM (SELECT *,
+ CASE WHEN selected AND method = 'reserved' THEN 0 WHEN component_size = 1 AND decision = 'keep' AND selected THEN 1
+   WHEN selected AND method <> 'saturation_component' THEN 2 WHEN selected THEN 3 ELSE 4 END AS tier FROM fx_selection)) WHERE ord <= {N}"""
+
+
+def _site_counties(coverage, *parts):
+    return coverage.select(*parts, "wwtp", F.explode(F.array_union("counties_in", "counties_out")).alias("county_fips"))
+
+
+def selected_month(spark, sf, params=selection.SelectionParams(), risk: bool = False):
     """Selection of every month in one job."""
-    feats = month_features(spark, sf)
-    ranks = stage(ranking.month_rank_table(feats, parts=["year_month"]))
+    cover = stage(month_coverage(spark, sf))
+    feats = stage(graph.feature_table(dt.sites(spark, sf), cover, ["year_month"]))
+    signal = monthly_risk_signal(summary(spark, sf)) if risk else None
+    ranks = stage(ranking.month_rank_table(feats, signal, parts=["year_month"]))
     comps, near = _graph(spark, sf)
-    table = selection.site_table(feats, ranks, comps, near, top_scores(spark, sf), ["year_month"])
-    cov = stage(month_coverage(spark, sf)).select(
-        "year_month", "wwtp", F.explode(F.array_union("counties_in", "counties_out")).alias("county_fips"))
-    return selection.select_sites(table, cov, ["year_month"])
+    table = selection.site_table(feats, ranks, comps, near, top_scores(spark, sf), ["year_month"], params)
+    return selection.select_sites(table, _site_counties(cover, "year_month"), ["year_month"], params)
 
 
 def top_scores(spark, sf):
-    """Sites whose score is at or above the 90th percentile."""
-    from netreach.plans.ordering import exact_quantiles
+    """The exported list of the sites with the highest scores."""
+    from netreach.plans.ordering import top_rows
+
+    return top_rows(dt.scores(spark, sf), [F.desc("score"), F.col("wwtp")], N)
 
-    s = stage(dt.scores(spark, sf))
-    q = exact_quantiles(s, [], "score", {"q": 0.9})
-    return s.crossJoin(F.broadcast(q)).filter(F.col("score") >= F.col("q")).select("wwtp", "score")
 
+def whole_selection(spark, sf):
+    """Selection over all months together."""
+    cover = stage(graph.od_coverage(dt.weekly_edges(spark, sf)))
+    feats = stage(graph.feature_table(dt.sites(spark, sf), cover))
+    ranks = stage(ranking.month_rank_table(feats))
+    comps, near = _graph(spark, sf)
+    table = selection.site_table(feats, ranks, comps, near, top_scores(spark, sf))
+    return stage(selection.select_sites(table, _site_counties(cover)))
+
+
+_X1 = "year_month:s wwtp:s decision:s method:s pick:i coverage_gain:i residual_gain:i selected:b"
 
-@register("X1_select_sites", "year_month:s wwtp:s decision:s method:s pick:i coverage_gain:i residual_gain:i selected:b")
+
+@register("X1_select_sites", _X1, "SELECT * FROM fx_selection_month")
 def _x1(spark, sf):
     return selected_month(spark, sf)
 
 
-@register("X2_decision_log", "year_month:s wwtp:s decision:s method:s reason:s component:s component_size:i avg_rank:f")
-def _x2(spark, sf):
-    return selection.decision_log(selected_month(spark, sf))
+@register("X1_select_sites_quota_first", _X1, "SELECT * FROM fx_selection_quota")
+def _x1_quota(spark, sf):
+    return selected_month(spark, sf, selection.SelectionParams(legacy_saturation=False))
 
 
-@register("X8_singleton_report", "year_month:s wwtp:s status:s reason:s reserved:b selected:b avg_rank:f importance:r")
-def _x8(spark, sf):
-    return selection.singleton_report(selected_month(spark, sf))
+@register("X1_select_sites_risk", _X1, "SELECT * FROM fx_selection_risk")
+def _x1_risk(spark, sf):
+    return selected_month(spark, sf, risk=True)
 
 
-TABLES["fx_selection"] = """
-SELECT wwtp, component, component_size, avg_rank, CASE WHEN component_size = 1 THEN CASE WHEN i <= 6 THEN 'reserved' ELSE 'pruning_rule' END
-   WHEN r = 1 THEN 'coverage_gain' WHEN r = 2 THEN 'saturation_component' ELSE 'not taken' END AS method,
- CASE WHEN component_size = 1 THEN i <= 6 ELSE r <= 2 END AS selected FROM (
- SELECT c.wwtp, component, component_size, final_rank AS avg_rank, row_number() OVER (PARTITION BY component_size ORDER BY ROUND(importance, 6) DESC, c.wwtp) AS i,
-  row_number() OVER (PARTITION BY component ORDER BY final_rank, c.wwtp) AS r FROM fx_components c JOIN fx_importance m ON c.wwtp = m.wwtp)"""
-TABLES["fx_budget"] = """
-SELECT * FROM (SELECT *, row_number() OVER (ORDER BY tier, avg_rank, wwtp) AS ord FROM (SELECT *,
- CASE WHEN method = 'reserved' THEN 0 WHEN selected AND method <> 'saturation_component' THEN 2 WHEN selected THEN 3 ELSE 4 END AS tier FROM fx_selection)) WHERE ord <= 20"""
+@register("X2_decision_log", "year_month:s wwtp:s decision:s method:s reason:s component:s component_size:i avg_rank:f", "SELECT * FROM fx_selection_month")
+def _x2(spark, sf):
+    return selection.decision_log(selected_month(spark, sf))
 
 
-def simple_selection(spark, sf):
-    """One reserve, one best and one extra site per group: a selection SQL can express."""
-    f = features(spark, sf)
-    ranks = stage(ranking.month_rank_table(f))
-    comps, near = _graph(spark, sf)
-    comps = stage(comps)
-    d = f.join(ranks.drop("final_rank"), "wwtp").join(near, "wwtp")
-    imp = ranking.singleton_importance(d).select("wwtp", "importance")
-    d = stage(comps.join(ranks.select("wwtp", F.col("final_rank").alias("avg_rank")), "wwtp").join(imp, "wwtp"))
-    one = selection.top_per_group(d.filter("component_size = 1"), [], [F.round("importance", 6).desc(), F.col("wwtp")], 6, "i").select("wwtp", "i")
-    multi = selection.top_per_group(d.filter("component_size > 1"), ["component"], [F.col("avg_rank"), F.col("wwtp")], 2, "r").select("wwtp", "r")
-    d = d.join(one, "wwtp", "left").join(multi, "wwtp", "left")
-    method = (
-        F.when(F.col("i").isNotNull(), "reserved").when(F.col("component_size") == 1, "pruning_rule").when(F.col("r") == 1, "coverage_gain")
-        .when(F.col("r") == 2, "saturation_component").otherwise("not taken")
-    )
-    sel = F.col("i").isNotNull() | F.col("r").isNotNull()
-    return stage(d.select("wwtp", "component", "component_size", "avg_rank", method.alias("method"), sel.alias("selected"),
-                          F.when(sel, "keep").otherwise("drop").alias("decision")))
+@register(
+    "X8_singleton_report", "year_month:s wwtp:s status:s reason:s reserved:b selected:b avg_rank:f importance:r",
+    """SELECT *, CASE WHEN decision = 'keep' THEN 'kept' ELSE 'dropped' END AS status, method = 'reserved' AS reserved
+       FROM fx_selection_month WHERE component_size = 1""",
+)
+def _x8(spark, sf):
+    return selection.singleton_report(selected_month(spark, sf))
 
 
 @register("X3_trim_to_budget", "ord:i wwtp:s tier:i method:s", "SELECT * FROM fx_budget")
 def _x3(spark, sf):
-    return selection.trim_to_budget(simple_selection(spark, sf), N)
+    return selection.trim_to_budget(whole_selection(spark, sf), N)
 
 
 TABLES["fx_expanded"] = """
@@ -257,7 +338,7 @@ SELECT row_number() OVER (ORDER BY p, s) AS ord, wwtp, phase FROM (
 
 @register("X4_expand_order", "ord:i wwtp:s phase:s", "SELECT * FROM fx_expanded WHERE ord <= 70")
 def _x4(spark, sf):
-    s = simple_selection(spark, sf)
+    s = whole_selection(spark, sf)
     return selection.expand_order(selection.trim_to_budget(s, N), s)
 
 
@@ -268,7 +349,7 @@ FROM fx_selection s LEFT JOIN (SELECT wwtp FROM fx_scores ORDER BY score DESC, w
 
 
 def tagged(spark, sf):
-    return selection.tag_post_selection(simple_selection(spark, sf), dt.scores(spark, sf), 20)
+    return selection.tag_post_selection(whole_selection(spark, sf), dt.scores(spark, sf), 20)
 
 
 def official(spark, sf):
@@ -436,7 +517,7 @@ SELECT row_number() OVER (ORDER BY COALESCE(b.ord, 1000000000), final_rank, r.ww
 
 @register("B7_full_level1_order", "ord:i wwtp:s", "SELECT * FROM fx_full_level1")
 def _b7(spark, sf):
-    s = simple_selection(spark, sf)
+    s = whole_selection(spark, sf)
     ranks = ranking.month_rank_table(features(spark, sf))
     return baselines.full_level1_order(ranks, selection.trim_to_budget(s, N))
 
@@ -451,5 +532,5 @@ def _b8(spark, sf):
         "population": baselines.metric_order(f, "pop_served", "population"),
         "polygon": baselines.greedy_new_polygon_area(site_cells(spark, sf), f, CELL * CELL, N, full=True),
         "cbsa": baselines.cbsa_order(f, dt.sites(spark, sf), assigned, n),
-        "level1": baselines.full_level1_order(ranks, selection.trim_to_budget(simple_selection(spark, sf), N)),
+        "level1": baselines.full_level1_order(ranks, selection.trim_to_budget(whole_selection(spark, sf), N)),
     })
