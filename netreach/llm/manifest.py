@@ -5,8 +5,8 @@ a parent, the SHA-256 of their digests, until the source has one node, its subro
 parents in the same way up to the root. ``build`` writes the levels as parent-linked rows, and ``climb`` ascends by a
 recursive query that collects siblings and folds a leaf's (possibly changed) digest with them up to a root to compare.
 
-The leaves of one run share all siblings above them, so a climbing row carries a run: its leaves, each with its own folded
-digest, and the siblings once. A node row holds its children's digests, and is stored once for every slice of ``SLICE``
+The leaves of one run share all siblings above them, so a climbing row carries a run: the digests of its leaves that
+differ, each folded, and the siblings once. A node row holds its children's digests, and is stored once for every slice of ``SLICE``
 leaves below it; a climbing row meets the copy of its own slice, so no join key has more rows than a slice has runs.
 
 Nulls have a digest of their own (``-``), come first in every order and are climbed like other rows; a row without an id
@@ -168,39 +168,38 @@ def build(leaves: DataFrame) -> Manifest:
 
 
 CLIMB = f"""
-WITH RECURSIVE climb (slice, n, leaves, folded, siblings, digest, subroot, parent, place) MAX RECURSION LEVEL 100 AS (
-  SELECT slice, n, leaves, folded, siblings, digest, subroot, parent, place FROM {{runs}}
+WITH RECURSIVE climb (first, slice, step, folded, siblings, digest, subroot, parent, place) MAX RECURSION LEVEL 100 AS (
+  SELECT first, slice, 0 AS step, folded, siblings, digest, subroot, parent, place FROM {{runs}}
   UNION ALL
-  SELECT c.slice, c.n, c.leaves,
+  SELECT c.first, c.slice, c.step + 1,
     transform(c.folded, f -> unhex(sha2(lower(hex(concat(substring(p.children, 1, {DIGEST} * c.place), f, substring(p.children, {DIGEST} * (c.place + 1) + 1)))), 256))),
-    concat(c.siblings, substring(p.children, 1, {DIGEST} * c.place), substring(p.children, {DIGEST} * (c.place + 1) + 1)),
-    p.digest,
-    CASE WHEN p.level < {TOP} THEN p.digest ELSE c.subroot END,
-    p.parent, p.place
+    concat(substring(p.children, 1, {DIGEST} * c.place), substring(p.children, {DIGEST} * (c.place + 1) + 1)),
+    p.digest, CASE WHEN p.level < {TOP} THEN p.digest ELSE c.subroot END, p.parent, p.place
   FROM climb c JOIN {{nodes}} p ON c.parent = p.node AND c.slice = p.slice
 )
-SELECT n, leaves, folded, siblings, subroot, digest AS root FROM climb WHERE parent IS NULL
+SELECT first, step, siblings, CASE WHEN parent IS NULL THEN struct(folded, subroot, digest AS root) END AS top FROM climb
 """
 
 
 def climb(manifest: Manifest) -> DataFrame:
-    """(doc_id, leaf, subroot, root, siblings, folded), one row a leaf, digests as bytes, staged.
+    """(doc_id, leaf, subroot, root, siblings, folded), one row a leaf, digests as bytes.
 
-    ``siblings`` holds the digests met from leaf to root; ``folded`` is the root that the leaf's changed digest gives.
+    ``siblings`` holds the digests met from leaf to root; ``folded`` is the root that the leaf's changed digest gives. A step
+    of the recursion appends a row with that step's siblings alone, and equal digests of a run climb once.
     """
     spark = manifest.runs.sparkSession
-
-    # the first step, from the leaves of a run to its node
-    def first_fold(leaves: Column) -> Column:
-        def fold(x: Column, i: Column) -> Column:
-            own = F.coalesce(x.changed, x.leaf)
-            run = F.aggregate(F.transform(leaves, lambda y, j: F.when(j == i, own).otherwise(y.leaf)), F.lit(b""), lambda a, b: F.concat(a, b))
-            return F.when(F.col("n") == 1, own).otherwise(h(run))
-
-        return F.transform(leaves, fold)
-
-    runs = manifest.runs.select(
-        F.floor(F.col("first") / SLICE).alias("slice"), "n", "leaves", first_fold(F.col("leaves")).alias("folded"), F.lit(b"").alias("siblings"),
+    leaves = F.col("leaves")
+
+    # the first step, from each leaf of a run to the run's node
+    def fold(x: Column, i: Column) -> Column:
+        own = F.coalesce(x.changed, x.leaf)
+        run = F.aggregate(F.transform(leaves, lambda y, j: F.when(j == i, own).otherwise(y.leaf)), F.lit(b""), lambda a, b: F.concat(a, b))
+        return F.when(F.col("n") == 1, own).otherwise(h(run))
+
+    slim = F.transform(leaves, lambda x: F.struct(x.doc_id.alias("doc_id"), x.leaf.alias("leaf")))
+    runs = stage(manifest.runs.select("first", slim.alias("leaves"), F.transform(leaves, fold).alias("starts"), "digest", "parent", "place"), "starts")
+    low = runs.select(
+        "first", F.floor(F.col("first") / SLICE).alias("slice"), F.array_distinct("starts").alias("folded"), F.lit(b"").alias("siblings"),
         "digest", F.col("digest").alias("subroot"), "parent", "place")
     copies = F.explode(F.sequence(F.floor(F.col("first") / SLICE), F.floor((F.col("last") - 1) / SLICE))).alias("slice")
     nodes = manifest.nodes.select("node", "level", "parent", "place", "children", "digest", copies)
@@ -208,14 +207,19 @@ def climb(manifest: Manifest) -> DataFrame:
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        done = stage(spark.sql(CLIMB, runs=runs, nodes=nodes), "climbed")
+        steps = stage(spark.sql(CLIMB, runs=low, nodes=nodes), "climbed")
     finally:
         spark.conf.set(limit, before)
+    met = steps.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("met"), F.max("top").alias("top"))
+    above = F.aggregate("met", F.lit(b""), lambda a, s: F.concat(a, s.siblings))
+    done = runs.join(met.select("first", above.alias("above"), "top.*"), "first")
+    distinct = done.withColumn("ways", F.array_distinct("starts"))
+    rows = distinct.select("*", F.posexplode(F.arrays_zip("leaves", "starts")).alias("_i", "x"))
     others = F.aggregate(F.filter("leaves", lambda y, j: j != F.col("_i")), F.lit(b""), lambda a, y: F.concat(a, y.leaf))
-    rows = done.select("*", F.posexplode(F.arrays_zip("leaves", "folded")).alias("_i", "x"))
     return rows.select(
         F.col("x.leaves.doc_id").alias("doc_id"), F.col("x.leaves.leaf").alias("leaf"), "subroot", "root",
-        F.concat(others, F.col("siblings")).alias("siblings"), F.col("x.folded").alias("folded"))
+        F.concat(others, F.col("above")).alias("siblings"),
+        F.element_at("folded", F.array_position("ways", F.col("x.starts")).cast("int")).alias("folded"))
 
 
 def leaves_of(docs: DataFrame, tampered: Column, change: Column) -> DataFrame:
