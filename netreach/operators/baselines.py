@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from netreach.functions.scaling import minmax
 from netreach.operators.coverage import as_order
 from netreach.operators.graph import METRICS
 from netreach.operators.ranking import order_by_rank, rank_columns
+from netreach.operators.spread import farthest_first
+from netreach.plans.greedy import greedy_cover
 from netreach.plans.ordering import number_rows, top_rows
 from netreach.plans.staging import stage
 
@@ -33,57 +33,21 @@ def mean_rank_order(features: DataFrame, metrics: list[str], n: int) -> DataFram
     return top_rows(r, [F.col("v").asc_nulls_last(), F.col("wwtp")], n, "ord").select("ord", "wwtp")
 
 
-def greedy_cover(pairs: DataFrame, sites: DataFrame, n: int, restage: int = 8) -> list[tuple[str, float]]:
-    """At most n sites, each adding the most new mass; stops when nothing is new.
+def _with_rest(features: DataFrame, picks: DataFrame, fill: str, n: int | None, linked: DataFrame | None = None) -> DataFrame:
+    """(ord, wwtp, gain): greedy picks (wwtp, gain, ord), sites of ``linked`` (wwtp, tie) that add nothing, then all others by a metric.
 
-    ``pairs``: (wwtp, item, mass), ``sites``: (wwtp, tie).  A round is one job that returns one
-    row; covered items are taken off the table and the shrunken table is staged now and then.
+    ``n=None`` orders every site.
     """
-    open_pairs = stage(pairs.groupBy("item", "wwtp").agg(F.max("mass").alias("mass")))
-    picks: list[tuple[str, float]] = []
-    fresh: list[str] = []
-    for _ in range(n):
-        live = open_pairs
-        if fresh:
-            taken = open_pairs.filter(F.col("wwtp").isin(fresh)).select("item").distinct()
-            live = open_pairs.join(taken, "item", "left_anti")
-            if len(fresh) >= restage:
-                open_pairs, fresh = stage(live), []
-                live = open_pairs
-        gain = live.groupBy("wwtp").agg(F.round(F.sum("mass"), 6).alias("gain")).join(sites, "wwtp")
-        best = gain.filter(F.col("gain") > 0).orderBy(F.desc("gain"), F.desc(F.round("tie", 9)), "wwtp").select("wwtp", "gain").first()
-        if best is None:
-            break
-        picks.append((best["wwtp"], best["gain"]))
-        fresh.append(best["wwtp"])
-    return picks
-
-
-def linked_tail(picks: list[tuple[str, float]], pairs: DataFrame, sites: DataFrame, n: int) -> list[tuple[str, float]]:
-    """The picks, then up to ``n`` in all the other sites with items, which add nothing new, by tie and name."""
-    if len(picks) >= n:
-        return picks
-    linked = pairs.select("wwtp").distinct().join(sites, "wwtp").filter(~F.col("wwtp").isin([w for w, _ in picks]))
-    more = linked.orderBy(F.desc(F.round("tie", 9)), "wwtp").limit(n - len(picks)).select("wwtp").collect()
-    return picks + [(r["wwtp"], 0.0) for r in more]
-
-
-def _with_fill(features: DataFrame, picks: list[tuple[str, float]], fill: str, n: int | None) -> DataFrame:
-    """Picked sites, then the others by a metric; ``n=None`` orders every site."""
-    spark = features.sparkSession
-    head = spark.createDataFrame(
-        [(i + 1, w, float(g)) for i, (w, g) in enumerate(picks)], "ord long, wwtp string, gain double"
-    )
-    rest = features.join(F.broadcast(head.select("wwtp")), "wwtp", "left_anti")  # at most n picks
     v = F.round(F.coalesce(fill, F.lit(0.0)), 6)
-    if n is None:
-        tail = number_rows(rest.select("wwtp", fill), [], [-v, F.col("wwtp")], "_i")
-    elif n > len(picks):
-        tail = top_rows(rest.select("wwtp", fill), [v.desc(), F.col("wwtp")], n - len(picks), "_i")
-    else:
-        return head
-    tail = tail.select((F.col("_i") + len(picks)).cast("long").alias("ord"), "wwtp", F.lit(0.0).alias("gain"))
-    return head.unionByName(tail)
+    rest = features.select("wwtp", F.lit(2).alias("_tier"), (-v).alias("_k"), F.lit(0.0).alias("gain"))
+    if linked is not None:
+        rest = rest.join(linked.select("wwtp"), "wwtp", "left_anti").unionByName(
+            linked.select("wwtp", F.lit(1).alias("_tier"), F.col("tie").alias("_k"), F.lit(0.0).alias("gain")))
+    rows = rest.join(picks.select("wwtp"), "wwtp", "left_anti").unionByName(
+        picks.select("wwtp", F.lit(0).alias("_tier"), F.col("ord").cast("double").alias("_k"), "gain"))
+    order = [F.col("_tier"), F.col("_k"), F.col("wwtp")]
+    numbered = number_rows(rows, [], order, "ord") if n is None else top_rows(rows, order, n, "ord")
+    return numbered.select(F.col("ord").cast("long").alias("ord"), "wwtp", "gain")
 
 
 def greedy_new_area(links: DataFrame, features: DataFrame, n: int, direction: str = "Destination",
@@ -99,88 +63,21 @@ def greedy_new_area(links: DataFrame, features: DataFrame, n: int, direction: st
     mass = per.groupBy("bg_fips").agg(F.max("area").alias("mass"))
     pairs = per.join(mass, "bg_fips").select("wwtp", F.col("bg_fips").alias("item"), "mass")
     tie = minmax(features.fillna(0.0, METRICS), {"area_reached": "_a", "pop_covered_by_od": "_p", "od_volume_total": "_v"})
-    tie = stage(tie.select("wwtp", (F.col("_a") + 0.01 * F.col("_p") + 0.0001 * F.col("_v")).alias("tie")))
-    return _with_fill(features, linked_tail(greedy_cover(pairs, tie, n), pairs, tie, n), "area_reached", None if full else n)
+    tie = stage(tie.select("wwtp", (-F.round(F.col("_a") + 0.01 * F.col("_p") + 0.0001 * F.col("_v"), 9)).alias("tie")))
+    picks = stage(greedy_cover(pairs, tie, limit=None if full else n))
+    linked = pairs.select("wwtp").distinct().join(tie, "wwtp")
+    return _with_rest(features, picks, "area_reached", None if full else n, linked)
 
 
 def greedy_new_polygon_area(cells: DataFrame, features: DataFrame, cell_area: float, n: int, full: bool = False) -> DataFrame:
     """Greedy on the sites' own polygon cells; ties and fill by population."""
     pairs = cells.select("wwtp", F.concat_ws(":", "cx", "cy").alias("item"), F.lit(float(cell_area)).alias("mass"))
-    tie = stage(features.select("wwtp", F.coalesce("pop_served", F.lit(0.0)).alias("tie")))
-    return _with_fill(features, greedy_cover(pairs, tie, n), "pop_served", None if full else n)
-
+    tie = features.select("wwtp", (-F.round(F.coalesce("pop_served", F.lit(0.0)), 9)).alias("tie"))
+    return _with_rest(features, stage(greedy_cover(pairs, tie, limit=None if full else n)), "pop_served", None if full else n)
 
-def mean_distance(sites: DataFrame, block: int = 1024) -> DataFrame:
-    """Mean distance of each site to all others, as sums against blocks of coordinates.
 
-    Pairs are never rows: a site meets each block (at most ``block`` points) and adds one number.
-    """
-    pts = sites.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("wwtp", "x", "y")
-    pts = number_rows(pts, [], [F.col("wwtp")], "_i").withColumn("_blk", F.floor((F.col("_i") - 1) / block))
-    pts = stage(pts)
-    blocks = pts.groupBy("_blk").agg(F.collect_list(F.struct("x", "y")).alias("_pts"))
-    bound = pts.agg(F.max("_blk").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    probe = pts.crossJoin(F.broadcast(bound)).select("wwtp", F.col("x").alias("px"), F.col("y").alias("py"), "_n",
-                                                   F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_blk"))
-    part = F.aggregate(
-        "_pts", F.lit(0.0),
-        lambda s, p: s + F.sqrt(F.pow(p["x"] - F.col("px"), F.lit(2)) + F.pow(p["y"] - F.col("py"), F.lit(2))),
-    )
-    return probe.join(blocks, "_blk").groupBy("wwtp", "_n").agg(F.sum(part).alias("s")).select(
-        "wwtp", F.try_divide(F.col("s"), F.col("_n") - 1).alias("mean_dist")
-    )
-
-
-def farthest_first(cands: DataFrame, chosen: list[tuple[float, float]], n: int, batch: int = 256) -> list[str]:
-    """Repeatedly the candidate farthest from the chosen set; ties by score, then name, descending.
-
-    ``cands``: (wwtp, x, y, score).  Distances only shrink while sites are added, so the
-    ``batch`` farthest candidates decide exactly until one of them would fall to the distance
-    of the first candidate outside; then the next batch is fetched.  Candidates without
-    coordinates come last, by score.
-    """
-    located = stage(cands.filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    picked: list[str] = []
-    at = list(chosen)
-    if not at and n > 0:
-        first = (
-            mean_distance(located).join(located, "wwtp")
-            .orderBy(F.round("mean_dist", 6).desc_nulls_last(), F.desc("score"), F.desc("wwtp")).select("wwtp", "x", "y").first()
-        )
-        if first is not None:
-            picked.append(first["wwtp"])
-            at.append((first["x"], first["y"]))
-    known = 0
-    state = located.withColumn("d", F.lit(float("inf")))
-    while len(picked) < n and at:
-        new = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in at[known:]])
-        dist = F.array_min(F.transform(new, lambda p: F.sqrt(
-            F.pow(F.col("x") - p["x"], F.lit(2)) + F.pow(F.col("y") - p["y"], F.lit(2)))))
-        state = stage(state.withColumn("d", F.least("d", dist)).filter(~F.col("wwtp").isin(picked) if picked else F.lit(True)))
-        known = len(at)
-        rows = state.orderBy(F.round("d", 6).desc(), F.desc("score"), F.desc("wwtp")).limit(batch + 1).collect()
-        if not rows:
-            break
-        outside = round(rows[batch]["d"], 6) if len(rows) > batch else -1.0
-        pool = {r["wwtp"]: [r["d"], r["x"], r["y"], r["score"]] for r in rows[:batch]}
-        while pool and len(picked) < n:
-            best = max(pool, key=lambda w: (round(pool[w][0], 6), pool[w][3], w))
-            d, x, y, _ = pool[best]
-            if round(d, 6) <= outside and best != rows[0]["wwtp"]:
-                break
-            picked.append(best)
-            at.append((x, y))
-            del pool[best]
-            for v in pool.values():
-                v[0] = min(v[0], math.hypot(v[1] - x, v[2] - y))
-    if len(picked) < n:
-        loose = cands.filter((F.col("x").isNull() | F.col("y").isNull()))
-        picked += [r["wwtp"] for r in loose.orderBy(F.desc("score"), F.desc("wwtp")).limit(n - len(picked)).collect()]
-    return picked
-
-
-def cbsa_order(features: DataFrame, sites: DataFrame, assigned: DataFrame, n: int) -> DataFrame:
-    """One representative per census area, then geographic spread outside, then anywhere.
+def cbsa_order(features: DataFrame, sites: DataFrame, assigned: DataFrame, n: int | None) -> DataFrame:
+    """One representative per census area, then geographic spread outside, then anywhere; ``n=None`` orders every site.
 
     ``assigned``: (wwtp, cbsa, lsad) with null cbsa outside.
     """
@@ -191,21 +88,18 @@ def cbsa_order(features: DataFrame, sites: DataFrame, assigned: DataFrame, n: in
         F.round(F.sum("score"), 6).alias("total"), F.min(F.struct((-F.col("score")).alias("s"), "wwtp", "x", "y", "lsad")).alias("rep")
     )
     kind = F.when(F.col("rep.lsad") == "M1", 0).when(F.col("rep.lsad") == "M2", 1).otherwise(2)
-    reps = group.orderBy(kind, F.desc("total"), F.col("rep.s"), F.col("rep.wwtp")).limit(n).select("rep.wwtp", "rep.x", "rep.y").collect()
-    out = [(r["wwtp"], "cbsa_representative") for r in reps]
-    at = {r["wwtp"]: (r["x"], r["y"]) for r in reps}
-    for cond, label in ((F.col("cbsa").isNull(), "farthest_outside_cbsa"), (F.lit(True), "farthest_remaining")):
-        if len(out) >= n:
+    order = [kind, -F.col("total"), F.col("rep.s"), F.col("rep.wwtp")]
+    reps = number_rows(group, [], order, "ord") if n is None else top_rows(group, order, n, "ord")
+    done = stage(reps.select(F.col("ord").cast("long").alias("ord"), "rep.wwtp", F.lit("cbsa_representative").alias("source"), "rep.x", "rep.y"))
+    for where, label in ((F.col("cbsa").isNull(), "farthest_outside_cbsa"), (F.lit(True), "farthest_remaining")):
+        count = done.count()
+        room = None if n is None else n - count
+        if room == 0:
             break
-        names = [w for w, _ in out]
-        left = d.filter(cond)
-        left = left.filter(~F.col("wwtp").isin(names)) if names else left
-        new = farthest_first(left.select("wwtp", "x", "y", "score"), [p for p in at.values() if p[0] is not None], n - len(out))
-        for r in left.filter(F.col("wwtp").isin(new)).select("wwtp", "x", "y").collect() if new else []:
-            at[r["wwtp"]] = (r["x"], r["y"])
-        out += [(w, label) for w in new]
-    spark = features.sparkSession
-    return spark.createDataFrame([(i + 1, w, s) for i, (w, s) in enumerate(out)], "ord long, wwtp string, source string")
+        left = d.filter(where).join(done.select("wwtp"), "wwtp", "left_anti").select("wwtp", "x", "y", "score")
+        more = farthest_first(left, done.select("x", "y"), room)
+        done = stage(done.unionByName(more.select((F.col("ord") + count).alias("ord"), "wwtp", F.lit(label).alias("source"), "x", "y")))
+    return done.select("ord", "wwtp", "source")
 
 
 def full_level1_order(ranks: DataFrame, selected: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Order-dependent results over whole tables without a single-partition window.
 
-A global window puts every row into one task.  Here the sort key is cut into ranges by a
-small sample (the rows with the lowest hash, a fixed number), each range is ordered on its
-own, and the range totals, a table of at most ``buckets`` rows per group, give the offsets.
+A global window puts every row into one task.  Here rows are dealt to range partitions of
+(group, sort key), which finds a row's range by binary search among sampled cuts, each range
+is ordered on its own, and the range totals, a row per group and range, give the offsets.
 The cuts only decide who does the work: any cuts give the same, exact answer.
 
 ``order`` is a list of ascending, non-null expressions that together identify a row; negate
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from netreach.plans.staging import stage
 
-#: Sampled keys for each range.
-SAMPLE_A_RANGE = 16
-
 
 def _bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -34,28 +31,10 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def _bucketed(df: DataFrame, parts: list[str], order: list[Column]) -> DataFrame:
-    n = _bucket_count(df)
+    """Rows with their sort key and range, staged, as ranges drawn anew could differ."""
     keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    sample = (
-        keyed.select(*parts, "_key")
-        .orderBy(F.xxhash64("_key", *parts), "_key")
-        .limit(SAMPLE_A_RANGE * n)
-    )
-    cuts = sample.groupBy(*parts).agg(F.array_sort(F.collect_list("_key")).alias("_all"))
-    cuts = cuts.select(
-        *parts,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.lit(n - 1)),
-            lambda i: F.element_at("_all", (F.floor(i * F.size("_all") / n) + 1).cast("int")),
-        )).alias("_cuts"),
-    )
-    # distinct keys of the sample, so at most SAMPLE_A_RANGE x n of them over all groups
-    if parts:
-        joined = _join_null_safe(keyed, F.broadcast(cuts), parts, "left")
-    else:
-        joined = keyed.crossJoin(F.broadcast(cuts))
-    at = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c <= F.col("_key")))
-    return joined.withColumn("_bkt", at).drop("_cuts")
+    ranges = keyed.repartitionByRange(_bucket_count(df), *parts, "_key")
+    return stage(ranges.withColumn("_bkt", F.spark_partition_id()))
 
 
 def _bucketed_offsets(rows: DataFrame, parts: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -75,8 +54,7 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums, named by the keys of ``sums``.
 
-    The input is read three times (cuts, totals, rows), so it is staged first unless the
-    caller already did.
+    The input is read twice (cuts, ranges), so it is staged first unless the caller already did.
     """
     df = df if staged else stage(df)
     rows = _bucketed_offsets(_bucketed(df, parts, order), parts, sums)

@@ -465,8 +465,7 @@ def _farthest_sql(n: int) -> str:
 @register("B5_farthest_first", "ord:i wwtp:s", _farthest_sql(N))
 def _b5(spark, sf):
     d = _scored(spark, sf)
-    picks = baselines.farthest_first(d, [], N)
-    return spark.createDataFrame([(i + 1, w) for i, w in enumerate(picks)], "ord long, wwtp string")
+    return baselines.farthest_first(d, None, N)
 
 
 def _scored(spark, sf):
@@ -522,15 +521,44 @@ def _b7(spark, sf):
     return baselines.full_level1_order(ranks, selection.trim_to_budget(s, N))
 
 
-@register("B8_full_orders", "strategy:s ord:i wwtp:s")
+def _spread_all_sql() -> str:
+    """All sites after the representatives: those outside census areas first, each time the farthest one."""
+    return """all_reps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY CASE lsad WHEN 'M1' THEN 0 WHEN 'M2' THEN 1 ELSE 2 END, total DESC, score DESC, wwtp) AS ord, wwtp, x, y FROM
+      (SELECT *, ROUND(SUM(score) OVER (PARTITION BY cbsa), 6) AS total, row_number() OVER (PARTITION BY cbsa ORDER BY score DESC, wwtp) AS rn FROM fx_scored WHERE cbsa IS NOT NULL)
+      WHERE rn = 1),
+    spread AS MATERIALIZED (WITH RECURSIVE g AS (
+      SELECT COUNT(*) AS ord, NULL::VARCHAR AS wwtp, list(wwtp) AS names, list({'x': x, 'y': y}) AS points FROM all_reps
+      UNION ALL
+      SELECT ord + 1, wwtp, list_append(names, wwtp), list_append(points, {'x': x, 'y': y}) FROM (
+        SELECT *, row_number() OVER (ORDER BY cbsa IS NOT NULL, d DESC, score DESC, wwtp DESC) AS rn FROM (
+          SELECT g.ord, g.names, g.points, c.wwtp, c.x, c.y, c.cbsa, c.score,
+            ROUND(list_min(list_transform(g.points, lambda p: sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)))), 6) AS d
+          FROM g, fx_scored c WHERE NOT list_contains(g.names, c.wwtp))) WHERE rn = 1) SELECT ord, wwtp FROM g WHERE wwtp IS NOT NULL)"""
+
+
+#: Sites of the largest network that the SQL of B8 unrolls its greedy cover for.
+UNROLLED = 100
+TABLES["fx_greedy_cells_all"] = _greedy_sql(
+    "SELECT wwtp, CAST(cx AS VARCHAR) || ':' || CAST(cy AS VARCHAR) AS item, 4.0 AS mass FROM fx_site_cells",
+    "SELECT wwtp, pop_served AS tie FROM fx_features", UNROLLED)
+
+
+@register(
+    "B8_full_orders", "strategy:s ord:i wwtp:s",
+    f"""WITH {_spread_all_sql()}
+    SELECT 'population' AS strategy, ord, wwtp FROM fx_orders WHERE strategy = 'population'
+    UNION ALL SELECT 'polygon', row_number() OVER (ORDER BY COALESCE(g.ord, 1000000000), ROUND(pop_served, 6) DESC, f.wwtp), f.wwtp
+      FROM fx_features f LEFT JOIN fx_greedy_cells_all g ON f.wwtp = g.wwtp
+    UNION ALL SELECT 'cbsa', ord, wwtp FROM all_reps UNION ALL SELECT 'cbsa', ord, wwtp FROM spread
+    UNION ALL SELECT 'level1', ord, wwtp FROM fx_full_level1""",
+)
 def _b8(spark, sf):
     f = features(spark, sf)
-    n = f.count()
     assigned = areal.assign_cbsa(dt.sites(spark, sf), dt.cbsa_polygons(spark, sf), 100.0)
     ranks = ranking.month_rank_table(f)
     return baselines.full_orders({
         "population": baselines.metric_order(f, "pop_served", "population"),
         "polygon": baselines.greedy_new_polygon_area(site_cells(spark, sf), f, CELL * CELL, N, full=True),
-        "cbsa": baselines.cbsa_order(f, dt.sites(spark, sf), assigned, n),
+        "cbsa": baselines.cbsa_order(f, dt.sites(spark, sf), assigned, None),
         "level1": baselines.full_level1_order(ranks, selection.trim_to_budget(whole_selection(spark, sf), N)),
     })
