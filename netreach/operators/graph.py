@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netreach.functions.keys import canon_site, drop_historic
 from netreach.operators.od import INBOUND, OUTBOUND
+from netreach.plans.skew import join_by_share
 from netreach.plans.staging import stage
 
 METRICS = ["pop_served", "od_volume_total", "pop_covered_by_od", "area_reached"]
@@ -56,44 +57,96 @@ def site_edges(sites: DataFrame) -> DataFrame:
     return hit.select(F.least("wwtp", "w2").alias("u"), F.greatest("wwtp", "w2").alias("v"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "wwtp", max_rounds: int = 60) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node hands the smallest node around it to its larger neighbours; ``edges`` (a > b)."""
+    around = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+    least = around.groupBy("node").agg(F.min("near").alias("m"), F.count_if(F.col("near") > F.col("node")).alias("n"))
+    least = stage(least.select(F.col("node").alias("b"), F.least("m", "node").alias("m"), "n"))
+    return join_by_share(edges, least, "b", "n").select("a", F.col("m").alias("b")).filter("a > b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node ties its smaller neighbours, and itself, to the smallest of them."""
+    least = stage(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+    tied = join_by_share(edges, least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return tied.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "wwtp") -> DataFrame:
     """Connected components: (node, component = smallest member, component_size).
 
-    Parents are hooked to smaller parents across every edge and then shortened; each round is
-    staged, and rounds grow with the logarithm of the diameter.
+    Large-star and small-star rounds turn the edges into stars around the smallest members, and stop when a round
+    leaves them as they were.  A hub's rows are never brought together: smallest neighbours are aggregated before
+    their shuffle, and joins on heavy nodes go by broadcast.
     """
     ids = nodes.select(F.col(node).alias("id")).distinct()
-    e = edges.select("u", "v")
-    e = stage(e.join(ids.select(F.col("id").alias("u")), "u", "left_semi")
-              .join(ids.select(F.col("id").alias("v")), "v", "left_semi"))
-    parent = stage(ids.withColumn("p", F.col("id")))
-    for _ in range(max_rounds):
-        pu = parent.select(F.col("id").alias("u"), F.col("p").alias("pu"))
-        pv = parent.select(F.col("id").alias("v"), F.col("p").alias("pv"))
-        across = e.join(pu, "u").join(pv, "v").filter(F.col("pu") != F.col("pv"))
-        low = F.least("pu", "pv")
-        moves = across.select(
-            F.explode(F.array("u", "v", "pu", "pv")).alias("id"), low.alias("q")
-        ).groupBy("id").agg(F.min("q").alias("q"))
-        moved = parent.join(moves, "id", "left").select("id", F.least("p", "q").alias("p"), F.col("p").alias("old"))
-        up = moved.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        nxt = stage(moved.join(up, "p").select("id", F.least("p", "pp").alias("p"), "old"))
-        changed = nxt.filter(F.col("p") != F.col("old")).limit(1).count()
-        parent = nxt.drop("old")
-        if not changed:
+    e = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).filter("a > b").distinct()
+    e = stage(e.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi"))
+
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = mark(e)
+    while True:
+        e = stage(_small_star(_large_star(e)))
+        now = mark(e)
+        if now == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
-    size = parent.groupBy("p").agg(F.count(F.lit(1)).alias("component_size"))
-    return parent.join(size, "p").select(F.col("id").alias(node), F.col("p").alias("component"), "component_size")
+        before = now
+    parent = stage(ids.join(e.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("p")))
+    size = stage(parent.groupBy("p").agg(F.count(F.lit(1)).alias("component_size")))
+    return join_by_share(parent, size, "p", "component_size").select(F.col("id").alias(node), F.col("p").alias("component"), "component_size")
+
 
+#: Bits of a coordinate in a Morton code: squares go down to the extent divided by 2 to this power.
+BITS = 30
+#: A square is met in parts when it holds more than one location in so many.
+SPLIT = 64
 
-def nearest_other(sites: DataFrame, parts: list[str] | None = None, levels: int = 20) -> DataFrame:
+
+def _spread_bits(c: Column) -> Column:
+    """The bits of a number below 2**30, with a zero between each two."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def _morton_neighbours(loc: DataFrame, parts: list[str]) -> DataFrame:
+    """``loc`` (parts, code, ...) with the level of the finest square that a location shares with another one.
+
+    In Morton order a square's locations stand together, so it is enough to look at the one before and the one after.
+    """
+    order = [*parts, "code"]
+    ranged = stage(loc.repartitionByRange(*order).withColumn("_bkt", F.spark_partition_id()))
+    own = F.struct(*order)
+    inside = Window.partitionBy("_bkt").orderBy(*order)
+    ends = ranged.groupBy("_bkt").agg(F.min(own).alias("_first"), F.max(own).alias("_last"))  # a row for each range
+    across = Window.orderBy("_bkt")
+    ends = ends.select("_bkt", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    seen = ranged.withColumns({"_lag": F.lag(own).over(inside), "_lead": F.lead(own).over(inside)}).join(F.broadcast(ends), "_bkt")
+
+    def shared(other: Column) -> Column:
+        same = F.lit(True)
+        for p in parts:
+            same = same & other[p].eqNullSafe(F.col(p))
+        differ = other["code"].bitwiseXOR(F.col("code"))
+        # the highest bit that differs, in pairs of bits from the top
+        top = F.when(differ == 0, BITS).otherwise(BITS - 1 - F.floor((F.length(F.bin(differ)) - 1) / 2))
+        return F.when(same, top)
+
+    fine = F.greatest(shared(F.coalesce("_lag", "_before")), shared(F.coalesce("_lead", "_after")))
+    return seen.withColumn("fine", fine.cast("int")).drop("_lag", "_lead", "_before", "_after", "_bkt")
+
+
+def nearest_other(sites: DataFrame, parts: list[str] | None = None) -> DataFrame:
     """Distance to the nearest other site of the same group; infinity when there is none.
 
-    Equal locations are folded first (distance 0).  Every location then finds the finest
-    square that holds another one; the nearest lies within twice that square, so nine cells
-    one level up are enough.  The packing of such squares keeps candidates near linear.
+    Equal locations are folded first (distance 0).  One pass in Morton order finds the finest square that each location
+    shares with another; the nearest lies within its diagonal, so the nine squares twice as wide around the location are
+    enough.  Few locations look into any one square, by packing, but a wide square may hold most locations, when
+    some site is far out; such squares are met in parts.  Groups must not be null.  Locations of a group closer than its
+    extent over 2**30 count as one square.
     """
     parts = parts or []
     pts = sites.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*parts, "wwtp", "x", "y")
@@ -104,20 +157,29 @@ def nearest_other(sites: DataFrame, parts: list[str] | None = None, levels: int
         F.count(F.lit(1)).alias("n"),
     )
     base = (loc.join(box, parts) if parts else loc.crossJoin(F.broadcast(box))).filter(F.col("n") > 1)
-    side = F.col("span") * F.lit(1.0000001) / F.pow(F.lit(2.0), F.col("lv"))
-    cells = base.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns(
-        {"cx": _cell(F.col("x") - F.col("x0"), side), "cy": _cell(F.col("y") - F.col("y0"), side)}
-    )
+
+    def place(c: str, low: str) -> Column:
+        return F.least(F.floor((F.col(c) - F.col(low)) / F.col("span") * (1 << BITS)).cast("long"), F.lit((1 << BITS) - 1).cast("long"))
+
+    base = base.withColumns({"qx": place("x", "x0"), "qy": place("y", "y0")})
+    base = base.withColumn("code", _spread_bits(F.col("qx")).bitwiseOR(F.shiftleft(_spread_bits(F.col("qy")), 1)))
+    base = stage(_morton_neighbours(base.select(*parts, "x", "y", "qx", "qy", "code", "n"), parts))
+    probe = base.withColumn("lv", F.greatest(F.col("fine") - 1, F.lit(0)))
+    levels = probe.groupBy().agg(F.collect_set("lv").alias("_levels"))  # at most BITS of them
+    down = F.expr(f"cast(pow(2, {BITS} - lv) as bigint)")
+    cells = base.crossJoin(F.broadcast(levels)).withColumn("lv", F.explode("_levels")).withColumns(
+        {"cx": F.floor(F.col("qx") / down), "cy": F.floor(F.col("qy") / down)}).select(*parts, "lv", "cx", "cy", "x", "y", "n")
     key = [*parts, "lv", "cx", "cy"]
-    shared = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    finest = cells.join(shared, key).groupBy(*parts, "x", "y").agg(F.max("lv").alias("fine"))
-    probe = base.join(finest, [*parts, "x", "y"]).withColumn("lv", F.greatest(F.col("fine") - 1, F.lit(0)))
-    cx, cy = _cell(F.col("x") - F.col("x0"), side), _cell(F.col("y") - F.col("y0"), side)
-    probe = probe.withColumn("_b", F.explode(_block(cx, cy))).select(*parts, "x", "y", "lv", "_b.cx", "_b.cy")
-    other = cells.select(*key, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    heavy = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.first("n").alias("_n"))
+    heavy = heavy.filter(F.col("_m") * SPLIT > F.col("_n")).filter(F.col("_m") > SPLIT).select(*key, F.lit(SPLIT).alias("_split"))
+    salt = F.pmod(F.xxhash64("x", "y"), F.coalesce("_split", F.lit(1)))
+    other = cells.join(heavy, key, "left").select(*key, salt.alias("_salt"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    probe = probe.withColumn("_b", F.explode(_block(F.floor(F.col("qx") / down), F.floor(F.col("qy") / down)))).select(*parts, "x", "y", "lv", "_b.cx", "_b.cy")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_split", F.lit(1)).cast("long") - 1)).alias("_salt")
+    probe = probe.join(heavy, key, "left").select(*key, "x", "y", salts)
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
     near = (
-        probe.join(other, key)
+        probe.join(other, [*key, "_salt"])
         .filter((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
         .groupBy(*parts, "x", "y").agg(F.min(d).alias("d"))
     )
