@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netreach.functions.expr import clip, pearson, ratio
 from netreach.plans.ordering import exact_quantiles, number_rows, top_rows
-from netreach.plans.sparse import row_normalize
+from netreach.plans.sparse import product, row_normalize
 from netreach.plans.staging import stage
 
 
@@ -46,6 +46,42 @@ def perturbation(
         "risk", F.when(F.col("_top") > 0, F.col("risk") / F.col("_top")).otherwise(F.col("risk"))).drop("_top")
 
 
+def model_perturbation(
+    edges: DataFrame, scaled: DataFrame, pred: DataFrame, coefficients: dict[str, float], alpha: float = 0.3, self_dampen: float | None = None,
+) -> DataFrame:
+    """Timewise risk (t, src, dst, risk) of a linear forecast: change in dst's forecast when all of src's inputs shrink.
+
+    The chain rule takes the place of a re-scoring for each node: src reaches dst over one edge with ``hop1``, over two with
+    ``hop2``, and itself with its lags as well.  ``edges``: (t, src, dst, w), row src reading from dst; ``scaled``:
+    (t, node, z); ``pred``: (t, node, prev, pred_scaled, lags), where ``prev`` is the step whose edges and values
+    are read.  The diagonal stays, times ``self_dampen`` after scaling, or is left out if that is None.
+    """
+    a = row_normalize(edges.select("t", "src", "dst", "w"), ["t"])
+    one = a.select("t", "src", "dst", (F.lit(coefficients.get("hop1", 0.0)) * F.col("w")).alias("c"))
+    two = product(a, a, ["t"]).select("t", "src", "dst", (F.lit(coefficients.get("hop2", 0.0)) * F.col("w")).alias("c"))
+    reach = one.unionByName(two).groupBy("t", "src", "dst").agg(F.sum("c").alias("c"))
+    z = scaled.select("t", F.col("node").alias("dst"), "z")
+    read = reach.join(z, ["t", "dst"]).select(F.col("t").alias("prev"), F.col("src").alias("node"), F.col("dst").alias("src"), (F.col("c") * F.col("z")).alias("v"))
+    dev = pred.groupBy("node").agg((F.stddev_pop("pred_scaled") + F.lit(1e-6)).alias("_dev"))
+    lags = [c for c in coefficients if c.startswith("lag")]
+    own = F.lit(0.0)
+    for c in lags:
+        own = own + F.lit(coefficients[c]) * F.col(c)
+    base = stage(pred.join(dev, "node").select("t", "node", "prev", "pred_scaled", "_dev", own.alias("own")))
+    hops = base.select("t", "node", "prev").join(read, ["prev", "node"]).select("t", "src", "node", "v")
+    both = hops.unionByName(base.select("t", F.col("node").alias("src"), "node", F.col("own").alias("v")))
+    if self_dampen is None:
+        both = both.filter(F.col("src") != F.col("node"))
+    change = both.groupBy("t", "src", "node").agg(F.sum("v").alias("v"))
+    r = stage(change.join(base, ["t", "node"]).select(
+        "t", "src", F.col("node").alias("dst"),
+        (F.abs(F.lit(alpha) * F.col("v")) / F.col("_dev") / (F.abs("pred_scaled") + F.lit(1e-6))).alias("risk")))
+    top = r.agg(F.max("risk").alias("_top"))
+    kept = F.when(F.col("src") == F.col("dst"), F.lit(1.0 if self_dampen is None else float(self_dampen))).otherwise(1.0)
+    return r.crossJoin(F.broadcast(top)).select(
+        "t", "src", "dst", (F.when(F.col("_top") > 0, F.col("risk") / F.col("_top")).otherwise(F.col("risk")) * kept).alias("risk"))
+
+
 def collapse_risk(timewise: DataFrame, steps: DataFrame) -> DataFrame:
     """Mean and sample deviation over all steps; steps without an edge count as zero."""
     n = steps.select("t").distinct().agg(F.count(F.lit(1)).alias("_n"))
@@ -147,6 +183,15 @@ def series_corr(series: DataFrame, block: int = 256, span_days: int = 3650) -> D
     return g.select("i", "j", F.coalesce(F.abs(_r()), F.lit(0.0)).alias("corr"))
 
 
+def pair_corr(series: DataFrame, pairs: DataFrame) -> DataFrame:
+    """|Pearson| (i, j, corr) of the pairs (i, j) asked for, over their common steps; other pairs are not computed."""
+    s = series.filter(F.col("x").isNotNull()).select("t", "node", "x")
+    left = pairs.select("i", "j").distinct().join(s.withColumnRenamed("node", "i"), "i")
+    both = left.join(s.select("t", F.col("node").alias("j"), F.col("x").alias("y")), ["t", "j"])
+    g = both.groupBy("i", "j").agg(*_moments(F.col("x"), F.col("y")))
+    return g.select("i", "j", F.coalesce(F.abs(_r()), F.lit(0.0)).alias("corr"))
+
+
 def flow_reference(static: DataFrame, sym: str = "mean", gamma: float = 1.0, min_q: float | None = None) -> DataFrame:
     """Symmetric flow with zero diagonal, weak edges cut, power and scaling to the maximum."""
     off = static.filter(F.col("src") != F.col("dst"))

@@ -5,6 +5,8 @@ Time series functions window over one node's steps, which the calendar bounds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +38,16 @@ def flow_blocks(edges: DataFrame, bucket: str = "week") -> DataFrame:
     ).agg(F.sum("volume").alias("w"))
 
 
-def projections(flows: DataFrame, beta: float = 0.3) -> DataFrame:
-    """County-county flow through sites and site-site flow through counties.
+def projections(flows: DataFrame, beta: float = 0.3, kinds: tuple[str, ...] = ("CC", "WW")) -> DataFrame:
+    """County-county flow through sites and site-site flow through counties, those of ``kinds`` alone.
 
-    Zero diagonal; each projection scaled to its largest cell per step, times beta.
+    Zero diagonal; each projection scaled to its largest cell per step, times beta.  ``flows`` is read once for each side.
     """
-    flows = stage(flows)
     cw = flows.filter(F.col("src").startswith("C_"))
     wc = flows.filter(F.col("src").startswith("W_"))
-    cc = product(cw, wc, ["t"]).withColumn("kind", F.lit("CC"))
-    ww = product(wc, cw, ["t"]).withColumn("kind", F.lit("WW"))
-    off = stage(cc.unionByName(ww).filter(F.col("src") != F.col("dst")))
+    sides = {"CC": (cw, wc), "WW": (wc, cw)}
+    both = reduce(DataFrame.unionByName, [product(*sides[k], ["t"]).withColumn("kind", F.lit(k)) for k in kinds])
+    off = stage(both.filter(F.col("src") != F.col("dst")))
     top = off.groupBy("t", "kind").agg(F.max("w").alias("_m"))
     return off.join(F.broadcast(top), ["t", "kind"]).select(  # two rows per step
         "t", "src", "dst", "kind", F.coalesce(ratio(F.col("w") * F.lit(beta), F.col("_m")), F.lit(0.0)).alias("w"))

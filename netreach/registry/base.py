@@ -1,7 +1,7 @@
 """One column spec per query drives both sides of the comparison.
 
 A spec reads ``"week:d wwtp:s n:i volume:f share:r flag:b"``: date, text, whole number, double
-at 4 places, double at 6 places, boolean.  The letters q, h, p and k stand for 7, 9, 10 and 11
+at 4 places, double at 6 places, boolean.  The letters w, q, h, p and k stand for 1, 7, 9, 10 and 11
 places: short fractions would otherwise sit on a rounding tie, which engines break differently.
 """
 
@@ -17,7 +17,7 @@ from netreach.registry.sqltables import with_tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_PLACES = {"f": 4, "r": 6, "q": 7, "h": 9, "p": 10, "k": 11}
+_PLACES = {"w": 1, "f": 4, "r": 6, "q": 7, "h": 9, "p": 10, "k": 11}
 
 
 def _fields(spec: str) -> list[tuple[str, str]]:

@@ -8,7 +8,7 @@ from netreach.functions import keys
 from netreach.operators import contribution as ct
 from netreach.operators import forecast as fc
 from netreach.operators import network as nw
-from netreach.plans.sparse import mean_over
+from netreach.plans.sparse import mean_over, row_normalize
 from netreach.plans.staging import stage
 from netreach.registry import q_select as _select_tables  # noqa: F401  (its SQL tables are used below)
 from netreach.registry.base import register
@@ -275,29 +275,91 @@ def _m18(spark, sf):
     return z.withColumn("back", nw.inverse_target(F.col("x_scaled"), F.col("_m_x"), F.col("_s_x")))
 
 
-LAGS = ["lag4", "lag3", "lag2", "lag1", "hop1", "hop2"]
-
-
-def county_graph(spark, sf):
-    """County-county projection of the monthly flows, carried to the weeks of the month."""
-    f = stage(flows(spark, sf))
-    cc = nw.projections(f).filter(F.col("kind") == "CC").select("t", "src", "dst", "w")
-    weeks = series(spark, sf).select(F.col("t").alias("week"), F.date_trunc("month", "t").cast("date").alias("t")).distinct()
-    return stage(cc.join(weeks, "t").select(F.col("week").alias("t"), "src", "dst", "w"))
+#: Months of a year, waves of the season, and the widest gap in a window, in weeks.
+PERIOD, WAVES, GAP = 12, 2, 9
+#: Runs of the grid.
+SEQ_LENS, RIDGES = [4, 6], [0.01, 0.1]
+TABLES["fx_node_series"] = """
+SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS t, 'C_' || lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS node, ROUND(SUM(l_extendedprice) / 1000, 2) AS x
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+UNION ALL SELECT CAST(date_trunc('month', l_shipdate) AS DATE), 'W_' || CAST(l_suppkey AS VARCHAR), ROUND(SUM(l_extendedprice) / 1000, 2) FROM lineitem GROUP BY 1, 2"""
+TABLES["fx_fc_z"] = """
+SELECT s.t, s.node, split, i, x, m, sd, (ln(1 + greatest(x, 0)) - m) / sd AS z FROM (
+  SELECT s.*, i, CASE WHEN i <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM fx_node_series s
+  JOIN (SELECT t, row_number() OVER (ORDER BY t) AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT t FROM fx_node_series)) k ON s.t = k.t) s
+LEFT JOIN (SELECT node, m, CASE WHEN sd > 1e-12 THEN sd ELSE 1 END AS sd FROM (SELECT node, AVG(ln(1 + greatest(x, 0))) AS m, stddev_pop(ln(1 + greatest(x, 0))) AS sd
+  FROM fx_node_series WHERE t IN (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT t FROM fx_node_series)) WHERE i <= floor(0.8 * n)) GROUP BY 1)) k
+ON s.node = k.node"""
+TABLES["fx_fc_hop1"] = "SELECT a.t, a.src AS node, SUM(a.w * z.z) AS h FROM fx_looped a JOIN fx_fc_z z ON a.t = z.t AND a.dst = z.node GROUP BY 1, 2"
+TABLES["fx_fc_hop2"] = "SELECT a.t, a.src AS node, SUM(a.w * b.h) AS h FROM fx_looped a JOIN fx_fc_hop1 b ON a.t = b.t AND a.dst = b.node GROUP BY 1, 2"
+TABLES["fx_fc_steps"] = """
+SELECT z.*, COALESCE(h1.h, 0) AS h1, COALESCE(h2.h, 0) AS h2, COALESCE(z.t - lag(z.t) OVER w, 0) AS gap,
+  CASE WHEN abs((d - AVG(d) OVER (PARTITION BY z.node)) / (stddev_pop(d) OVER (PARTITION BY z.node) + 1e-6)) > 2 THEN 1.0 ELSE 0.0 END AS spike
+FROM (SELECT *, COALESCE(z - lag(z) OVER (PARTITION BY node ORDER BY t), 0) AS d FROM fx_fc_z) z
+LEFT JOIN fx_fc_hop1 h1 ON z.t = h1.t AND z.node = h1.node LEFT JOIN fx_fc_hop2 h2 ON z.t = h2.t AND z.node = h2.node
+WINDOW w AS (PARTITION BY z.node ORDER BY z.t)"""
+
+
+def _solve_sql(table: str, cols: list[str], ridge: float) -> str:
+    """Ridge coefficients: the table of mean products, then one elimination step for each column."""
+    row = lambda a: ", ".join(f"AVG({a} * {b}) - AVG({a}) * AVG({b})" + (f" + {ridge}" if a == b else "") for b in cols)
+    matrix = ", ".join(f"[{row(a)}, AVG({a} * target) - AVG({a}) * AVG(target)]" for a in cols)
+    means = ", ".join(f"AVG({c})" for c in cols)
+    step = """list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k])
+      ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)"""
+    return f"""WITH RECURSIVE e AS (
+      SELECT CAST(1 AS BIGINT) AS k, [{matrix}] AS m, [{means}] AS mean, AVG(target) AS y FROM {table} WHERE split = 'train'
+      UNION ALL SELECT k + 1, {step}, mean, y FROM e WHERE k <= {len(cols)})
+    SELECT list_transform(m, lambda r: r[{len(cols) + 1}]) AS b, y - list_sum(list_transform(m, lambda r, i: r[{len(cols) + 1}] * mean[i])) AS b0 FROM e WHERE k = {len(cols) + 1}"""
+
+
+for _n in SEQ_LENS:
+    _cols = fc.columns(_n, WAVES)
+    _lags = ", ".join(f"lag(z, {k}) OVER w AS lag{k}" for k in range(_n, 0, -1))
+    _waves = ", ".join(f"{f}(2 * {k} * pi() * (i - 1) / {PERIOD}) AS {f}_{k}" for k in range(1, WAVES + 1) for f in ("sin", "cos"))
+    TABLES[f"fx_fc_table{_n}"] = f"""
+SELECT * FROM (SELECT t, node, lag(t) OVER w AS prev, split, x, z AS target, {_lags}, lag(h1) OVER w AS hop1, lag(h2) OVER w AS hop2, lag(spike) OVER w AS spike1, {_waves}, m, sd,
+  COUNT(z) OVER (PARTITION BY node ORDER BY t ROWS BETWEEN {_n} PRECEDING AND 1 PRECEDING) AS have,
+  COALESCE(MAX(gap) OVER (PARTITION BY node ORDER BY t ROWS BETWEEN {_n - 1} PRECEDING AND 1 PRECEDING), 0) AS worst
+  FROM fx_fc_steps WINDOW w AS (PARTITION BY node ORDER BY t)) WHERE have = {_n} AND worst <= {7 * GAP}"""
+    for _k, _ridge in enumerate(RIDGES):
+        TABLES[f"fx_fc_model{_n}_{_k}"] = _solve_sql(f"fx_fc_table{_n}", _cols, _ridge)
+        _z = " + ".join(f"b[{i}] * {c}" for i, c in enumerate(_cols, 1))
+        TABLES[f"fx_fc_pred{_n}_{_k}"] = f"""
+SELECT *, greatest(exp(greatest(pz * sd + m, -50)) - 1, 0) AS pred FROM (SELECT f.*, x AS truth, 1.0 AS mask, b0 + {_z} AS pz, b FROM fx_fc_table{_n} f, fx_fc_model{_n}_{_k})"""
+
+
+def node_series(spark, sf):
+    """Monthly sales of every county and every site."""
+    line = dt.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", F.date_trunc("month", "l_shipdate").cast("date").alias("t"))
+    cust = dt.table(spark, sf, "orders").join(dt.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    county = line.join(cust, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "t", F.concat(F.lit("C_"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0")).alias("node"), "l_extendedprice")
+    site = line.select("t", F.concat(F.lit("W_"), F.col("l_suppkey").cast("string")).alias("node"), "l_extendedprice")
+    return county.unionByName(site).groupBy("t", "node").agg(F.round(F.sum("l_extendedprice") / 1000, 2).alias("x"))
+
+
+def forecast_table(s, edges, seq_len: int):
+    return fc.training_table(s, edges, seq_len, period=PERIOD, harmonics=WAVES, max_gap_weeks=GAP)
 
 
 def forecast(spark, sf):
-    table = stage(fc.training_table(stage(series(spark, sf)), county_graph(spark, sf)))
-    model = fc.fit(table, LAGS)
-    return model, fc.predict(model, table, LAGS)
+    """Model and forecasts of every node, over the monthly flows with self weights."""
+    s, edges = stage(node_series(spark, sf)), stage(looped(spark, sf))
+    table = forecast_table(s, edges, SEQ_LENS[0])
+    model = fc.fit(table, fc.columns(SEQ_LENS[0], WAVES), RIDGES[0])
+    return model, fc.predict(model, table), s, edges
 
 
-@register("M17_forecast", "t:d node:s split:s pred:f truth:f")
+@register("M17_forecast", "t:d node:s split:s pred:w truth:f", "SELECT * FROM fx_fc_pred4_0")
 def _m17(spark, sf):
     return forecast(spark, sf)[1]
 
 
-@register("M19_pred_vs_true", "t:d node:s split:s pred:f truth:f mask:f")
+@register(
+    "M19_pred_vs_true", "t:d node:s split:s pred:w truth:f mask:f",
+    "SELECT t, node, unnest([split, 'all']) AS split, pred, truth, mask FROM fx_fc_pred4_0",
+)
 def _m19(spark, sf):
     return fc.pred_vs_true(forecast(spark, sf)[1])
 
@@ -349,13 +411,31 @@ def _m22(spark, sf):
     return risk_t(stage(flows(spark, sf)))
 
 
-@register("M22_perturbation_model", "src:s dst:s risk:r std:r")
+#: What is kept of a node's effect on itself.
+SELF = 0.5
+_I = {c: i for i, c in enumerate(fc.columns(SEQ_LENS[0], WAVES), 1)}
+TABLES["fx_model_risk_t"] = f"""
+WITH a2 AS (SELECT a.t, a.src, b.dst, SUM(a.w * b.w) AS w FROM fx_looped a JOIN fx_looped b ON a.t = b.t AND a.dst = b.src GROUP BY 1, 2, 3),
+reach AS (SELECT t, src, dst, SUM(h1) AS w1, SUM(h2) AS w2 FROM (SELECT t, src, dst, w AS h1, 0 AS h2 FROM fx_looped UNION ALL SELECT t, src, dst, 0, w FROM a2) GROUP BY 1, 2, 3),
+base AS MATERIALIZED (SELECT *, stddev_pop(pz) OVER (PARTITION BY node) + 1e-6 AS dev FROM fx_fc_pred4_0),
+v AS (SELECT t, src, node, SUM(v) AS v FROM (
+  SELECT p.t, r.dst AS src, p.node, (b[{_I['hop1']}] * w1 + b[{_I['hop2']}] * w2) * z.z AS v FROM base p JOIN reach r ON p.prev = r.t AND p.node = r.src JOIN fx_fc_z z ON z.t = r.t AND z.node = r.dst
+  UNION ALL SELECT t, node, node, {' + '.join(f'b[{_I[c]}] * {c}' for c in _I if c.startswith('lag'))} FROM base) GROUP BY 1, 2, 3),
+r AS (SELECT v.t, v.src, v.node AS dst, abs(0.3 * v) / dev / (abs(pz) + 1e-6) AS risk FROM v JOIN base p ON v.t = p.t AND v.node = p.node)
+SELECT t, src, dst, risk / (SELECT MAX(risk) FROM r) * CASE WHEN src = dst THEN {SELF} ELSE 1 END AS risk FROM r"""
+
+
+@register(
+    "M22_perturbation_model", "src:s dst:s risk:p std:p",
+    """SELECT src, dst, s / n AS risk, sqrt(greatest((ss - s * s / n) / (n - 1), 0)) AS std FROM (SELECT src, dst, SUM(risk) AS s, SUM(risk * risk) AS ss FROM fx_model_risk_t GROUP BY 1, 2)
+       CROSS JOIN (SELECT CAST(COUNT(DISTINCT t) AS DOUBLE) AS n FROM fx_fc_pred4_0)""",
+)
 def _m22m(spark, sf):
-    """The fitted forecast perturbed through its neighbour coefficient."""
-    model, pred = forecast(spark, sf)
-    base = pred.select("t", "node", F.col("lag1").alias("x"), F.col("pred_scaled").alias("pred"))
-    timewise = ct.perturbation(county_graph(spark, sf), stage(base), float(model.coefficients[LAGS.index("hop1")]))
-    return ct.collapse_risk(timewise, base)
+    """The fitted forecast of every node perturbed through its lags and both hops."""
+    model, pred, s, edges = forecast(spark, sf)
+    pred = stage(pred)
+    timewise = ct.model_perturbation(edges, fc.scaled_series(s)[0], pred, model.coefficients, self_dampen=SELF)
+    return ct.collapse_risk(timewise, pred)
 
 
 TABLES["fx_risk2_t"] = """
@@ -438,20 +518,22 @@ SELECT src, dst, SUM(w) AS w FROM fx_proj WHERE kind = 'CC' GROUP BY 1, 2"""
     """SELECT src, dst, c * w / SUM(c * w) OVER (PARTITION BY src) AS w FROM (SELECT f.src, f.dst, f.w, k.corr AS c FROM fx_county_ref f JOIN fx_corr k ON least(f.src, f.dst) = k.i AND greatest(f.src, f.dst) = k.j)""",
 )
 def _m27(spark, sf):
-    cc = nw.projections(stage(flows(spark, sf))).filter(F.col("kind") == "CC").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    return ct.corr_x_mobility(ct.series_corr(series(spark, sf)), cc)
+    cc = stage(nw.projections(stage(flows(spark, sf)), kinds=("CC",)).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    pairs = cc.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
+    return ct.corr_x_mobility(ct.pair_corr(series(spark, sf), pairs), cc)
 
 
 @register(
     "M28_flow_risk_corr", "cells:i corr:r",
     """SELECT n * (n - 1) // 2 AS cells, (sxy - sx * sy / c) / sqrt((sxx - sx * sx / c) * (syy - sy * sy / c)) AS corr FROM (
        SELECT SUM(x) AS sx, SUM(y) AS sy, SUM(x * x) AS sxx, SUM(y * y) AS syy, SUM(x * y) AS sxy FROM (SELECT COALESCE(risk, 0) AS x, COALESCE(w, 0) AS y FROM
-        (SELECT * FROM fx_risk WHERE src < dst) r FULL JOIN (SELECT * FROM fx_flow_ref WHERE src < dst) f ON r.src = f.src AND r.dst = f.dst))
+        (SELECT * FROM (SELECT src, dst, risk / SUM(risk) OVER (PARTITION BY src) AS risk FROM fx_risk) WHERE src < dst) r FULL JOIN (SELECT * FROM fx_flow_ref WHERE src < dst) f ON r.src = f.src AND r.dst = f.dst))
        CROSS JOIN (SELECT n, n * (n - 1) / 2.0 AS c FROM fx_node_n)""",
 )
 def _m28(spark, sf):
     f = stage(flows(spark, sf))
-    return ct.flow_risk_corr(risk(f), ct.flow_reference(static(f)), n_nodes(f))
+    rows = row_normalize(risk(f).withColumnRenamed("risk", "w")).withColumnRenamed("w", "risk")
+    return ct.flow_risk_corr(rows, ct.flow_reference(static(f)), n_nodes(f))
 
 
 @register(
@@ -459,8 +541,9 @@ def _m28(spark, sf):
     "SELECT COUNT(*) AS cells, corr(k.corr, f.w) AS corr FROM fx_corr k JOIN fx_county_ref f ON k.i = f.src AND k.j = f.dst",
 )
 def _m28p(spark, sf):
-    cc = nw.projections(stage(flows(spark, sf))).filter(F.col("kind") == "CC").groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("corr"))
-    return ct.proxy_corr(ct.series_corr(series(spark, sf)), cc)
+    cc = nw.projections(stage(flows(spark, sf)), kinds=("CC",)).groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("corr"))
+    cc = stage(cc.filter("i < j"))
+    return ct.proxy_corr(ct.pair_corr(series(spark, sf), cc), cc)
 
 
 @register(
@@ -565,7 +648,7 @@ def _m34(spark, sf):
 
 @register("M35_cluster_sites", "node:s cluster:i")
 def _m35(spark, sf):
-    ww = nw.projections(stage(flows(spark, sf))).filter((F.col("kind") == "WW") & (F.col("src") < F.col("dst")))
+    ww = nw.projections(stage(flows(spark, sf)), kinds=("WW",)).filter(F.col("src") < F.col("dst"))
     return ct.cluster_sites(ww.groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("w")), 4)
 
 
@@ -587,20 +670,27 @@ def _m36(spark, sf):
     return ct.best_run(g.withColumn("mode", F.lit("combined")), "influenza", "combined")
 
 
-@register("M37_run_grid", "tag:s seq_len:i ridge:r mae:f rmse:f corr:r")
+_RUNS = [(n, k, r) for n in SEQ_LENS for k, r in enumerate(RIDGES)]
+
+
+@register(
+    "M37_run_grid", "tag:s seq_len:i ridge:r mae:f rmse:f corr:r",
+    " UNION ALL ".join(
+        f"""SELECT 'seq_len{n}_ridge{r}' AS tag, {n} AS seq_len, {r} AS ridge, SUM(abs(pred - truth)) / (COUNT(*) + 1e-6) AS mae,
+        sqrt(SUM((pred - truth) * (pred - truth)) / (COUNT(*) + 1e-6)) AS rmse, corr(pred, truth) AS corr FROM fx_fc_pred{n}_{k} WHERE split = 'test'""" for n, k, r in _RUNS),
+)
 def _m37(spark, sf):
-    """Held-out errors of every parameter combination, one metrics row per run."""
-    s, g = stage(series(spark, sf)), county_graph(spark, sf)
-    rows = ct.run_grid(spark, {"seq_len": [4, 6], "ridge": [0.01, 0.1]}).collect()  # four runs
+    """Held-out errors of every parameter combination; runs of one window length share its table and moments."""
+    s, edges = stage(node_series(spark, sf)), stage(looped(spark, sf))
+    runs = {(r["seq_len"], r["ridge"]): r["tag"] for r in ct.run_grid(spark, {"seq_len": SEQ_LENS, "ridge": RIDGES}).collect()}  # four runs
     out = None
-    tables = {n: stage(fc.training_table(s, g, n)) for n in sorted({r["seq_len"] for r in rows})}
-    for r in rows:
-        cols = [f"lag{i}" for i in range(r["seq_len"], 0, -1)] + ["hop1", "hop2"]
-        table = tables[r["seq_len"]]
-        pred = fc.predict(fc.fit(table, cols, float(r["ridge"])), table, cols).filter(F.col("split") == "test")
-        m = nw.error_metrics(pred.withColumn("tag", F.lit(r["tag"])), ["tag"])
-        c = pred.agg(*ct._moments(F.col("pred"), F.col("truth"))).select(ct._r().alias("corr"))
-        row = m.crossJoin(F.broadcast(c)).select(
-            "tag", F.lit(r["seq_len"]).alias("seq_len"), F.lit(float(r["ridge"])).alias("ridge"), "mae", "rmse", "corr")
-        out = row if out is None else out.unionByName(row)
+    for n in SEQ_LENS:
+        table = forecast_table(s, edges, n)
+        sums = fc.moments(table, fc.columns(n, WAVES))
+        for ridge in RIDGES:
+            pred = fc.predict(sums.solve(ridge), table).filter(F.col("split") == "test").withColumn("tag", F.lit(runs[n, ridge]))
+            c = pred.groupBy("tag").agg(*ct._moments(F.col("pred"), F.col("truth"))).select("tag", ct._r().alias("corr"))
+            row = nw.error_metrics(pred, ["tag"]).join(c, "tag").select(
+                "tag", F.lit(n).alias("seq_len"), F.lit(float(ridge)).alias("ridge"), "mae", "rmse", "corr")
+            out = row if out is None else out.unionByName(row)
     return out
