@@ -280,9 +280,9 @@ PERIOD, WAVES, GAP = 12, 2, 9
 #: Runs of the grid.
 SEQ_LENS, RIDGES = [4, 6], [0.01, 0.1]
 TABLES["fx_node_series"] = """
-SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS t, 'C_' || lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS node, ROUND(SUM(l_extendedprice) / 1000, 2) AS x
+SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS t, 'C_' || lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS node, SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) / 100000.0 AS x
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
-UNION ALL SELECT CAST(date_trunc('month', l_shipdate) AS DATE), 'W_' || CAST(l_suppkey AS VARCHAR), ROUND(SUM(l_extendedprice) / 1000, 2) FROM lineitem GROUP BY 1, 2"""
+UNION ALL SELECT CAST(date_trunc('month', l_shipdate) AS DATE), 'W_' || CAST(l_suppkey AS VARCHAR), SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) / 100000.0 FROM lineitem GROUP BY 1, 2"""
 TABLES["fx_fc_z"] = """
 SELECT s.t, s.node, split, i, x, m, sd, (ln(1 + greatest(x, 0)) - m) / sd AS z FROM (
   SELECT s.*, i, CASE WHEN i <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM fx_node_series s
@@ -336,7 +336,7 @@ def node_series(spark, sf):
     county = line.join(cust, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "t", F.concat(F.lit("C_"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0")).alias("node"), "l_extendedprice")
     site = line.select("t", F.concat(F.lit("W_"), F.col("l_suppkey").cast("string")).alias("node"), "l_extendedprice")
-    return county.unionByName(site).groupBy("t", "node").agg(F.round(F.sum("l_extendedprice") / 1000, 2).alias("x"))
+    return county.unionByName(site).groupBy("t", "node").agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100000).alias("x"))
 
 
 def forecast_table(s, edges, seq_len: int):
@@ -351,13 +351,13 @@ def forecast(spark, sf):
     return model, fc.predict(model, table), s, edges
 
 
-@register("M17_forecast", "t:d node:s split:s pred:w truth:f", "SELECT * FROM fx_fc_pred4_0")
+@register("M17_forecast", "t:d node:s split:s pred:w truth:r", "SELECT * FROM fx_fc_pred4_0")
 def _m17(spark, sf):
     return forecast(spark, sf)[1]
 
 
 @register(
-    "M19_pred_vs_true", "t:d node:s split:s pred:w truth:f mask:f",
+    "M19_pred_vs_true", "t:d node:s split:s pred:w truth:r mask:f",
     "SELECT t, node, unnest([split, 'all']) AS split, pred, truth, mask FROM fx_fc_pred4_0",
 )
 def _m19(spark, sf):
@@ -426,7 +426,7 @@ SELECT t, src, dst, risk / (SELECT MAX(risk) FROM r) * CASE WHEN src = dst THEN
 
 
 @register(
-    "M22_perturbation_model", "src:s dst:s risk:p std:p",
+    "M22_perturbation_model", "src:s dst:s risk:r std:r",
     """SELECT src, dst, s / n AS risk, sqrt(greatest((ss - s * s / n) / (n - 1), 0)) AS std FROM (SELECT src, dst, SUM(risk) AS s, SUM(risk * risk) AS ss FROM fx_model_risk_t GROUP BY 1, 2)
        CROSS JOIN (SELECT CAST(COUNT(DISTINCT t) AS DOUBLE) AS n FROM fx_fc_pred4_0)""",
 )
