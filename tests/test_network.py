@@ -124,33 +124,6 @@ def test_selection_matches_twin(spark, legacy):
     assert len(out) == sum(comps.values()) == len({x.wwtp for x in out})
 
 
-@pytest.mark.parametrize("batch", [2, 256])
-def test_greedy_cover_and_spread(spark, batch):
-    r = random.Random(4)
-    names = [f"w{i:02d}" for i in range(12)]
-    cov = {w: set(r.sample(range(30), 7)) for w in names}
-    pairs = spark.createDataFrame([(w, str(i), 1.0 + i % 3) for w in names for i in cov[w]], "wwtp string, item string, mass double")
-    tie = spark.createDataFrame([(w, 0.0) for w in names], "wwtp string, tie double")
-    left, want = set(range(30)), []
-    for _ in range(12):
-        gain = {w: sum(1.0 + i % 3 for i in cov[w] & left) for w in names}
-        b = min(names, key=lambda w: (-gain[w], w))
-        if gain[b] == 0:
-            break
-        want.append((b, gain[b]))
-        left -= cov[b]
-    assert baselines.greedy_cover(pairs, tie, 12, restage=3) == want
-
-    at = {w: (float(r.randrange(50)), float(r.randrange(50))) for w in names}
-    c = spark.createDataFrame([(w, *at[w], 0.5) for w in names] + [("zz", None, None, 0.1)], "wwtp string, x double, y double, score double")
-    mean = {w: sum(math.dist(at[w], at[o]) for o in names) / 11 for w in names}
-    order = [max(names, key=lambda w: (round(mean[w], 6), 0.5, w))]
-    while len(order) < 12:
-        rest = [w for w in names if w not in order]
-        order.append(max(rest, key=lambda w: (round(min(math.dist(at[w], at[o]) for o in order), 6), 0.5, w)))
-    assert baselines.farthest_first(c, [], 13, batch=batch) == [*order, "zz"]
-
-
 def test_coverage_invariants(spark):
     r = random.Random(8)
     names = [f"w{i}" for i in range(8)]
