@@ -52,12 +52,13 @@ DISEASE_NAMES = {
 
 
 def norm_disease(c: Column | str) -> Column:
-    """COVID / Influenza / RSV from their listed names alone; other labels are trimmed and capitalised."""
+    """COVID / Influenza / RSV from their listed names alone; of other labels, trimmed, every run of letters is capitalised."""
     s = F.lower(F.trim(_c(c)))
-    found = F.initcap(F.regexp_replace(s, "-", "- "))
+    runs = F.regexp_extract_all(s, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    found = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
     for name, listed in DISEASE_NAMES.items():
         found = F.when(s.isin(*listed), name).otherwise(found)
-    return F.regexp_replace(found, "- ", "-")
+    return found
 
 
 def norm_region_level(c: Column | str) -> Column:

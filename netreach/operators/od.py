@@ -7,10 +7,11 @@ zero; they are counted analytically wherever a statistic needs them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from netreach.functions.expr import ratio
+from netreach.functions.losses import observed
 from netreach.functions.periods import add_period_fields
 from netreach.plans.staging import stage
 
@@ -20,21 +21,21 @@ MEASURES = ["volume", "area", "population"]
 EDGE_KEY = ["week", "direction", "wwtp", "county_fips"]
 
 
-def weekly_od(daily: DataFrame) -> DataFrame:
-    """Mean of the available daily records per week; a missing day is not a zero. Rows of no known direction are left out."""
+def weekly_od(daily: DataFrame, losses: Observation | None = None) -> DataFrame:
+    """Mean of the available daily records per week; a missing day is not a zero.
+
+    Rows of no known direction, day, site or county are left out; ``losses`` counts them in the same pass.
+    """
     dest = F.lower("direction") == "destination"
-    return (
-        daily.select(
-            F.date_trunc("week", "day").cast("date").alias("week"),
-            F.when(dest, INBOUND).when(F.lower("direction") == "origin", OUTBOUND).alias("direction"),
-            F.when(dest, F.col("sewershed_d")).otherwise(F.col("sewershed_o")).alias("wwtp"),
-            F.col("county").alias("county_fips"),
-            *MEASURES,
-        )
-        .filter(F.col("week").isNotNull() & F.col("direction").isNotNull() & F.col("wwtp").isNotNull() & F.col("county_fips").isNotNull())
-        .groupBy(*EDGE_KEY)
-        .agg(*[F.avg(m).alias(m) for m in MEASURES])
+    rows = daily.select(
+        F.date_trunc("week", "day").cast("date").alias("week"),
+        F.when(dest, INBOUND).when(F.lower("direction") == "origin", OUTBOUND).alias("direction"),
+        F.when(dest, F.col("sewershed_d")).otherwise(F.col("sewershed_o")).alias("wwtp"),
+        F.col("county").alias("county_fips"),
+        *MEASURES,
     )
+    rows = observed(rows, losses, **{f"no_{c}": F.col(c).isNull() for c in EDGE_KEY})
+    return rows.dropna(subset=EDGE_KEY).groupBy(*EDGE_KEY).agg(*[F.avg(m).alias(m) for m in MEASURES])
 
 
 def weekly_cases(daily: DataFrame, label: str = "label", value: str = "rate") -> DataFrame:

@@ -34,7 +34,11 @@ def raw_daily(spark, sf):
     """SELECT day, direction, CASE WHEN direction = 'Origin' THEN site END AS sewershed_o, CASE WHEN direction = 'Destination' THEN site END AS sewershed_d, county, volume, area FROM fx_daily""",
 )
 def _s1(spark, sf):
-    return readers.parse_daily_od(raw_daily(spark, sf))
+    """Dated folders of CSV files, written first."""
+    path = scratch_path(spark, "daily")
+    raw = raw_daily(spark, sf).withColumn("file", F.regexp_extract("path", r"(od_daily_\d+)", 1)).drop("path")
+    raw.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    return readers.read_daily_od(spark, path)
 
 
 @register("S2_read_weekly_edges", "week:d direction:s wwtp:s county_fips:s volume:f area:f population:f", "SELECT * FROM fx_edges")
@@ -49,7 +53,9 @@ def _s2(spark, sf):
     "SELECT * FROM fx_links WHERE direction = 'Destination'",
 )
 def _s3(spark, sf):
-    return readers.bg_links(dt.bg_links(spark, sf), "destination")
+    path = scratch_path(spark, "links")
+    dt.bg_links(spark, sf).write.parquet(path)
+    return readers.read_bg_links(spark, path, "destination")
 
 
 @register(
@@ -57,14 +63,19 @@ def _s3(spark, sf):
     """SELECT 'County' AS region_level, region, disease AS pathogen, event_date, age_group, cases, hospitalized FROM fx_clinical""",
 )
 def _s4(spark, sf):
-    c = dt.clinical(spark, sf)
-    path = scratch_path(spark, "clinical.parquet")
+    """A CSV file with county names in several spellings and dates in two formats, written first."""
+    named = dt.county_polygons(spark, sf).select("county_fips", "county_name")
+    c = dt.clinical(spark, sf).join(named, F.col("region") == F.col("county_fips"))
+    odd = F.month("event_date") % 2 == 1
+    path = scratch_path(spark, "clinical.csv")
     c.select(
-        F.col("region_level").alias("Region Level"), F.col("region").alias("Region Name"), keys.norm_disease("pathogen").alias("Pathogen Name"),
-        F.col("event_date").cast("string").alias("Event Onset Date"), F.col("age_group").alias("Age Group"),
-        F.col("cases").cast("string").alias("Case Count"), F.col("hospitalized").cast("string").alias("Hospitalized Count"),
-    ).write.parquet(path)
-    return readers.read_clinical(spark, path)
+        F.col("region_level").alias("Region Level"),
+        F.when(odd, F.concat(F.lit(" "), F.upper("county_name"))).otherwise(F.regexp_replace("county_name", " County$", "")).alias("Region Name"),
+        keys.norm_disease("pathogen").alias("Pathogen Name"),
+        F.when(odd, F.date_format("event_date", "M/d/yyyy")).otherwise(F.col("event_date").cast("string")).alias("Event Onset Date"),
+        F.col("age_group").alias("Age Group"), F.col("cases").cast("string").alias("Cases"), F.col("hospitalized").cast("string").alias("Hospitalizations"),
+    ).write.option("header", True).csv(path)
+    return readers.canonical_regions(readers.read_clinical(spark, path, ("cases", "hospitalized")), named)
 
 
 @register("S5_resolve_columns", "site:s served:f", "SELECT CAST(s_suppkey AS VARCHAR) AS site, s_acctbal AS served FROM supplier")
@@ -283,13 +294,13 @@ def _f6(spark, sf):
 
 @register(
     "F7_norm_labels", "disease:s level:s metric:s n:i",
-    """SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'COVID' WHEN '2' THEN 'Influenza' WHEN '3' THEN 'RSV' WHEN '4' THEN 'Parainfluenza' ELSE 'Sars-Cov-1' END AS disease,
+    """SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'COVID' WHEN '2' THEN 'Influenza' WHEN '3' THEN 'RSV' WHEN '4' THEN 'Parainfluenza (Type_3B/C)' ELSE 'Sars-Cov-1' END AS disease,
        CASE WHEN o_orderstatus = 'F' THEN 'county' ELSE 'sewershed' END AS level, CASE WHEN o_orderstatus = 'P' THEN 'hosp' ELSE 'case' END AS metric, COUNT(*) AS n FROM orders GROUP BY 1, 2, 3""",
 )
 def _f7(spark, sf):
     p = F.substring("o_orderpriority", 1, 1)
     o = dt.table(spark, sf, "orders").select(
-        F.when(p == "1", " sars-cov-2").when(p == "2", "FLU ").when(p == "3", "rsv").when(p == "4", "parainfluenza").otherwise("SARS-CoV-1").alias("d"),
+        F.when(p == "1", " sars-cov-2").when(p == "2", "FLU ").when(p == "3", "rsv").when(p == "4", "PARAINFLUENZA (type_3b/c) ").otherwise("SARS-CoV-1").alias("d"),
         F.when(F.col("o_orderstatus") == "F", "By County").when(F.col("o_orderstatus") == "P", "Treatment plant").when(p == "1", "WWTP")
         .when(p == "2", "Sewer area").otherwise("Utility sewershed").alias("l"),
         F.when(F.col("o_orderstatus") == "P", "Hospitalized case rate").otherwise("Case rate").alias("m"))

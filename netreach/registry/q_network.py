@@ -8,10 +8,12 @@ from netreach.functions import keys
 from netreach.operators import contribution as ct
 from netreach.operators import forecast as fc
 from netreach.operators import network as nw
+from netreach.operators import od
 from netreach.plans.sparse import mean_over, row_normalize
 from netreach.plans.staging import stage
 from netreach.registry import q_select as _select_tables  # noqa: F401  (its SQL tables are used below)
 from netreach.registry.base import register
+from netreach.registry.q_od import flow_stats_sql
 from netreach.registry.q_select import area_cells, site_cells
 from netreach.operators import areal
 from netreach.registry.sqltables import TABLES
@@ -83,6 +85,18 @@ def _m3(spark, sf):
     return p.groupBy("t", "kind", "src").agg(F.count(F.lit(1)).alias("cells"), F.sum("w").alias("w"))
 
 
+@register(
+    "A16_od_flow_stats_counties", "t:d density_pct:r std_flow:r mean_entropy:r nnz:i",
+    flow_stats_sql("SELECT t, src, dst, w FROM fx_proj WHERE kind = 'CC'", "t", "SELECT COUNT(DISTINCT county_fips) AS n FROM fx_edges"),
+)
+def _a16c(spark, sf):
+    """Statistics of the flow between counties that goes through sites."""
+    f = stage(flows(spark, sf))
+    n = f.filter(F.col("src").startswith("C_") | F.col("dst").startswith("C_")).agg(
+        F.count_distinct(F.when(F.col("src").startswith("C_"), F.col("src")).otherwise(F.col("dst"))).alias("n"))
+    return od.od_flow_stats(nw.projections(f, kinds=("CC",)), n, "t")
+
+
 TABLES["fx_looped"] = """
 SELECT t, src, dst, w / SUM(w) OVER (PARTITION BY t, src) AS w FROM (
  SELECT t, src, dst, w FROM fx_flows UNION ALL

@@ -218,7 +218,11 @@ _FLOW = """SELECT week, CASE WHEN direction = 'county_to_wwtp' THEN 'C_' || coun
   CASE WHEN direction = 'county_to_wwtp' THEN 'W_' || wwtp ELSE 'C_' || county_fips END AS dst, volume AS w FROM fx_edges"""
 
 
-def flow_stats_sql(flow: str, key: str) -> str:
+#: How many nodes the bipartite flow has.
+_NODES = "SELECT (SELECT COUNT(DISTINCT county_fips) FROM fx_edges) + (SELECT COUNT(DISTINCT wwtp) FROM fx_edges) AS n"
+
+
+def flow_stats_sql(flow: str, key: str, nodes: str = _NODES) -> str:
     return f"""SELECT {key + ',' if key else ''} SUM(k) * 100.0 / (MIN(n) * MIN(n) - MIN(n)) AS density_pct,
       sqrt(greatest(SUM(s2) / (MIN(n) * MIN(n) - MIN(n)) - (SUM(s1) / (MIN(n) * MIN(n) - MIN(n))) * (SUM(s1) / (MIN(n) * MIN(n) - MIN(n))), 0)) AS std_flow,
       SUM(CASE WHEN k > 1 THEN h / ln(k) ELSE 0 END) / MIN(n) AS mean_entropy, SUM(k) AS nnz
@@ -226,7 +230,7 @@ def flow_stats_sql(flow: str, key: str) -> str:
         (SELECT {key + ',' if key else ''} src, w / SUM(w) OVER (PARTITION BY {key + ',' if key else ''} src) AS p FROM
          (SELECT {key + ',' if key else ''} src, dst, SUM(w) AS w FROM ({flow}) WHERE src <> dst AND w > 0 GROUP BY {key + ',' if key else ''} src, dst))
         GROUP BY {key + ',' if key else ''} src),
-      (SELECT (SELECT COUNT(DISTINCT county_fips) FROM fx_edges) + (SELECT COUNT(DISTINCT wwtp) FROM fx_edges) AS n)
+      ({nodes})
       {'GROUP BY ' + key if key else ''}"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netreach.functions.keys import norm_disease
 from netreach.operators import od, panel, quality, risk
 from netreach.plans.staging import stage
 from netreach.registry.base import register
@@ -95,15 +96,20 @@ def _c1(spark, sf):
 
 
 @register(
-    "C2_full_panel", "region:s week:d raw:f",
-    """SELECT p.county_fips AS region, w.week, COALESCE(raw, 0) AS raw FROM fx_population p CROSS JOIN fx_weeks w LEFT JOIN
-       (SELECT region, week, SUM(cases) AS raw FROM fx_clinical WHERE disease = 'RSV' GROUP BY 1, 2) r ON r.region = p.county_fips AND r.week = w.week""",
+    "C2_full_panel", "disease:s region:s week:d raw:f",
+    """SELECT d.disease, p.county_fips AS region, w.week, COALESCE(raw, 0) AS raw FROM fx_population p CROSS JOIN fx_weeks w
+       CROSS JOIN (SELECT DISTINCT disease FROM fx_clinical WHERE disease IS NOT NULL) d LEFT JOIN
+       (SELECT disease, region, week, SUM(cases) AS raw FROM fx_clinical GROUP BY 1, 2, 3) r ON r.region = p.county_fips AND r.week = w.week AND r.disease = d.disease""",
 )
 def _c2(spark, sf):
-    rec = dt.clinical(spark, sf).withColumn("week", F.date_trunc("week", "event_date").cast("date"))
-    span = rec.agg(F.min("week").cast("string"), F.max("week").cast("string")).first()
-    weekly = rec.filter(F.col("pathogen") == "RSV").groupBy("region", "week").agg(F.sum("cases").alias("raw"))
-    return panel.full_panel(weekly, county_pop(spark, sf), ["raw"], start=span[0], end=span[1])
+    """Every county, week and listed pathogen."""
+    rec = dt.clinical(spark, sf).select(
+        norm_disease("pathogen").alias("disease"), "region", F.date_trunc("week", "event_date").cast("date").alias("week"), "cases")
+    weekly = stage(rec.groupBy("disease", "region", "week").agg(F.sum("cases").alias("raw")))
+    span = weekly.agg(F.min("week").cast("string"), F.max("week").cast("string")).first()
+    diseases = weekly.filter(F.col("disease").isNotNull()).groupBy().agg(F.collect_set("disease").alias("_d"))  # listed names
+    entities = county_pop(spark, sf).crossJoin(F.broadcast(diseases)).select("region", F.explode("_d").alias("disease"))
+    return panel.full_panel(weekly, entities, ["raw"], keys=["disease"], start=span[0], end=span[1])
 
 
 @register(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from netreach.functions.expr import num
-from netreach.functions.keys import canon_area, canon_county, canon_site, strip_county_suffix
+from netreach.functions.keys import canon_area, canon_county, canon_site, norm_region_level, strip_county_suffix
+from netreach.functions.losses import observed
 from netreach.functions.periods import in_window
 from netreach.sources import schemas
 
@@ -50,26 +51,29 @@ def date_from_path(path: Column) -> Column:
     return F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd")).cast("date")
 
 
-def parse_daily_od(raw: DataFrame, path: str = "path") -> DataFrame:
-    """Typed daily records; rows of files without a readable date are dropped."""
-    return (
-        raw.select(
-            date_from_path(F.col(path)).alias("day"), "direction",
-            canon_site("Sewershed-O").alias("sewershed_o"), canon_site("Sewershed-D").alias("sewershed_d"),
-            canon_county("County").alias("county"),
-            num("Volume").alias("volume"), num("Area").alias("area"), num("Population").alias("population"),
-        )
-        .filter(F.col("day").isNotNull())
+def parse_daily_od(raw: DataFrame, path: str = "path", losses: Observation | None = None) -> DataFrame:
+    """Typed daily records; rows of files without a readable date are dropped.
+
+    ``losses`` counts rows without a date, which are dropped, and of the others those with an unreadable volume.
+    """
+    typed = raw.select(
+        date_from_path(F.col(path)).alias("day"), "direction",
+        canon_site("Sewershed-O").alias("sewershed_o"), canon_site("Sewershed-D").alias("sewershed_d"),
+        canon_county("County").alias("county"),
+        num("Volume").alias("volume"), num("Area").alias("area"), num("Population").alias("population"), F.col("Volume").alias("_volume"),
     )
+    no_day = F.col("day").isNull()
+    typed = observed(typed, losses, undated=no_day, unread_volume=~no_day & F.col("volume").isNull() & F.col("_volume").isNotNull())
+    return typed.filter(~no_day).drop("_volume")
 
 
-def read_daily_od(spark: SparkSession, path: str) -> DataFrame:
+def read_daily_od(spark: SparkSession, path: str, losses: Observation | None = None) -> DataFrame:
     """All daily CSV files below ``path``."""
     raw = (
         spark.read.schema(schemas.DAILY_OD).option("header", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE")
         .csv(path).select("*", F.col("_metadata.file_path").alias("path"))
     )
-    return parse_daily_od(raw)
+    return parse_daily_od(raw, losses=losses)
 
 
 def skipped_files(spark: SparkSession, path: str) -> DataFrame:
@@ -135,29 +139,65 @@ def read_bg_links(spark: SparkSession, path: str, direction: str, start: str | N
     return bg_links(spark.read.schema(schemas.BG_LINK).parquet(path), direction, start, end)
 
 
-def clinical_records(raw: DataFrame) -> DataFrame:
-    """Clinical long table with resolved names and typed columns."""
-    d = resolve_columns(
-        raw,
-        {
-            "region_level": ["Region Level"], "region": ["Region Name", "Region"], "pathogen": ["Pathogen Name", "Pathogen"],
-            "event_date": ["Event Onset Date", "Date"], "age_group": ["Age Group"], "cases": ["Case Count"],
-            "hospitalized": ["Hospitalized Count", "Hospital"],
-        },
-        optional=("age_group", "cases", "hospitalized"),
-    )
+#: The column names and date formats of clinical files.
+CLINICAL_COLUMNS = {
+    "region_level": ["Region Level"], "region": ["Region Name", "Region"], "pathogen": ["Pathogen Name", "Pathogen"],
+    "event_date": ["Event Onset Date", "Date", "Week"], "age_group": ["Age Group"], "cases": ["Case Count", "Cases"],
+    "hospitalized": ["Hospitalized Count", "Hospitalizations", "Hospital"],
+}
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "yyyy/M/d", "M/d/yy"]
+
+
+def parse_date(c: Column) -> Column:
+    """The date by the first format that reads it, else null."""
+    text = F.trim(c.cast("string"))
+    return F.coalesce(text.try_cast("date"), *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS[1:]])
+
+
+def clinical_records(raw: DataFrame, metrics: tuple[str, ...] = (), losses: Observation | None = None) -> DataFrame:
+    """Clinical long table with resolved names and typed columns; region names are trimmed.
+
+    Each of ``metrics`` (cases, hospitalized) must have a column, else this raises; one that is not asked for and not there
+    is null.  ``losses`` counts rows whose date or count cannot be read; such rows stay, with nulls.
+    """
+    optional = tuple({"age_group", "cases", "hospitalized"} - set(metrics))
+    found = resolve_columns(raw, CLINICAL_COLUMNS, optional)
+    typed = found.withColumn("region", F.trim("region"))
+    faults = {}
     for c in ("cases", "hospitalized"):
-        d = d.withColumn(c, num(c) if c in d.columns else F.lit(None).cast("double"))
-    return d.withColumn("event_date", F.col("event_date").try_cast("date"))
+        if c in found.columns:
+            faults[f"unread_{c}"] = F.col(f"_{c}").isNotNull() & (F.trim(f"_{c}") != "") & F.col(c).isNull()
+            typed = typed.withColumn(f"_{c}", F.col(c).cast("string")).withColumn(c, num(c))
+        else:
+            typed = typed.withColumn(c, F.lit(None).cast("double"))
+    typed = typed.withColumn("event_date", parse_date(F.col("event_date")))
+    return observed(typed, losses, undated=F.col("event_date").isNull(), **faults).drop("_cases", "_hospitalized")
+
+
+def canonical_regions(records: DataFrame, counties: DataFrame, losses: Observation | None = None) -> DataFrame:
+    """County records with the county's id as ``region``: ids padded, names looked up without case and kind of county.
+
+    ``counties``: (county_fips, county_name).  Records of other levels stay; names that are not listed are dropped and counted.
+    """
+    def key(c: str) -> Column:
+        return F.lower(strip_county_suffix(F.trim(c)))
+
+    names = counties.filter(F.col("county_name").isNotNull()).groupBy(key("county_name").alias("_name")).agg(F.min("county_fips").alias("_id"))
+    county = norm_region_level("region_level") == "county"
+    number = F.col("region").rlike(r"^\s*\d{1,5}(\.0+)?\s*$")
+    named = records.withColumn("_name", F.when(county & ~number, key("region"))).join(names, "_name", "left")
+    region = F.when(~county, F.col("region")).when(number, canon_county("region")).otherwise(F.col("_id"))
+    named = observed(named.withColumn("region", region), losses, unknown_region=F.col("region").isNull())
+    return named.filter(F.col("region").isNotNull()).drop("_name", "_id")
 
 
-def read_clinical(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or Parquet, by extension; spreadsheets have to be exported first."""
+def read_clinical(spark: SparkSession, path: str, metrics: tuple[str, ...] = (), losses: Observation | None = None) -> DataFrame:
+    """CSV or Parquet, by extension, with the columns the file names; spreadsheets have to be exported first."""
     if path.lower().endswith((".xls", ".xlsx")):
         raise ValueError("export the spreadsheet to CSV first")
     if path.lower().rstrip("/").endswith(".parquet"):
-        return clinical_records(spark.read.parquet(path))
-    return clinical_records(spark.read.schema(schemas.CLINICAL).option("header", True).csv(path))
+        return clinical_records(spark.read.parquet(path), metrics, losses)
+    return clinical_records(spark.read.option("header", True).csv(path), metrics, losses)
 
 
 def county_lookup(df: DataFrame, fips: list[str] | None = None, name: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from netreach.functions import keys, periods
@@ -111,3 +112,38 @@ def test_sinks(spark, tmp_path):
     e = sinks.matrix_to_edges(m)
     assert {(r.src, r.dst, r.value) for r in e.collect()} == {("x", "y", 2.0), ("y", "x", 1.0)}
     assert sorted(map(tuple, sinks.edges_to_matrix(e, ["x", "y"]).collect())) == [("x", 0.0, 2.0), ("y", 1.0, 0.0)]
+
+
+def test_losses_are_counted_in_the_same_pass(spark, tmp_path):
+    folder = tmp_path / "od"
+    folder.mkdir()
+    head = "direction,Sewershed-O,Sewershed-D,County,Volume,Area,Population\n"
+    (folder / "od_20240108.csv").write_text(head + "Destination,,p1,1,5,1,1\nsideways,,p1,1,5,1,1\nOrigin,,p1,1,x,1,1\n")
+    (folder / "od_notes.csv").write_text(head + "Destination,,p1,1,5,1,1\nDestination,,p1,1,5,1,1\n")
+    read, week = Observation("read"), Observation("week")
+    weekly = od.weekly_od(readers.read_daily_od(spark, str(folder), read), week)
+    assert weekly.count() == 1
+    assert read.get == {"rows": 5, "undated": 2, "unread_volume": 1}
+    assert week.get["rows"] == 3 and week.get["no_direction"] == 1 and week.get["no_wwtp"] == 2
+
+
+def test_clinical_file(spark, tmp_path):
+    path = str(tmp_path / "cases.csv")
+    with open(path, "w") as f:
+        f.write("Region Level,Region Name,Pathogen Name,Date,Cases\n")
+        f.write("County,  EL PASO county ,COVID,1/9/2024,3\nCounty,041,COVID,2024-01-10 00:00:00,many\nCounty,Atlantis,RSV,2024/1/11,1\nSewershed, Plant A,RSV,someday,2\n")
+    losses, lost = Observation("clinical"), Observation("regions")
+    rec = readers.read_clinical(spark, path, ("cases",), losses)
+    names = spark.createDataFrame([("08041", "El Paso County"), ("00041", "Other")], "county_fips string, county_name string")
+    got = [(x.region, str(x.event_date), x.cases, x.hospitalized) for x in readers.canonical_regions(rec, names, lost).collect()]
+    assert sorted(got) == [("00041", "2024-01-10", None, None), ("08041", "2024-01-09", 3.0, None), ("Plant A", "None", 2.0, None)]
+    assert losses.get == {"rows": 4, "undated": 1, "unread_cases": 1} and lost.get == {"rows": 4, "unknown_region": 1}
+    with pytest.raises(ValueError):
+        readers.read_clinical(spark, path, ("hospitalized",))
+
+
+def test_disease_labels(spark):
+    given = ["Group A - x", "a/b", "(b", "type_3b", " FLU ", "sars cov 2", "o'neil"]
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, d string")
+    got = [x[0] for x in rows.orderBy("i").select(keys.norm_disease("d")).collect()]
+    assert got == [g.strip().title() for g in given[:4]] + ["Influenza", "COVID", "O'Neil"]
