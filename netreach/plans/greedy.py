@@ -54,18 +54,20 @@ def lazy_greedy(sites: np.ndarray, items: np.ndarray, mass: np.ndarray, tie: dic
     return picks
 
 
-def _finish(open_: DataFrame, parts: list[str], limit: int | None) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        tie = dict(zip(group["wwtp"], group["tie"], strict=True))
-        picks = lazy_greedy(group["wwtp"].to_numpy(str), group["item"].to_numpy(str), group["mass"].to_numpy(float), tie, limit)
-        out = pd.DataFrame(picks, columns=["wwtp", "gain"])
-        out["tie"] = out["wwtp"].map(tie).astype(float)
-        for p in parts:
-            out[p] = group[p].iloc[0]
-        return out[[*parts, "wwtp", "tie", "gain"]]
+def _finish(open_: DataFrame, parts: list[str], limit: int | None, tasks: int) -> DataFrame:
+    """Picks of groups that fit a task each; whole groups are dealt to about ``tasks`` pieces of work."""
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, group in piece.groupby(parts, sort=False):
+            tie = dict(zip(group["wwtp"], group["tie"], strict=True))
+            picks = lazy_greedy(group["wwtp"].to_numpy(str), group["item"].to_numpy(str), group["mass"].to_numpy(float), tie, limit)
+            first = [group[p].iloc[0] for p in parts]
+            out += [(*first, w, tie[w], gain) for w, gain in picks]
+        return pd.DataFrame(out, columns=[*parts, "wwtp", "tie", "gain"])
 
     schema = open_.select(*parts, "wwtp", "tie", F.col("mass").alias("gain")).schema
-    return open_.groupBy(*parts).applyInPandas(run, schema)
+    piece = F.pmod(F.xxhash64(*parts), F.lit(tasks))
+    return open_.select(*parts, "wwtp", "item", "mass", "tie").withColumn("_piece", piece).groupBy("_piece").applyInPandas(run, schema)
 
 
 def _round(open_: DataFrame, parts: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -104,12 +106,12 @@ def greedy_cover(
     once = pairs.groupBy(*parts, "wwtp", "item").agg(F.max("mass").cast("double").alias("mass"))
     open_ = stage(once.filter("mass > 0").join(ties.select(*parts, "wwtp", tie), [*parts, "wwtp"]))
     order = [-F.col("gain"), F.col("tie"), F.col("wwtp")]
-    picks = None
+    picks, cores = None, open_.sparkSession.sparkContext.defaultParallelism
     while True:
         sizes = open_.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        largest, total = (x or 0 for x in sizes.agg(F.max("_n"), F.sum("_n")).first())
         small = open_ if largest <= task_pairs else open_.join(sizes.filter(F.col("_n") <= task_pairs).drop("_n"), parts)
-        done = _finish(small, parts, limit)
+        done = _finish(small, parts, limit, max(cores, 2 * total // max(task_pairs, 1)))
         picks = done if picks is None else picks.unionByName(done)
         if largest <= task_pairs:
             break

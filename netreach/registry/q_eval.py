@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netreach.operators import areal, evaluation as ev, graph
-from netreach.operators.coverage import link_weights
+from netreach.operators.coverage import coverage_for_orders, link_weights
 from netreach.plans.staging import stage
-from netreach.registry import q_select as _select_tables  # noqa: F401  (its SQL tables are used below)
 from netreach.registry.base import register
-from netreach.registry.q_graph import features, half_sites, level1_order, orders
+from netreach.registry.q_graph import _CURVE, _GAIN, _steps_sql, features, full_curve_sql, half_sites, level1_order
+from netreach.registry.q_select import strategies
 from netreach.registry.sqltables import TABLES
 from netreach.sources import driver_tables as dt
 
-N = 20  # sites a network may have
-
-TABLES["fx_top"] = "SELECT * FROM fx_orders WHERE ord <= 20"
-
-
-def budget_orders(feats):
-    return stage(orders(feats).filter(F.col("ord") <= N))
-
-
 def comps(spark, sf):
     s = half_sites(spark, sf)
     return stage(graph.components(s, graph.site_edges(s)))
@@ -54,16 +45,16 @@ def weights(spark, sf):
        FROM fx_top o LEFT JOIN fx_top p ON o.wwtp = p.wwtp AND p.strategy = 'level1' GROUP BY 1)""",
 )
 def _e1(spark, sf):
-    return ev.overlap(budget_orders(features(spark, sf)), "level1")
+    return ev.overlap(strategies(spark, sf, features(spark, sf)), "level1")
 
 
 @register(
-    "E1_membership", "wwtp:s in_population:b in_mobility:b in_level1:b n_strategies:i",
-    """SELECT wwtp, bool_or(strategy = 'population') AS in_population, bool_or(strategy = 'mobility') AS in_mobility,
-       bool_or(strategy = 'level1') AS in_level1, COUNT(*) AS n_strategies FROM fx_top GROUP BY 1""",
+    "E1_membership", "wwtp:s in_population:b in_polygon:b in_cbsa:b in_level1:b n_strategies:i",
+    """SELECT wwtp, bool_or(strategy = 'population') AS in_population, bool_or(strategy = 'polygon') AS in_polygon,
+       bool_or(strategy = 'cbsa') AS in_cbsa, bool_or(strategy = 'level1') AS in_level1, COUNT(*) AS n_strategies FROM fx_top GROUP BY 1""",
 )
 def _e1m(spark, sf):
-    return ev.membership(budget_orders(features(spark, sf)), ["population", "mobility", "level1"])
+    return ev.membership(strategies(spark, sf, features(spark, sf)), ["population", "polygon", "cbsa", "level1"])
 
 
 TABLES["fx_spatial"] = """
@@ -85,7 +76,7 @@ _SPATIAL = ("strategy:s n_sites:i n_components:i n_components_all:i n_singleton_
 
 @register("E2_spatial_stats", _SPATIAL, "SELECT * FROM fx_spatial")
 def _e2(spark, sf):
-    o = budget_orders(features(spark, sf))
+    o = strategies(spark, sf, features(spark, sf))
     return ev.spatial_stats(o, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf))
 
 
@@ -105,11 +96,10 @@ _SCORE = "strategy:s score_mean:f score_median:f score_pop_weighted_mean:f score
 @register("E3_score_stats", _SCORE, "SELECT * FROM fx_score_stats")
 def _e3(spark, sf):
     f = features(spark, sf)
-    return ev.score_stats(budget_orders(f), dt.scores(spark, sf), f)
+    return ev.score_stats(strategies(spark, sf, f), dt.scores(spark, sf), f)
 
 
-TABLES["fx_top_steps"] = """
-SELECT strategy, ord, wwtp, bg_fips, population, area, gain FROM fx_steps WHERE ord <= 20"""
+TABLES["fx_top_steps"] = _steps_sql(_GAIN["cap_sum"], "fx_top")
 TABLES["fx_bg_mass"] = "SELECT DISTINCT bg_fips, substr(bg_fips, 1, 5) AS county_fips, area, population FROM fx_weights_share"
 TABLES["fx_county_frac"] = """
 SELECT s.strategy, c.county_fips, least(1.0, greatest(0.0, COALESCE(got, 0) / total)) AS frac FROM (SELECT DISTINCT strategy FROM fx_top) s
@@ -131,7 +121,7 @@ _CONTR = ("strategy:s n_counties_total:i n_counties_reached:i counties_reached_f
 
 @register("E4_county_contribution", _CONTR, "SELECT * FROM fx_contribution")
 def _e4(spark, sf):
-    return ev.county_contribution(budget_orders(features(spark, sf)), weights(spark, sf))
+    return ev.county_contribution(strategies(spark, sf, features(spark, sf)), weights(spark, sf))
 
 
 @register(
@@ -141,7 +131,7 @@ def _e4(spark, sf):
        ON f.county_fips = b.county_fips GROUP BY 1, 2""",
 )
 def _e5(spark, sf):
-    return ev.county_balanced(budget_orders(features(spark, sf)), weights(spark, sf))
+    return ev.county_balanced(strategies(spark, sf, features(spark, sf)), weights(spark, sf))
 
 
 TABLES["fx_nonmetro"] = """
@@ -155,7 +145,7 @@ _NON = "strategy:s nonmetro_area_frac:r nonmetro_pop_frac:r nonmetro_bg_frac:r n
 
 @register("E6_nonmetro_reach", _NON, "SELECT * FROM fx_nonmetro")
 def _e6(spark, sf):
-    return ev.nonmetro_reach(budget_orders(features(spark, sf)), weights(spark, sf), metro(spark, sf))
+    return ev.nonmetro_reach(strategies(spark, sf, features(spark, sf)), weights(spark, sf), metro(spark, sf))
 
 
 TABLES["fx_site_risk"] = "SELECT f.wwtp, greatest(COALESCE(score, 0), 0) AS risk FROM fx_features f LEFT JOIN fx_scores s ON f.wwtp = s.wwtp"
@@ -172,12 +162,19 @@ def site_risk(spark, sf):
 @register("E7_risk_capture", "strategy:s risk_cum:f risk_frac:r n_high_risk:i high_risk_frac:r", "SELECT * FROM fx_capture")
 def _e7(spark, sf):
     f = features(spark, sf)
-    return ev.risk_capture(budget_orders(f), site_risk(spark, sf), f)
+    return ev.risk_capture(strategies(spark, sf, f), site_risk(spark, sf), f)
+
+
+TABLES["fx_top_curves"] = full_curve_sql("fx_top", "fx_top_steps")
+TABLES["fx_top_curve"] = "SELECT * FROM fx_top_curves QUALIFY ord = MAX(ord) OVER (PARTITION BY strategy)"
+
+
+@register("V7_coverage_for_strategies", _CURVE, "SELECT * FROM fx_top_curves")
+def _v7s(spark, sf):
+    f = features(spark, sf)
+    return coverage_for_orders(strategies(spark, sf, f), dt.bg_links(spark, sf), f)
 
 
-TABLES["fx_top_curve"] = """
-SELECT c.* EXCLUDE (frac_pop_served), cum_pop_served / served AS frac_pop_served FROM fx_curve c
-JOIN (SELECT strategy, SUM(pop_served) AS served FROM fx_top t JOIN fx_features f ON t.wwtp = f.wwtp GROUP BY 1) s ON c.strategy = s.strategy WHERE ord = 20"""
 _DES = "[frac_area, frac_volume, counties_contributing_frac, site_area_evenness, component_representation_frac]"
 _COR = "[frac_pop_served, frac_population, frac_area, frac_volume]"
 TABLES["fx_evaluation"] = f"""
@@ -193,7 +190,7 @@ _EVAL = ("strategy:s cum_population:f cum_area:f cum_pop_served:f cum_od_volume_
 def evaluation(spark, sf):
     f = features(spark, sf)
     return ev.evaluate(
-        budget_orders(f), dt.bg_links(spark, sf), f, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf),
+        strategies(spark, sf, f), dt.bg_links(spark, sf), f, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf),
         metro(spark, sf), dt.scores(spark, sf), site_risk(spark, sf))
 
 
@@ -214,7 +211,7 @@ def _e9(spark, sf):
 def _e9n(spark, sf):
     f = features(spark, sf)
     return ev.evaluate(
-        budget_orders(f), None, f, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf), metro(spark, sf),
+        strategies(spark, sf, f), None, f, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf), metro(spark, sf),
         dt.scores(spark, sf), site_risk(spark, sf))
 
 
@@ -278,4 +275,4 @@ def _e10s(spark, sf):
 )
 def _e11(spark, sf):
     f = features(spark, sf)
-    return ev.normalize_for_display(stage(ev.risk_capture(budget_orders(f), site_risk(spark, sf), f)), ["risk_frac"], ["risk_cum", "n_high_risk"])
+    return ev.normalize_for_display(stage(ev.risk_capture(strategies(spark, sf, f), site_risk(spark, sf), f)), ["risk_frac"], ["risk_cum", "n_high_risk"])

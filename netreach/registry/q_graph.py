@@ -285,11 +285,11 @@ def _steps_sql(gain: str, orders_table: str = "fx_orders", weights: str = "fx_we
 TABLES["fx_steps"] = _steps_sql("least(1.0, s) - least(1.0, s - w)")
 
 
-def _curve_sql(steps: str) -> str:
+def _curve_sql(steps: str, orders_table: str = "fx_orders") -> str:
     return f"""SELECT o.strategy, o.ord, o.wwtp, COALESCE(dp, 0) AS delta_population, COALESCE(da, 0) AS delta_area,
       SUM(COALESCE(dp, 0)) OVER (PARTITION BY o.strategy ORDER BY o.ord) AS cum_population,
       SUM(COALESCE(da, 0)) OVER (PARTITION BY o.strategy ORDER BY o.ord) AS cum_area
-      FROM fx_orders o LEFT JOIN (SELECT strategy, ord, SUM(population * gain) AS dp, SUM(area * gain) AS da FROM ({steps}) GROUP BY 1, 2) d
+      FROM {orders_table} o LEFT JOIN (SELECT strategy, ord, SUM(population * gain) AS dp, SUM(area * gain) AS da FROM ({steps}) GROUP BY 1, 2) d
       ON o.strategy = d.strategy AND o.ord = d.ord"""
 
 
@@ -306,14 +306,19 @@ for _u, _g in _GAIN.items():
         _curve_sql(_steps_sql(_g)),
     )(_v3)
 
-TABLES["fx_curve"] = f"""
+def full_curve_sql(orders_table: str, steps_table: str) -> str:
+    """Coverage curves of every strategy of a table of orders."""
+    return f"""
 SELECT c.*, cum_population / lp AS frac_population, cum_area / la AS frac_area, cum_pop_served, cum_pop_served / served AS frac_pop_served,
-  cum_od_volume_total, cum_od_volume_total / vol AS frac_volume, lp AS linked_population, la AS linked_area FROM ({_curve_sql('SELECT * FROM fx_steps')}) c
+  cum_od_volume_total, cum_od_volume_total / vol AS frac_volume, lp AS linked_population, la AS linked_area FROM ({_curve_sql(f'SELECT * FROM {steps_table}', orders_table)}) c
 JOIN (SELECT o.strategy, o.ord, SUM(pop_served) OVER w AS cum_pop_served, SUM(od_volume_total) OVER w AS cum_od_volume_total,
-   SUM(pop_served) OVER (PARTITION BY o.strategy) AS served FROM fx_orders o JOIN fx_features f ON o.wwtp = f.wwtp WINDOW w AS (PARTITION BY o.strategy ORDER BY o.ord)) a
+   SUM(pop_served) OVER (PARTITION BY o.strategy) AS served FROM {orders_table} o JOIN fx_features f ON o.wwtp = f.wwtp WINDOW w AS (PARTITION BY o.strategy ORDER BY o.ord)) a
  ON c.strategy = a.strategy AND c.ord = a.ord
 CROSS JOIN (SELECT SUM(od_volume_total) AS vol FROM fx_features)
 CROSS JOIN (SELECT SUM(population) AS lp, SUM(area) AS la FROM (SELECT DISTINCT bg_fips, population, area FROM fx_weights_share))"""
+
+
+TABLES["fx_curve"] = full_curve_sql("fx_orders", "fx_steps")
 _CURVE = ("strategy:s ord:i wwtp:s delta_population:f cum_population:f delta_area:f cum_area:f frac_population:r frac_area:r "
           "cum_pop_served:f frac_pop_served:r cum_od_volume_total:f frac_volume:r linked_population:f linked_area:f")
 

@@ -487,7 +487,10 @@ def _cbsa_sql(n: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT * FROM ({rows}) WHERE ord <= {n}"
 
 
-@register("B4_cbsa_order", "ord:i wwtp:s source:s", _cbsa_sql(N))
+TABLES["fx_cbsa_order"] = _cbsa_sql(N)
+
+
+@register("B4_cbsa_order", "ord:i wwtp:s source:s", "SELECT * FROM fx_cbsa_order")
 def _b4(spark, sf):
     f = features(spark, sf)
     assigned = areal.assign_cbsa(dt.sites(spark, sf), dt.cbsa_polygons(spark, sf), 100.0)
@@ -562,3 +565,23 @@ def _b8(spark, sf):
         "cbsa": baselines.cbsa_order(f, dt.sites(spark, sf), assigned, None),
         "level1": baselines.full_level1_order(ranks, selection.trim_to_budget(whole_selection(spark, sf), N)),
     })
+
+
+TABLES["fx_top"] = f"""
+SELECT 'population' AS strategy, ord, wwtp FROM fx_orders WHERE strategy = 'population' AND ord <= {N}
+UNION ALL SELECT 'polygon', row_number() OVER (ORDER BY COALESCE(g.ord, 1000000000), ROUND(pop_served, 6) DESC, f.wwtp) AS ord, f.wwtp
+  FROM fx_features f LEFT JOIN fx_greedy_cells g ON f.wwtp = g.wwtp QUALIFY ord <= {N}
+UNION ALL SELECT 'cbsa', ord, wwtp FROM fx_cbsa_order
+UNION ALL SELECT 'level1', ord, wwtp FROM fx_budget"""
+
+
+def strategies(spark, sf, feats):
+    """The networks that are compared: the largest sites, the widest area, one for each census area, and the selection."""
+    sites = dt.sites(spark, sf)
+    assigned = areal.assign_cbsa(sites, dt.cbsa_polygons(spark, sf), 100.0)
+    return stage(baselines.full_orders({
+        "population": baselines.population_order(feats, N),
+        "polygon": baselines.greedy_new_polygon_area(site_cells(spark, sf), feats, CELL * CELL, N),
+        "cbsa": baselines.cbsa_order(feats, sites, assigned, N),
+        "level1": selection.trim_to_budget(whole_selection(spark, sf), N),
+    }))
