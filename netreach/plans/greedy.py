@@ -1,12 +1,10 @@
 """Greedy covers of many groups at once, exact and without a job per pick.
 
 A greedy cover takes, again and again, the site with the largest new mass; ties go to the smaller ``tie``, then name.
-New masses only fall while sites are taken, so the order of the picks is the falling order of the masses they had when
-they were taken, and a site may be taken as soon as no site with which it shares an open item comes before it: nothing
-taken later, or elsewhere, can change its mass any more.  A round takes all such sites of all groups, so rounds follow
-the longest chain of overlapping sites in rank order and not the number of picks.
-
-Groups whose open pairs fit one task are finished there by one lazy pass over a heap of upper bounds.
+New masses only fall while sites are taken, so a mass that was computed once is an upper bound.  A round hands the sites with
+the largest masses of each group to one task, as many as fit, which takes from them as long as the next pick comes
+before the best site left outside; that order is exact, and a round takes many picks.  Masses are then computed anew.
+Groups that fit one task as a whole are finished there.
 """
 
 from __future__ import annotations
@@ -22,12 +20,15 @@ from pyspark.sql import functions as F
 from netreach.plans.ordering import number_rows
 from netreach.plans.staging import stage
 
-#: Open (site, item) pairs of a group that one task finishes.
-TASK_PAIRS = 200_000
+#: Open (site, item) pairs of a group, and sites of a large one, that one task works on.
+TASK_PAIRS, HEAD = 1_000_000, 4_096
+
 
+def lazy_greedy(sites: np.ndarray, items: np.ndarray, mass: np.ndarray, tie: dict, limit: int | None, stop: tuple | None = None) -> list[tuple[str, float]]:
+    """Picks (site, new mass) over the open pairs of one group; a bound is recomputed only when it is the largest.
 
-def lazy_greedy(sites: np.ndarray, items: np.ndarray, mass: np.ndarray, tie: dict, limit: int | None) -> list[tuple[str, float]]:
-    """Picks (site, new mass) over the open pairs of one group; a bound is recomputed only when it is the largest."""
+    ``stop`` is the key (minus mass, tie, name) of the first site that is not among them.
+    """
     names, site = np.unique(sites, return_inverse=True)
     item = np.unique(items, return_inverse=True)[1]
     order = np.argsort(site, kind="stable")
@@ -43,6 +44,8 @@ def lazy_greedy(sites: np.ndarray, items: np.ndarray, mass: np.ndarray, tie: dic
     picks: list[tuple[str, float]] = []
     while heap and (limit is None or len(picks) < limit):
         bound, t, name, k = heapq.heappop(heap)
+        if stop is not None and (bound, t, name) > stop:
+            break
         now = gain(k)
         if now <= 0:
             continue
@@ -55,38 +58,45 @@ def lazy_greedy(sites: np.ndarray, items: np.ndarray, mass: np.ndarray, tie: dic
 
 
 def _finish(open_: DataFrame, parts: list[str], limit: int | None, tasks: int) -> DataFrame:
-    """Picks of groups that fit a task each; whole groups are dealt to about ``tasks`` pieces of work."""
+    """Picks of groups that fit a task each; whole groups are dealt to about ``tasks`` pieces of work.
+
+    ``open_``: (parts, wwtp, item, mass, tie) and ``stop``, the key that the picks of the group have to come before, or null.
+    """
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, group in piece.groupby(parts, sort=False):
             tie = dict(zip(group["wwtp"], group["tie"], strict=True))
-            picks = lazy_greedy(group["wwtp"].to_numpy(str), group["item"].to_numpy(str), group["mass"].to_numpy(float), tie, limit)
+            at = group["stop"].iloc[0]
+            stop = None if at is None else (at["g"], at["t"], at["w"])
+            picks = lazy_greedy(group["wwtp"].to_numpy(str), group["item"].to_numpy(str), group["mass"].to_numpy(float), tie, limit, stop)
             first = [group[p].iloc[0] for p in parts]
             out += [(*first, w, tie[w], gain) for w, gain in picks]
         return pd.DataFrame(out, columns=[*parts, "wwtp", "tie", "gain"])
 
     schema = open_.select(*parts, "wwtp", "tie", F.col("mass").alias("gain")).schema
     piece = F.pmod(F.xxhash64(*parts), F.lit(tasks))
-    return open_.select(*parts, "wwtp", "item", "mass", "tie").withColumn("_piece", piece).groupBy("_piece").applyInPandas(run, schema)
+    return open_.select(*parts, "wwtp", "item", "mass", "tie", "stop").withColumn("_piece", piece).groupBy("_piece").applyInPandas(run, schema)
 
 
-def _round(open_: DataFrame, parts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(sites taken, pairs still open with the keys of their sites), both staged."""
-    site, item = [*parts, "wwtp"], [*parts, "item"]
-    gains = open_.groupBy(*site).agg(F.round(F.sum("mass"), 6).alias("gain"), F.first("tie").alias("tie")).filter("gain > 0")
+def _round(open_: DataFrame, parts: list[str], limit: int | None, task_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """(sites taken, pairs still open), both staged."""
+    site = [*parts, "wwtp"]
+    gains = open_.groupBy(*site).agg(F.round(F.sum("mass"), 6).alias("gain"), F.first("tie").alias("tie"), F.count(F.lit(1)).alias("_pairs"))
+    order = Window.partitionBy(*parts).orderBy(F.desc("gain"), "tie", "wwtp")
+    # the head of each group and the site after it; map tasks forward no more of a group
+    ranked = gains.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= HEAD + 1)
+    ranked = ranked.withColumn("_sum", F.sum("_pairs").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     key = F.struct((-F.col("gain")).alias("g"), F.col("tie").alias("t"), F.col("wwtp").alias("w"))
-    keyed = open_.drop("tie", "key").join(gains.select(*site, "tie", key.alias("key")), site)
-    first = keyed.groupBy(*item).agg(F.min("key").alias("first"))
-    marked = stage(keyed.join(first, item))
-    taken = marked.groupBy(*site).agg(
-        F.first("tie").alias("tie"), (-F.first("key.g")).alias("gain"), F.bool_and(F.col("first.w") == F.col("wwtp")).alias("_all"))
-    taken = stage(taken.filter("_all").drop("_all"))
-    # all items of a site that is taken have it first
-    gone = taken.select(*[F.col(p).alias(f"_{p}") for p in parts], F.col("wwtp").alias("_w"))
-    on = F.col("first.w") == F.col("_w")
-    for p in parts:
-        on = on & (F.col(p) == F.col(f"_{p}"))
-    return taken, stage(marked.join(gone, on, "left_anti").drop("first"))
+    inside = (F.col("_sum") <= task_pairs) & (F.col("_r") <= HEAD)
+    ranked = stage(ranked.withColumns({"_in": inside, "key": key}))
+    stop = ranked.groupBy(*parts).agg(F.min(F.when(~F.col("_in"), F.col("key"))).alias("stop"))
+    heads = open_.join(ranked.filter("_in").select(*site), site).join(stop, parts)
+    taken = _finish(heads, parts, limit, open_.sparkSession.sparkContext.defaultParallelism)
+    # a first site that does not fit a task is taken as it is
+    alone = ranked.filter((F.col("_r") == 1) & ~F.col("_in")).select(*site, "tie", "gain")
+    taken = stage(taken.unionByName(alone))
+    items = open_.join(taken.select(*site), site, "left_semi").select(*parts, "item").distinct()
+    return taken, stage(open_.join(items, [*parts, "item"], "left_anti"))
 
 
 def greedy_cover(
@@ -95,8 +105,7 @@ def greedy_cover(
     """(parts, wwtp, tie, gain, ord) of every site that adds mass, in greedy order; the first ``limit`` of a group if given.
 
     ``pairs``: (parts, wwtp, item, mass), of repeated pairs the largest mass; ``ties``: (parts, wwtp, tie), smaller first and
-    null before all.  Groups must not be null.  A site's keys only grow, so with a limit a site that now comes after the
-    limit-th pick of its group is dropped.
+    null before all.  Groups must not be null.
     """
     given = parts or []
     parts = given or ["_group"]
@@ -107,28 +116,26 @@ def greedy_cover(
     open_ = stage(once.filter("mass > 0").join(ties.select(*parts, "wwtp", tie), [*parts, "wwtp"]))
     order = [-F.col("gain"), F.col("tie"), F.col("wwtp")]
     picks, cores = None, open_.sparkSession.sparkContext.defaultParallelism
+    none = F.lit(None).cast("struct<g: double, t: double, w: string>")
     while True:
         sizes = open_.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
         largest, total = (x or 0 for x in sizes.agg(F.max("_n"), F.sum("_n")).first())
         small = open_ if largest <= task_pairs else open_.join(sizes.filter(F.col("_n") <= task_pairs).drop("_n"), parts)
-        done = _finish(small, parts, limit, max(cores, 2 * total // max(task_pairs, 1)))
+        done = _finish(small.withColumn("stop", none), parts, limit, max(cores, 2 * total // max(task_pairs, 1)))
         picks = done if picks is None else picks.unionByName(done)
         if largest <= task_pairs:
             break
         open_ = open_.join(sizes.filter(F.col("_n") > task_pairs).drop("_n"), parts)
-        taken, open_ = _round(open_, parts)
+        taken, open_ = _round(open_, parts, limit, task_pairs)
         picks = stage(picks.unionByName(taken))
-        if limit is not None:
-            picks = stage(_first(picks, parts, order, limit))
-            full = picks.groupBy(*parts).agg(
-                F.count(F.lit(1)).alias("_n"), F.max(F.struct((-F.col("gain")).alias("g"), F.col("tie").alias("t"), F.col("wwtp").alias("w"))).alias("_last"))
-            open_ = open_.join(full.filter(F.col("_n") >= limit), parts, "left").filter(F.col("_last").isNull() | (F.col("key") < F.col("_last"))).drop("_n", "_last")
+        if limit is not None:  # later picks come after earlier ones, so a group with enough of them is done
+            full = picks.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= limit).drop("_n")
+            open_ = open_.join(full, parts, "left_anti")
     if limit is not None:
-        return _first(picks, parts, order, limit, "ord").drop("_group")
+        return _first(picks, parts, order, limit).drop("_group")
     return number_rows(picks, given, order, "ord").drop("_group")
 
 
-def _first(rows: DataFrame, parts: list[str], order: list, n: int, name: str = "_n") -> DataFrame:
+def _first(rows: DataFrame, parts: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group, numbered; map tasks forward no more than n of a group."""
-    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).filter(F.col(name) <= n)
-    return numbered if name == "ord" else numbered.drop(name)
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).filter(F.col("ord") <= n)
