@@ -262,7 +262,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, block_se
     rows = stage(scan(docs, width, percent, frequent_shingles(docs, width), 4 * parts), "shingles")
     documents = rows.where("sid IS NOT NULL").select("doc_id", "sid", "n")
     group = stage(groups(rows), "groups")
-    first = documents.groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(-1 << 63))).alias("key"), F.first("n").alias("n"))
+    first = documents.groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(-1 << 63))).alias("key"), F.min("doc_id").alias("id"), F.first("n").alias("n"))
     member = stage(group.join(first, "sid"), "members")
     size = member.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("shingles") / block_tokens)).cast("int")
@@ -285,7 +285,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, block_se
         classes = components(found)
     labels = classes.select(F.col("node").alias("sid"), "label")
     named = first.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    name = named.groupBy("label").agg(F.min(F.when(F.col("key") > (-1 << 63), F.col("key"))).alias("component_id"))
+    name = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = join_hot(named.select("sid", "label"), name, "label", "sid").select("sid", "component_id")
     linked = join_hot(documents.where("n > 0"), named, "sid", "doc_id")
     alone = documents.where("n = 0").withColumn("component_id", F.col("doc_id"))

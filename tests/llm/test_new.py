@@ -236,3 +236,15 @@ def test_spelling_variants(spark, messy, nothing, monkeypatch):
     counted = {x.word: x.n for x in spelling.word_counts(messy, every=3, least_length=2, least_count=1).collect()}
     assert counted == {w: c for w, c in plain_counts(messy.collect(), 3).items() if len(w) >= 2}
     assert spelling.spelling_variants(messy).count() >= 1 and spelling.spelling_variants(nothing).count() == 0
+
+
+# ---------------------------------------------------------------- an id that is null
+
+
+def test_null_id_does_not_take_a_class_name(spark):
+    from netreach.llm import ngram_join
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (5, text), (9, text + " eleven"), (None, "only this one has no id at all here"), (7, "quite another text of some words here")]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
+    assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == sorted([(None, 5), (5, 5), (9, 5), (None, None), (7, 7)], key=str)
