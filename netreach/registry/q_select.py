@@ -428,12 +428,21 @@ TABLES["fx_greedy_cells"] = _greedy_sql(
     "SELECT wwtp, pop_served AS tie FROM fx_features", N)
 
 
-@register("B2_greedy_new_area", "ord:i wwtp:s gain:f", "SELECT * FROM fx_greedy_area")
+@register(
+    "B2_greedy_new_area", "ord:i wwtp:s gain:f",
+    f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY COALESCE(g.ord, 1000000000), l.wwtp IS NULL, CASE WHEN l.wwtp IS NULL THEN -ROUND(area_reached, 6) ELSE -ROUND(tie, 9) END, f.wwtp) AS ord,
+        f.wwtp, COALESCE(gain, 0) AS gain FROM fx_features f JOIN fx_area_tie t ON f.wwtp = t.wwtp LEFT JOIN fx_greedy_area g ON f.wwtp = g.wwtp
+        LEFT JOIN (SELECT DISTINCT wwtp FROM fx_links WHERE direction = 'Destination') l ON f.wwtp = l.wwtp) WHERE ord <= {N}""",
+)
 def _b2(spark, sf):
     return baselines.greedy_new_area(dt.bg_links(spark, sf), features(spark, sf), N)
 
 
-@register("B3_greedy_new_polygon_area", "ord:i wwtp:s gain:f", "SELECT * FROM fx_greedy_cells")
+@register(
+    "B3_greedy_new_polygon_area", "ord:i wwtp:s gain:f",
+    f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY COALESCE(g.ord, 1000000000), ROUND(pop_served, 6) DESC, f.wwtp) AS ord, f.wwtp, COALESCE(gain, 0) AS gain
+        FROM fx_features f LEFT JOIN fx_greedy_cells g ON f.wwtp = g.wwtp) WHERE ord <= {N}""",
+)
 def _b3(spark, sf):
     return baselines.greedy_new_polygon_area(site_cells(spark, sf), features(spark, sf), CELL * CELL, N)
 
@@ -569,8 +578,8 @@ def _b8(spark, sf):
 
 TABLES["fx_top"] = f"""
 SELECT 'population' AS strategy, ord, wwtp FROM fx_orders WHERE strategy = 'population' AND ord <= {N}
-UNION ALL SELECT 'polygon', row_number() OVER (ORDER BY COALESCE(g.ord, 1000000000), ROUND(pop_served, 6) DESC, f.wwtp) AS ord, f.wwtp
-  FROM fx_features f LEFT JOIN fx_greedy_cells g ON f.wwtp = g.wwtp QUALIFY ord <= {N}
+UNION ALL SELECT * FROM (SELECT 'polygon', row_number() OVER (ORDER BY COALESCE(g.ord, 1000000000), ROUND(pop_served, 6) DESC, f.wwtp) AS ord, f.wwtp
+  FROM fx_features f LEFT JOIN fx_greedy_cells g ON f.wwtp = g.wwtp) WHERE ord <= {N}
 UNION ALL SELECT 'cbsa', ord, wwtp FROM fx_cbsa_order
 UNION ALL SELECT 'level1', ord, wwtp FROM fx_budget"""
 
