@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Words are read up to this length; longer ones match stems only.
-LONGEST = 40
+#: Letters of words that are held at a time, about.
+HELD = 4_000_000
 #: Letters of the terms of one automaton, about; a lexicon has as many automata as it needs.
 LETTERS = 60
 
@@ -29,11 +29,13 @@ def edits_allowed(term: Term) -> int:
 class Matcher:
     """The words within the allowed edits of a term, with a term of the fewest edits.
 
-    Terms are sorted and dealt to automata, so that terms of one beginning share states.
+    Terms are sorted and dealt to automata, so that terms of one beginning share states. A word is read up to three letters
+    beyond the longest term: from there on no edits make it a term, and a stem is reached or not.
     """
 
     def __init__(self, terms: list[Term]):
         self.terms = terms
+        self.longest = max((len(t.text) for t in terms), default=0) + 3
         self.parts: list[tuple[Automaton, np.ndarray]] = []
         own: list[int] = []
         size = 0
@@ -50,9 +52,16 @@ class Matcher:
         """{word: (term, edits)} of the words that match."""
         if not words or not self.terms:
             return {}
-        read = np.array([w[:LONGEST] for w in words], dtype=f"U{LONGEST}")
-        points = read.view(np.uint32).reshape(len(words), LONGEST)
-        length = np.array([min(len(w), LONGEST) for w in words])
+        rows = max(1, HELD // self.longest)
+        found: dict[str, tuple[int, int]] = {}
+        for k in range(0, len(words), rows):
+            found.update(self._match(words[k:k + rows]))
+        return found
+
+    def _match(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        length = np.array([min(len(w), self.longest) for w in words])
+        widest = max(1, int(length.max()))
+        points = np.array([w[:widest] for w in words], dtype=f"U{widest}").view(np.uint32).reshape(len(words), widest)
         none = np.iinfo(np.int64).max
         best = np.full(len(words), none)
         for automaton, own in self.parts:
@@ -143,10 +152,10 @@ class Automaton:
             self.used.append(used)
         self.table = np.array(table, np.int32)
         self.found, self.used = np.array(self.found, np.int32), np.array(self.used, np.int32)
-        codes = np.full(1 << 16, len(letters), np.int32)
+        # the last place stands for all letters beyond those of the terms
+        codes = np.full(max(map(ord, letters), default=0) + 2, len(letters), np.int32)
         for x, k in self.letters.items():
-            if ord(x) < len(codes):
-                codes[ord(x)] = k
+            codes[ord(x)] = k
         self.codes = codes
 
     def read(self, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

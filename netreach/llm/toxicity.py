@@ -2,7 +2,8 @@
 
 1. The lexicon is learned from a bounded sample of labelled texts: words, and word beginnings of three letters or more,
    that are in significantly many toxic texts and in few others; copies of a text count once. Like counts along a
-   beginning are one term, its longest form; words that are significant themselves stay beside their beginning.
+   beginning are one term, its longest form; words that are significant themselves stay beside their beginning. Every
+   significant term is kept.
 2. All terms stand in tries, which are met with Levenshtein automata (``lexicon``): one edit for words and word beginnings
    of five letters, two from nine on.
 3. Each hit is read in its context: inside quotation marks or beside a word of report it counts as quoted; beside a word
@@ -33,8 +34,6 @@ from netreach.llm.lexicon import Matcher, Term
 
 #: Labelled texts of each class that the lexicon and the model are learned from, at most.
 TRAINING = 4_000
-#: Terms in the lexicon at most; words beside a beginning are not counted.
-TERMS = 200
 #: A term is in at least so many distinct toxic texts of the sample, and so many times as often there as elsewhere.
 LEAST_TEXTS, LEAST_RATIO = 3, 20.0
 #: Forms as common as a term that would be as toxic by chance, at most, if labels were dealt at random.
@@ -101,7 +100,7 @@ def choose_terms(good: list[tuple[str, bool, int, int]], toxic: int, clean: int)
         elif not stem or longer.get(text, 0) < 0.9 * texts[text, stem]:
             chosen.add((text, stem))
     out: list[Term] = []
-    for text, stem in sorted(chosen, key=lambda x: (-texts[x] * weight[x], x))[:TERMS]:
+    for text, stem in sorted(chosen, key=lambda x: (-texts[x] * weight[x], x)):
         out.append(Term(text, stem, weight[text, stem]))
         if stem:
             out += [Term(x, False, weight[x, False]) for x in beside.get(text, ())]
@@ -135,7 +134,7 @@ def learn_terms(texts: DataFrame) -> tuple[Matcher, frozenset[str]]:
 
     rows = counts.where(F.col("a") >= LEAST_TEXTS).mapInArrow(good, counts.schema).collect()
     matcher = Matcher(choose_terms([(r.text, r.stem, r.a, r.b) for r in rows], toxic, clean))
-    shared = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(matcher))  # a lexicon of bounded size, by value
+    shared = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(matcher))  # words of the sample, by value
 
     def resemble(batches):
         matcher = pickle.loads(shared.value)
@@ -222,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, mos
     matcher, ordinary = learn_terms(texts)
     if not matcher.terms:
         return Model()
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((matcher, ordinary)))  # a lexicon of bounded size, words of the sample
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((matcher, ordinary)))  # words of the sample
 
     def run(batches):
         features = scorer(*pickle.loads(shared.value))
