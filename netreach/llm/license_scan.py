@@ -11,8 +11,9 @@ words of templates only, as no other word can match). Then for each template of
 - position: words of the template rarer than the block's first hit are missing from it; when those alone are too many,
   the block is passed over.
 
-What is left is counted exactly. A template may also name words of which all must be present, so that near variants of
-one licence are told apart.
+What is left is counted exactly; every block at the threshold is found (``matching_blocks``). A template may also name words
+that tell it from its near variants. They drop no block; they choose its labels: a match without all of its telling words
+gives a label only where the block holds neither a match with all of its own nor the start of a base place.
 
 Base places: where the words of a phrase stand consecutively, counted in words from 0. A base place gives its label and a
 score of 1; otherwise the score is the highest containment found, 0 without any. Null counts as empty. Repeated rows
@@ -36,7 +37,7 @@ SLICE = 128
 #: Phrases and labels of the base.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: Label: (words of the template, words that must all be there).
+#: Label: (words of the template, words that tell it from near variants).
 TEMPLATES = {
     "apache-2.0": ("licensed under the apache license version 2 0", "apache license 2"),
     "mit": ("released under the mit license", "mit license"),
@@ -87,18 +88,18 @@ class Joiner:
     def __init__(self, templates: dict, counts: dict[str, int], threshold: float):
         self.templates = []
         self.leads: dict[str, list[tuple[int, int]]] = {}
-        for label, (text, must) in templates.items():
+        for label, (text, telling) in templates.items():
             tokens = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
             need = -int(-threshold * len(tokens) // 1)
             for place, word in enumerate(tokens[:len(tokens) - need + 1]):
                 self.leads.setdefault(word, []).append((len(self.templates), place))
-            self.templates.append((label, tokens, frozenset(tokens), frozenset(must.split()), need))
+            self.templates.append((label, tokens, frozenset(tokens), frozenset(telling.split()), need))
 
-    def matches(self, words: list[str]) -> dict[str, float]:
-        """{label: highest containment} over the blocks of a text."""
-        best: dict[str, float] = {}
+    def matches(self, words: list[str]) -> list[tuple[int, str, float, bool]]:
+        """(first word, label, containment, whether all telling words are there) of every block that matches a template."""
+        found: list[tuple[int, str, float, bool]] = []
         if self.leads.keys().isdisjoint(words):
-            return best
+            return found
         asked: dict[tuple[int, int], int] = {}
         for at, word in enumerate(words):
             for template, place in self.leads.get(word, ()):
@@ -106,19 +107,24 @@ class Joiner:
                     key = (block, template)
                     asked[key] = min(asked.get(key, place), place)
         sets: dict[int, frozenset[str]] = {}
-        for (block, template), place in asked.items():
-            label, tokens, whole, must, need = self.templates[template]
+        for (block, template), place in sorted(asked.items()):
+            label, tokens, whole, telling, need = self.templates[template]
             if len(tokens) - place < need:
                 continue
             if block not in sets:
                 sets[block] = frozenset(words[block * STEP:block * STEP + BLOCK])
             own = sets[block]
-            if len(own) < need or not must <= own:
-                continue
-            share = len(whole & own)
+            share = len(whole & own) if len(own) >= need else 0
             if share >= need:
-                best[label] = max(best.get(label, 0.0), share / len(tokens))
-        return best
+                found.append((block * STEP, label, share / len(tokens), telling <= own))
+        return found
+
+
+def chosen(found: list[tuple[int, str, float, bool]], base: list[tuple[int, str]]) -> set[str]:
+    """The labels of a text's matching blocks."""
+    told = {start for start, _, _, telling in found if telling}
+    told.update(start for start in {x[0] for x in found} if any(start <= at < start + BLOCK for at, _ in base))
+    return {label for start, label, _, telling in found if telling or start not in told}
 
 
 def base_places(words: list[str]) -> list[tuple[int, str]]:
@@ -145,9 +151,10 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, threshold: float = THRESH
                 base, more = base_places(words), join.matches(words)
                 starts = [at for at, _ in base]
                 labels = {x for _, x in base}
+                score = 1.0 if base else max((x[2] for x in more), default=0.0)
                 out.append((
                     len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
-                    ",".join(sorted(labels | more.keys())), 1.0 if base else max(more.values(), default=0.0),
+                    ",".join(sorted(labels | chosen(more, base))), score,
                 ))
             columns = zip(*out, strict=True)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
@@ -156,3 +163,21 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, threshold: float = THRESH
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def matching_blocks(docs: DataFrame, templates: dict = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, label, first_word, containment, telling) of every block of ``docs`` that contains enough of a template."""
+    counts = template_counts(docs, templates)
+
+    def run(batches):
+        join = Joiner(templates, counts, threshold)
+        for part, rows in texts(batches):
+            ids = part.column(0).to_pylist()
+            out = [(doc, label, start, share, telling) for doc, words in zip(ids, rows, strict=True) for start, label, share, telling in join.matches(words)]
+            if out:
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "first_word", "containment", "telling"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, label string, first_word long, containment double, telling boolean")
