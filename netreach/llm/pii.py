@@ -7,16 +7,18 @@ The method adds spans of words (information-theoretic sanitisation). An entity i
 letters outside the base spans, of any length. Every word of a text that holds the entity is a candidate. Over the whole
 corpus, with n texts, of which n_e hold the entity, n_t the word, and n_et both, a word discloses of the entity's information
 
-    ln(n_et n / (n_e n_t)) / ln(n / n_e)
+    ln(p n / n_e) / ln(n / n_e)
 
-which is 1 if the word is in no other text. A pair seen in at least ``SUPPORT`` texts is removed (kind ``term``) from
-``REMOVE`` on, and generalised (kind ``general``) from ``GENERALISE`` on, at every place in the texts that hold the entity.
+where p is the share n_et / n_t of the word's texts that hold the entity. It would be 1 if the word is in no other text; as
+few texts say little, p is taken at its lower confidence bound (Wilson's, ``TRUST`` standard errors), so rare entities are
+judged too, by what their texts can tell. A pair is removed (kind ``term``) from ``remove`` on, and generalised (kind
+``general``) from ``generalise`` on, at every place in the texts that hold the entity.
 Base spans stay as they are. In scripts without spaces a run of letters is a word, so names within it are not told apart.
 
 All of it is DataFrame operations. Positions come from the text's pieces between matches, in code points, end exclusive.
 Patterns use possessive quantifiers and start only where a run of their letters starts, so a run of any length is read
 once and without recursion; they match what the plain forms match. Pairs and words are counted before they are
-joined; only texts with an entity of enough support give pairs. A null text is empty. Rows with equal id and text share their result;
+joined; only texts with an entity give pairs. A null text is empty. Rows with equal id and text share their result;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netreach.llm.common import small, stage, text_or_empty
+from netreach.llm.common import stage, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "term", "general"]
 #: For each base kind: its pattern, and a quick test that a text must pass to hold one.
@@ -35,16 +37,15 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
+REMOVE, GENERALISE, TRUST = 0.95, 0.8, 0.7
 WORD = r"\p{L}++"
 #: Matches that are placed at a time, so that the work grows with a text's matches and not with their square.
 BLOCK = 256
 
 
-def found(text: Column, pattern: str | Column) -> Column:
-    """Matches in order: struct(start, end, value)."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+def found_blocks(text: Column, pattern: str) -> Column:
+    """Matches in order, in blocks: struct(at, out: struct(start, end, value)), places in a block being from its ``at``."""
+    gaps, values = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
     out = "array<struct<start:int,end:int,value:string>>"
     kind = f"struct<at:int,out:{out}>"
@@ -59,12 +60,20 @@ def found(text: Column, pattern: str | Column) -> Column:
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("out")).cast(kind)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)), empty, step))
+    whole = f"struct<at:int,out:array<{kind}>>"
 
     def place(acc: Column, x: Column) -> Column:
-        moved = F.transform(x["out"], lambda y: F.struct((acc["at"] + y["start"]).alias("start"), (acc["at"] + y["end"]).alias("end"), y["value"].alias("value")))
-        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], moved).alias("out")).cast(kind)
+        own = F.struct(acc["at"].alias("at"), x["out"].alias("out"))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(own)).alias("out")).cast(whole)
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")).cast(whole)
+    return F.aggregate(blocks, none, place)["out"]
 
-    return F.aggregate(blocks, empty, place)["out"]
+
+def found(text: Column, pattern: str) -> Column:
+    """Matches in order: struct(start, end, value)."""
+    return F.flatten(F.transform(found_blocks(text, pattern), lambda b: F.transform(b["out"], lambda y: F.struct(
+        (b["at"] + y["start"]).alias("start"), (b["at"] + y["end"]).alias("end"), y["value"].alias("value")))))
 
 
 def digits(value: Column) -> Column:
@@ -134,64 +143,66 @@ def same_row(left: str = "_doc", right: str = "_key") -> Column:
 
 
 def holding_texts(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, free: text without its base spans, entities) of the texts that hold an entity of enough support,
-    each once, and (entity, n_e) of those entities."""
+    """(doc_id, text_key, free: text without its base spans, entities) of the texts that hold an entity, each once, and
+    (entity, n_e) of the entities."""
     spans = base.where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    held = spans.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity"))
-    entities = stage(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
-    wide = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("places"))
-    own = held.join(small(entities.select("entity")), "entity").groupBy("doc_id", "text_key").agg(F.collect_list("entity").alias("entities"))
-    own = stage(own.join(wide, same_row()).select("_doc", "_key", "entities", "places"), "holding")
+    places = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    own = stage(spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.array_distinct(F.transform("spans", entity_of)).alias("entities"), places.alias("places")), "holding")
+    entities = stage(own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
     tests = F.lit(False)
     for _, test in PATTERNS.values():
         tests = tests | F.regexp_like(F.col("text"), F.lit(test))
     texts = docs.where(tests).select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), "text")
-    texts = texts.join(small(own), same_row()).dropDuplicates(["doc_id", "text_key"])
+    # rows of any width: Spark broadcasts the side only if its bytes are few
+    texts = texts.join(own, same_row()).dropDuplicates(["doc_id", "text_key"])
     return stage(texts.select("doc_id", "text_key", without(F.col("text"), F.col("places")).alias("free"), "entities"), "texts"), entities
 
 
-def disclosures(docs: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough support that disclose enough."""
+def lower_bound(share: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share seen in ``n`` texts."""
+    z = TRUST * TRUST
+    return (share + z / (2 * n) - TRUST * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def disclosures(docs: DataFrame, texts: DataFrame, entities: DataFrame, least: float) -> DataFrame:
+    """(entity, term, disclosure) of the pairs that disclose at least ``least``."""
     lowered = lambda words: F.array_distinct(F.transform(words, F.lower))
     each = texts.select(F.explode("entities").alias("entity"), lowered(words_of(F.col("free"))).alias("words"))
-    pairs = each.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = stage(pairs.where(F.col("n_et") >= SUPPORT), "pairs")
+    pairs = stage(each.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
     wanted = stage(pairs.select("term").distinct(), "terms")
     # counted before the join, so it meets a row for each word of the vocabulary, not for each use
-    terms = docs.select(F.explode(lowered(words_of(text_or_empty()))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(small(wanted), "term")
+    terms = docs.select(F.explode(lowered(words_of(text_or_empty()))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     total = docs.count()
-    joined = pairs.join(small(entities), "entity").join(terms, "term")
+    joined = pairs.join(entities, "entity").join(terms, "term")
     information = F.log(F.lit(float(total)) / F.col("n_e"))
-    share = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.when(information > 0, information)
-    return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    # a base span's own letters are no words of its text, so a word can be free in more texts than the raw ones say
+    n_t = F.greatest("n_t", "n_et")
+    told = 1 + F.log(lower_bound(F.col("n_et") / n_t, n_t)) / F.when(information > 0, information)
+    return joined.select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= least)
 
 
-def marks(texts: DataFrame, told: DataFrame) -> DataFrame:
+def marks(texts: DataFrame, told: DataFrame, remove: float) -> DataFrame:
     """(_doc, _key, extra: struct(start, rank, end, kind) of every place of the words that disclose an entity of the text)."""
-    rank = F.when(F.col("disclosure") >= REMOVE, 4).otherwise(5)
-    uses = texts.select("doc_id", "text_key", F.explode("entities").alias("entity"), words_of(F.col("free")).alias("words"))
-    uses = uses.select("doc_id", "text_key", "entity", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    rank = F.when(F.col("disclosure") >= remove, 4).otherwise(5)
+    uses = texts.select("doc_id", "text_key", F.explode("entities").alias("entity"), F.array_distinct(F.transform(words_of(F.col("free")), F.lower)).alias("words"))
+    uses = uses.select("doc_id", "text_key", "entity", F.explode("words").alias("term"))
     # a word may disclose several entities: its strongest mark holds
-    own = uses.join(small(told), ["entity", "term"]).groupBy("doc_id", "text_key", "word").agg(F.min(rank).alias("rank"))
-    of = lambda k: F.collect_list(F.when(F.col("rank") == k, F.col("word")))
-    own = own.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(of(4).alias("removed"), of(5).alias("generalised"))
-    own = stage(own, "told-words")
-
-    def places(words: str, rank: int, kind: str) -> Column:
-        whole = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
-        at = F.transform(found(F.col("free"), whole), lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
-        return F.when(F.size(words) > 0, at).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
-
-    return texts.join(small(own), same_row()).select("_doc", "_key", F.concat(places("removed", 4, "term"), places("generalised", 5, "general")).alias("extra"))
+    own = uses.join(told, ["entity", "term"]).groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("term").alias("_term")).agg(F.min(rank).alias("rank"))
+    places = texts.select("doc_id", "text_key", F.explode(found_blocks(F.col("free"), WORD)).alias("block"))
+    places = places.select("doc_id", "text_key", F.col("block.at").alias("at"), F.explode("block.out").alias("word"))
+    met = places.join(own, same_row() & (F.lower("word.value") == F.col("_term")))
+    span = F.struct((F.col("at") + F.col("word.start")).alias("start"), F.col("rank"), (F.col("at") + F.col("word.end")).alias("end"),
+                    F.when(F.col("rank") == 4, "term").otherwise("general").alias("kind"))
+    return met.groupBy("_doc", "_key").agg(F.collect_list(span).alias("extra"))
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """(doc_id, text_key, spans: all of them by start, then kind; base: the base ones) of every row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stage(slim.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), base_spans(text_or_empty()).alias("spans")), "base-spans")
     texts, entities = holding_texts(slim, base)
-    told = stage(disclosures(slim, texts, entities), "disclosures")
-    extra = marks(texts, told)
+    told = stage(disclosures(slim, texts, entities, generalise), "disclosures")
+    extra = marks(texts, told, remove)
     plain = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     both = base.select("doc_id", "text_key", plain.alias("base")).join(extra, same_row(), "left")
     return both.select("doc_id", "text_key", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))).alias("spans"), "base")
