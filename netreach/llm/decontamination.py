@@ -8,8 +8,11 @@ stretch of it is within ``EDITS`` x the item's length edits. For each class of s
    from the class's items are passed over. Runs are shorter than Q where that bound would be below 1. So this step loses
    nothing; it keeps the rest affordable.
 2. The windows left and the items are embedded by CGK random walks, which turn edit distance into Hamming distance, and
-   ``SAMPLES`` samples of ``BITS`` places of each of ``WALKS`` walks are bucket keys. Windows meet the items in their
-   buckets. Repetitions are set for the recall ``TARGET`` at the Hamming share ``SPREAD``: 1 - (1 - (1 - SPREAD)^BITS)^n.
+   ``SAMPLES`` samples of some places of each of ``WALKS`` walks are bucket keys. Windows meet the items in their buckets.
+   Places a key are set for each class, at most ``BITS``: as many as leave the recall ``TARGET`` for items with all edits
+   that are allowed. For that, the Hamming shares h of ``TRIALS`` of its items (evenly from the class) with random edits
+   are measured, and the recall is the mean of 1 - product over walks of (1 - (1 - h)^places)^SAMPLES. The longer the items,
+   the further the walks part, and the fewer the places.
 3. Each pair of text and item that met is verified exactly, by the least edit distance of the item to any stretch of the
    text around the window (bit-parallel, Sellers' recurrence).
 
@@ -33,13 +36,13 @@ Q = 10
 #: Ratio of the longest to the shortest item of a class.
 CLASS = 1.12
 WALKS, SAMPLES, BITS = 4, 8, 6
-#: The Hamming share of the embeddings of a pair at the allowed edits, about, and the recall wanted there.
-SPREAD, TARGET = 0.2, 0.95
-assert 1 - (1 - (1 - SPREAD) ** BITS) ** (WALKS * SAMPLES) >= TARGET
+#: The recall wanted for items with all edits that are allowed, and the items of a class that are edited to measure it.
+TARGET, TRIALS = 0.98, 64
 #: Letters of items in a broadcast slice.
-SLICE_CHARS = 20_000_000
-#: Slots of the table of known runs, as a power of two; a shared slot only keeps a window longer.
-SLOTS = 22
+SLICE_CHARS = 4_000_000
+#: Slots of the table of known runs for each letter of a slice, and the most, as a power of two (128 MB; four a letter of a
+#: full slice). A shared slot only keeps a window longer.
+ROOM, SLOTS = 32, 24
 SEED = 5
 #: Windows embedded at a time, about, rows taken from an Arrow batch at a time.
 WINDOWS, SLICE = 20_000, 128
@@ -52,8 +55,8 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def run_slots(c: np.ndarray, q: int = Q) -> np.ndarray:
-    """The slot of each run of ``q`` letters, from the hashes of runs of 1, 2, 4, ... letters."""
+def run_slots(c: np.ndarray, q: int = Q, slots: int = SLOTS) -> np.ndarray:
+    """The slot, below 2^``slots``, of each run of ``q`` letters, from the hashes of runs of 1, 2, 4, ... letters."""
     pieces, step, x = {1: c.astype(np.uint64)}, 1, None
     while 2 * step <= q:
         pieces[2 * step] = (pieces[step][:-step] * _M) ^ (pieces[step][step:] + np.uint64(step))
@@ -65,7 +68,7 @@ def run_slots(c: np.ndarray, q: int = Q) -> np.ndarray:
             x = part if x is None else (x[:len(part)] * _M) ^ part[:len(x)]
             have += step
     x = x[:len(c) - q + 1] * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - SLOTS)).astype(np.int64)
+    return (x >> np.uint64(64 - slots)).astype(np.int64)
 
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -89,14 +92,39 @@ def embed(strings: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np
     return out
 
 
-def keys(strings: np.ndarray, lengths: np.ndarray, steps: int):
+def edited(text: str, edits: int, random: np.random.Generator) -> str:
+    """``text`` after random insertions, deletions and replacements."""
+    own = list(text)
+    for kind, at, letter in zip(random.integers(0, 3, edits), random.random(edits), random.integers(97, 123, edits), strict=True):
+        place = int(at * len(own))
+        own[place:place + (kind > 0)] = [chr(letter)] if kind < 2 else []
+    return "".join(own)
+
+
+def places_of(texts: list[str], length: int, steps: int, most: int) -> int:
+    """Places a key, for windows of ``length`` letters of a class's ``texts`` with ``most`` edits."""
+    random = np.random.default_rng([SEED, length])
+    trials = [texts[k * len(texts) // TRIALS] for k in range(TRIALS)] if len(texts) > TRIALS else texts
+    trials = trials * -(-TRIALS // len(trials))
+    after = [(edited(t, most, random) + "".join(map(chr, random.integers(97, 123, length))))[:length] for t in trials]
+    size = np.full(len(trials), length)
+    one, two = (np.stack([letters(codes(t[:length])) for t in part]) for part in (trials, after))
+    apart = np.stack([(embed(one, size, w, steps) != embed(two, size, w, steps)).mean(1) for w in range(WALKS)])
+    for places in range(BITS, 1, -1):
+        missed = ((1 - (1 - apart) ** places) ** SAMPLES).prod(0)
+        if 1 - missed.mean() >= TARGET:
+            return places
+    return 1
+
+
+def keys(strings: np.ndarray, lengths: np.ndarray, steps: int, places: int):
     """Bucket keys, one array for each sample of places of each walk; places are among the steps that reach letters."""
     for walk in range(WALKS):
         e = embed(strings, lengths, walk, steps).astype(np.uint64)
         random = np.random.default_rng([SEED, walk, 1])
         for sample in range(SAMPLES):
             key = np.full(len(e), walk * SAMPLES + sample, np.uint64)
-            for place in random.integers(0, steps, BITS):
+            for place in random.integers(0, steps, BITS)[:places]:
                 key = (key * np.uint64(0x100000001B3)) ^ e[:, place]
             yield key * np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,6 +166,7 @@ class Class:
     buckets: list[dict[int, list[int]]]
     q: int
     least_runs: int
+    places: int
 
 
 _NONE, _NO_CLASS = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -149,11 +178,13 @@ def letters(c: np.ndarray) -> np.ndarray:
 
 
 class Finder:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], planned: list[int] | None = None):
+        """``planned``: places a key of each class, if they are known."""
         self.short = [(i, t) for i, t in items if len(t) < Q]
         long = sorted(((i, t) for i, t in items if len(t) >= Q), key=lambda x: len(x[1]))
         #: for each length of runs and each slot the classes that know it, a bit each; classes 64 apart share one
         self.known: dict[int, np.ndarray] = {}
+        self.slots = min(SLOTS, max(10, (ROOM * sum(len(t) for _, t in long)).bit_length()))
         self.classes: list[Class] = []
         k = 0
         while k < len(long):
@@ -164,19 +195,20 @@ class Finder:
             length = len(part[0][1])
             most = int(EDITS * len(part[-1][1]))
             q = min(Q, length // (most + 1))
-            known = self.known.setdefault(q, np.zeros(1 << SLOTS, np.uint64))
+            known = self.known.setdefault(q, np.zeros(1 << self.slots, np.uint64))
             for _, t in part:
-                known[run_slots(codes(t), q)] |= np.uint64(1 << len(self.classes) % 64)
+                known[run_slots(codes(t), q, self.slots)] |= np.uint64(1 << len(self.classes) % 64)
             # items are cut to the class's length for their keys: windows have that length
             rows = np.stack([letters(codes(t[:length])) for _, t in part])
             steps = 2 * length
+            places = planned[len(self.classes)] if planned else places_of([t for _, t in part], length, steps, most)
             buckets: list[dict[int, list[int]]] = []
-            for key in keys(rows, np.full(len(part), length), steps):
+            for key in keys(rows, np.full(len(part), length), steps, places):
                 found: dict[int, list[int]] = {}
                 for n, x in enumerate(key.tolist()):
                     found.setdefault(x, []).append(n)
                 buckets.append(found)
-            self.classes.append(Class(length, steps, [i for i, _ in part], [t for _, t in part], buckets, q, length - q + 1 - q * most))
+            self.classes.append(Class(length, steps, [i for i, _ in part], [t for _, t in part], buckets, q, length - q + 1 - q * most, places))
             k = upto
         self.fewest = {q: min(g.least_runs for g in self.classes if g.q == q) for q in self.known}
 
@@ -188,7 +220,7 @@ class Finder:
             return held, []
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for q, table in self.known.items():
-            known = table[run_slots(c, q)]
+            known = table[run_slots(c, q, self.slots)]
             place = np.flatnonzero(known)
             if len(place) >= self.fewest[q]:
                 seen[q] = place, known[place]
@@ -225,7 +257,7 @@ class Finder:
                     part = plain_letters[x][y:y + group.length]
                     rows[n, :len(part)], length[n] = part, len(part)
                 met: dict[tuple[int, int], set[int]] = {}
-                for key, bucket in zip(keys(rows, length, group.steps), group.buckets, strict=True):
+                for key, bucket in zip(keys(rows, length, group.steps, group.places), group.buckets, strict=True):
                     for n in np.flatnonzero(np.isin(key, np.fromiter(bucket, np.uint64, len(bucket)))).tolist():
                         for item in bucket[int(key[n])]:
                             met.setdefault((int(own[n]), item), set()).add(int(at[n]))
@@ -273,10 +305,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
     n = len(keep)
     for items in slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # at most about SLICE_CHARS letters
+        planned = [c.places for c in Finder(items).classes]
+        shared = docs.sparkSession.sparkContext.broadcast((items, planned))  # at most about SLICE_CHARS letters
 
         def run(batches, shared=shared):
-            finder = Finder(shared.value)
+            finder = Finder(*shared.value)
             texts, windows, held, rows, waiting = [], [], [], [], 0
 
             def out():

@@ -112,3 +112,13 @@ def test_words_stay_beside_a_beginning():
     assert {(t.text, t.stem) for t in terms} == {("grobian", True), ("grobians", False), ("grobiansky", False), ("solo", False)}
     # two edits of the word, both within the beginning
     assert Matcher(terms).match(["grxxiansky"])["grxxiansky"][1] == 2
+
+
+def test_no_term_is_left_out_and_words_are_read_to_their_end():
+    good = [("".join(random.Random(k).choice("bcdfghjklmnpqrstvwz") for _ in range(9)), False, 50, 0) for k in range(300)]
+    assert len(toxicity.choose_terms(good, 1000, 1000)) == len({x[0] for x in good})
+    far, long = "".join(chr(0x1D41A + k) for k in range(6)), "ab" * 30 + "c"
+    matcher = Matcher([Term(far, False, 1.0), Term(long, False, 1.0), Term("ab" * 5, False, 1.0), Term("stemword", True, 1.0)])
+    others = chr(0x1D41B) + far[1:]
+    got = matcher.match([far, others, far + "x" * 9, long, long[:40], long + "ab" * 20, "ababababab" + "x" * 60, "stemword" + "y" * 500, chr(0x1F600) * 6])
+    assert got == {far: (0, 0), others: (0, 1), long: (1, 0), "stemword" + "y" * 500: (3, 0)}

@@ -1,9 +1,12 @@
 """Personal data, licences, benchmark items: against plain Python."""
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pytest
+import regex
 from conftest import words
 
 from netreach.llm import decontamination, license_scan, pii
@@ -141,7 +144,7 @@ def test_items_that_begin_anywhere():
     # the starts are those of all windows with enough known runs
     text = letters(30, "pq") + items[3][:60] + letters(9, "pq") + items[3][40:] + items[9] + letters(90, "pq")
     _, windows = finder.windows(text)
-    known = finder.known[decontamination.Q][decontamination.run_slots(decontamination.codes(text))]
+    known = finder.known[decontamination.Q][decontamination.run_slots(decontamination.codes(text), slots=finder.slots)]
     for k, group in enumerate(finder.classes):
         own = ((known >> np.uint64(k % 64)) & np.uint64(1)).astype(int).tolist()
         want = [s for s in range(len(text)) if sum(own[s:s + group.length - decontamination.Q + 1]) >= group.least_runs]
@@ -171,3 +174,95 @@ def test_disclosing_words_are_marked_everywhere(docs_of):
     assert not any(rows[i].spans for i in range(7, len(texts)))
     clean = {r.doc_id: r.text for r in pii.sanitised(docs_of(texts)).collect()}
     assert "zanzibar" not in clean[0].lower() and " Li " not in clean[0] and "Quorn" not in clean[4]
+
+
+def plain_disclosures(texts):
+    """{text: spans of the method} by counting, word for word."""
+    word = regex.compile(r"\p{L}+")
+    held, free = [], []
+    for t in texts:
+        own, cut = set(), t
+        for kind, a, b in (x.split(":") for x in base(t)):
+            value = t[int(a):int(b)]
+            own.add((kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()))
+            cut = cut[:int(a)] + "0" * (int(b) - int(a)) + cut[int(b):]
+        held.append(own)
+        free.append(cut)
+    raw = [{w.lower() for w in word.findall(t)} for t in texts]
+    clear = [{w.lower() for w in word.findall(t)} for t in free]
+    n, z = len(texts), pii.TRUST ** 2
+
+    def told(entity, term):
+        n_e, n_et = sum(entity in h for h in held), sum(entity in h and term in c for h, c in zip(held, clear, strict=True))
+        n_t = max(n_et, sum(term in r for r in raw))
+        if n_e == n:
+            return 0
+        p = n_et / n_t
+        low = (p + z / (2 * n_t) - math.sqrt(z) * math.sqrt(p * (1 - p) / n_t + z / (4 * n_t * n_t))) / (1 + z / n_t)
+        return 1 + math.log(low) / math.log(n / n_e)
+
+    out = []
+    for h, c, t in zip(held, clear, free, strict=True):
+        best = {w: max((told(e, w) for e in h), default=0) for w in c}
+        marked = [(m.start(), m.end(), best[m.group().lower()]) for m in word.finditer(t)]
+        out.append([f"{'term' if d >= pii.REMOVE else 'general'}:{a}:{b}" for a, b, d in marked if d >= pii.GENERALISE])
+    return out
+
+
+def test_disclosures_against_counting(docs_of):
+    rng = random.Random(21)
+    entities = ["a.b@c.org", "A.B@C.org", "10.1.2.3", "+1 212 555 0100", "x@y.zz"]
+    names = ["Quorn", "quorn", "Zanzibar", "Ünal", "王芳", "Lima", "Oslo", "x"]
+    texts = []
+    for i in range(150):
+        own = words(rng, 12).split() + rng.sample(names, rng.randrange(3))
+        if i % 3 == 0:
+            own += rng.sample(entities, rng.randrange(1, 3)) + [rng.choice(names[:3]), f"only{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}"]
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+    # an entity in one text only, with a word of its own; a text of hundreds of marked places
+    # a word that is well known to disclose one
+    texts += [f"{words(rng, 6)} Zorro zorro@six.org"] * 6
+    texts += ["Rarely rare@one.org Rarely", " ".join(["Xanadu"] * 700) + " many@one.org"]
+    want = plain_disclosures(texts)
+    got = {r.doc_id: [f"{x.kind}:{x.start}:{x.end}" for x in r.spans if x.kind in ("term", "general")] for r in pii.personal_data(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(want[-1]) == 700 and want[-2] and {x.partition(":")[0] for w in want for x in w} == {"term", "general"}
+
+
+def test_blocks_without_telling_words(docs_of):
+    texts = [
+        "Licensed under the Apache License, Version 1.0", "licensed under cc by sa 4 0", "the GNU general public license", "licensed under cc by 4 0",
+        # at the threshold and below it
+        "confidential and proprietary do not distribute without", "confidential proprietary do not without permission", "confidential proprietary do not permission",
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(texts)).collect()}
+    assert (got[0].labels, got[0].score) == ("apache-2.0", 7 / 8)
+    # one edition tells itself from the other; neither is told in the fourth
+    assert got[1].labels == "cc-by,cc-by-sa" and got[3].labels == "cc-by"
+    assert got[2].labels == "gpl"
+    assert (got[4].labels, got[4].score) == ("proprietary", 7 / 8)
+    assert (got[5].labels, got[6].labels, got[6].score) == ("", "", 0.0)
+    blocks = [tuple(r) for r in license_scan.matching_blocks(docs_of(["x " * 40 + texts[0], texts[6], None])).collect()]
+    assert sorted(blocks) == [(0, "apache-2.0", 0, 7 / 8, False), (0, "apache-2.0", 32, 7 / 8, False)]
+
+
+@pytest.mark.parametrize("length", [60, 130, 400])
+def test_recall_at_the_edits_allowed(length):
+    """Items with as many random edits as are allowed, somewhere in a text: at least 0.95 of them found."""
+    rng = random.Random(length)
+    letter = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    items = [decontamination.plain("q" + letter(length - 2) + "q") for _ in range(120)]
+    finder = decontamination.Finder(list(enumerate(items)))
+    found = within = 0
+    for k, item in enumerate(items):
+        own = list(item)
+        for _ in range(int(decontamination.EDITS * len(item))):
+            at = rng.randrange(len(own))
+            own[at:at + 1] = rng.choice([[], [rng.choice("xyz")], [own[at], rng.choice("xyz")]])
+        text = decontamination.plain(letter(80) + "".join(own) + letter(80))
+        # spaces that fall together are an edit more
+        if decontamination.least_edits(item, text) <= decontamination.EDITS * len(item):
+            within += 1
+            found += k in finder.find(text)
+    assert within > 60 and found >= 0.95 * within, (found, within)
