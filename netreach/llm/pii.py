@@ -59,7 +59,8 @@ def found_blocks(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), more.alias("out")).cast(kind)
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("out")).cast(kind)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)), empty, step))
+    # the pieces as a variable, so that they are cut once and not for each block
+    blocks = F.transform(F.array(pieces), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(p, k * BLOCK + 1, F.lit(BLOCK)), empty, step)))[0]
     whole = f"struct<at:int,out:array<{kind}>>"
 
     def place(acc: Column, x: Column) -> Column:
