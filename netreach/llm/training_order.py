@@ -107,7 +107,7 @@ NAMES = ["cell", "number", "doc_id", "part", "n_tokens", "tokens"]
 
 
 def training_order(docs: DataFrame, length: int = 512, rows: int = 256, seed: int = 13, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, part, n_tokens, tokens), each shard whole in one partition and in order of slot."""
+    """(slot, shard, byte_offset, doc_id, part, n_tokens, tokens), partitions being ranges of whole shards in order of slot."""
     cells = max(CELLS, docs.count() // CELL_ROWS)
     found = stage(sequences(docs, length, vocabulary, cells), "sequences")
     counts = sorted((r.cell, r["count"]) for r in found.groupBy("cell").count().collect())  # a row a cell
@@ -129,33 +129,45 @@ def training_order(docs: DataFrame, length: int = 512, rows: int = 256, seed: in
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         placed.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens")
-        .repartition(parts, "shard").sortWithinPartitions("slot")
+        .repartitionByRange(parts, "shard").sortWithinPartitions("slot")
     )
 
 
+SHARD = "shard long, data binary"
+
+
 def write_shards(order: DataFrame, path: str) -> None:
     """Append to ``path`` the shards that it lacks: a row (shard, data) each, ``data`` being its rows at their stride.
 
-    A run that was stopped is taken up by calling it again; shards already committed are not written twice.
+    Tasks take ranges of shards and hold one shard at a time. A run that was stopped is taken up by calling it again:
+    shards that are there already, whether or not the run that wrote them came to its end, are not written twice.
     """
     spark = order.sparkSession
-    there = None
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-        there = spark.read.parquet(path).select("shard")
-    missing = order if there is None else order.join(there, "shard", "left_anti")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        order = order.join(spark.read.schema(SHARD).parquet(path).select("shard"), "shard", "left_anti")
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        ordered = part.sort_values("slot")
-        return pd.DataFrame({"shard": [ordered["shard"].iloc[0]], "data": [b"".join(ordered["tokens"])]})
+    def join(batches):
+        now, data = None, []
+        for batch in batches:
+            for shard, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != now and data:
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "data": pa.array([b"".join(data)], pa.binary())})
+                    data = []
+                now = shard
+                data.append(tokens)
+        if data:
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "data": pa.array([b"".join(data)], pa.binary())})
 
-    missing.select("shard", "slot", "tokens").groupBy("shard").applyInPandas(join, "shard long, data binary").write.mode("append").parquet(path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = order.select("shard", "slot", "tokens").repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    ranges.select("shard", "tokens").mapInArrow(join, SHARD).write.mode("append").parquet(path)
 
 
 def read_slots(spark: SparkSession, path: str, first: int, last: int, length: int = 512, rows: int = 256) -> DataFrame:
     """(slot, tokens) of the slots from ``first`` to before ``last``, in order; only their shards are read."""
     stride = 2 * length
-    shards = spark.read.parquet(path).where(F.col("shard").between(first // rows, (last - 1) // rows))
+    shards = spark.read.schema(SHARD).parquet(path).where(F.col("shard").between(first // rows, (last - 1) // rows))
     row = F.explode(F.sequence(F.lit(0), (F.length("data") / stride).cast("int") - 1))
     cut = shards.select("shard", "data", row.alias("row"))
     cut = cut.select((F.col("shard") * rows + F.col("row")).alias("slot"), F.substring("data", F.col("row") * stride + 1, F.lit(stride)).alias("tokens"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import tiktoken
 from conftest import words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netreach.llm import mixing, sharding, training_order
@@ -130,6 +131,20 @@ def test_training_order_round_trip(spark, messy, nothing, tmp_path):
     by_slot = {r.slot: bytes(r.tokens) for r in rows}
     assert [(r.slot, bytes(r.tokens)) for r in got] == [(s, by_slot[s]) for s in range(10, 40)]
     assert spark.read.parquet(path).count() == len({r.shard for r in rows})
+    # a run that stopped before its end leaves whole shards, which are not written again
+    (tmp_path / "shards" / "_SUCCESS").unlink()
+    training_order.write_shards(order, path)
+    assert spark.read.parquet(path).count() == len({r.shard for r in rows})
+    assert all(len(r.data) == 128 * 16 for r in spark.read.parquet(path).where(f"shard < {max(r.shard for r in rows)}").collect())
+    # partitions are ranges of whole shards, in order of slot
+    parts = order.select("slot", "shard", F.spark_partition_id().alias("part")).collect()
+    of = {}
+    for r in parts:
+        assert of.setdefault(r.shard, r.part) == r.part
+    assert [of[s] for s in sorted(of)] == sorted(of.values())
+    (tmp_path / "empty").mkdir()
+    training_order.write_shards(order.where("shard = 0"), str(tmp_path / "empty"))
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 1
     assert training_order.training_order(nothing).count() == 0
 
 
