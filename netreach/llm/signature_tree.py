@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 8
+#: Bytes of the bitmaps of a tree's sets, about, at most: beyond that bitmaps are shorter and lose more to equal bits.
+HELD = 64_000_000
 
 
 class SignatureTree:
@@ -19,7 +21,8 @@ class SignatureTree:
         self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
         self.sets = [sets[i] for i in self.order]
         n = np.array([len(s) for s in self.sets])
-        bits = max(256, 1 << int(4 * n.max() - 1).bit_length())
+        room = 1 << max(1, 8 * HELD // len(n)).bit_length() - 1
+        bits = max(256, min(1 << int(4 * n.max() - 1).bit_length(), room))
         maps = np.zeros((len(n), bits // 8), np.uint8)
         for row, s in zip(maps, self.sets, strict=True):
             on = np.zeros(bits, bool)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 from conftest import words
 
-from netreach.llm import components, dedup, ngram_join
+from netreach.llm import components, dedup, ngram_join, signature_tree
 from netreach.llm.shingles import shingle_set
 
 
@@ -95,3 +95,28 @@ def test_components_of_chains_and_stars(spark):
     rng.shuffle(edges)
     got = {r.node: r.label for r in components.components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{1000 + k: 1000 for k in range(81)}, 2000: 2000}
+
+
+def test_short_bitmaps_lose_no_link(monkeypatch):
+    """A block of one very large set and many small ones holds bitmaps of bounded size, and finds the same links."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (20, 40, 300, 40_000)]
+    sets = []
+    for one in base:
+        for _ in range(15):
+            own = one.copy()
+            change = rng.integers(0, len(own), len(own) // 20)
+            own[change] = rng.integers(0, 1 << 63, len(change), dtype=np.uint64)
+            sets.append(np.unique(own))
+
+    def classes():
+        tree = signature_tree.SignatureTree(sets)
+        labels = np.arange(len(sets))
+        for _ in signature_tree.links(tree, tree, labels, labels, 80):
+            pass
+        return tree.levels[0][0].nbytes, sorted(sorted(tree.order[i] for i in np.flatnonzero(labels == x)) for x in np.unique(labels))
+
+    whole, want = classes()
+    monkeypatch.setattr(signature_tree, "HELD", 50_000)
+    held, got = classes()
+    assert got == want == [list(range(k, k + 15)) for k in (0, 15, 30, 45)] and held <= 50_000 < whole
