@@ -37,7 +37,7 @@ Q = 10
 CLASS = 1.12
 WALKS, SAMPLES, BITS = 4, 8, 6
 #: The recall wanted for items with all edits that are allowed, and the items of a class that are edited to measure it.
-TARGET, TRIALS = 0.98, 64
+TARGET, TRIALS = 0.95, 64
 #: Letters of items in a broadcast slice.
 SLICE_CHARS = 4_000_000
 #: Slots of the table of known runs for each letter of a slice, and the most, as a power of two (128 MB; four a letter of a
