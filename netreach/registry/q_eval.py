@@ -15,7 +15,7 @@ from netreach.sources import driver_tables as dt
 
 def comps(spark, sf):
     s = half_sites(spark, sf)
-    return stage(graph.components(s, graph.site_edges(s)))
+    return stage(graph.components(s, graph.component_edges(s)))
 
 
 def counties(spark, sf):
