@@ -82,6 +82,162 @@ def model_perturbation(
         "t", "src", "dst", (F.when(F.col("_top") > 0, F.col("risk") / F.col("_top")).otherwise(F.col("risk")) * kept).alias("risk"))
 
 
+#: Nodes of a block of rows or columns, and middle nodes that are multiplied at a time.
+BLOCK, MIDDLE = 2_048, 512
+
+
+def _two_hops(left: pd.DataFrame, right: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Product over the middle nodes ``b`` that both have, and where it has a path."""
+    total, paths = np.zeros((n, n)), np.zeros((n, n), np.float32)
+    mid = np.intersect1d(left.b.to_numpy(), right.b.to_numpy())
+
+    def dense(part: pd.DataFrame, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = part[np.isin(part.b.to_numpy(), some)]
+        w, there = np.zeros((n, len(some))), np.zeros((n, len(some)), np.float32)
+        at = part.a.to_numpy(), np.searchsorted(some, part.b.to_numpy())
+        w[at], there[at] = part.w.to_numpy(), 1.0
+        return w, there
+
+    for first in range(0, len(mid), MIDDLE):
+        (a, ia), (b, ib) = (dense(side, mid[first:first + MIDDLE]) for side in (left, right))
+        total += a @ b.T
+        paths += ia @ ib.T
+    return total, paths > 0
+
+
+def _risk_blocks(n: int, blocks: int, hop1: float, hop2: float, diagonal: bool, listed: bool):
+    """Work on rows sorted by (pair, t): the largest risk of each pair of blocks, or the sums over t of every cell of it."""
+    def step(pair: int, rows: pd.DataFrame, block: dict) -> None:
+        left, right, z, base = (rows[rows.kind == k] for k in range(4))
+        bi, bk = divmod(pair, blocks)
+        for side, part in (("i", base), ("k", z)):
+            block[side][part.a.to_numpy()] = part.name.to_numpy()
+        if base.empty:
+            return
+        cell, there = np.zeros((n, n)), np.zeros((n, n), bool)
+        near = left[left.b.to_numpy() // n == bk]
+        at = near.a.to_numpy(), near.b.to_numpy() % n
+        cell[at], there[at] = near.w.to_numpy(), True
+        two, paths = _two_hops(left, right, n)
+        read, loop, own, scale, own_loop = (np.zeros(n) for _ in range(5))
+        read[z.a.to_numpy()], loop[z.a.to_numpy()] = z.w.to_numpy(), z.u.to_numpy()
+        scale[base.a.to_numpy()], own[base.a.to_numpy()], own_loop[base.a.to_numpy()] = base.w.to_numpy(), base.u.to_numpy(), base.v.to_numpy()
+        value = (hop1 * cell + hop2 * (two + cell * loop[None, :] + cell * own_loop[:, None])) * read[None, :]
+        known, told = np.zeros(n, bool), np.zeros(n, bool)
+        known[z.a.to_numpy()], told[base.a.to_numpy()] = True, True
+        there = (there | paths) & known[None, :] & told[:, None]
+        if bi == bk:
+            d = np.arange(n)
+            value[d, d] += (hop1 * own_loop + hop2 * own_loop ** 2) * read + own
+            there[d, d] = told & diagonal
+        risk = np.where(there, np.abs(value) * scale[:, None], 0.0)
+        block["top"] = max(block["top"], float(risk.max(initial=0.0)))
+        if listed:
+            block["s"] += risk
+            block["ss"] += risk * risk
+            block["seen"] |= there
+
+    def told(pair: int, block: dict):
+        bi, bk = divmod(pair, blocks)
+        if not listed:
+            yield pd.DataFrame({"top": [block["top"]]})
+            return
+        names = np.where(block["k"] == None, block["i"], block["k"]) if bi == bk else block["k"]  # noqa: E711
+        for first in range(0, n, 64):
+            i, k = np.nonzero(block["seen"][first:first + 64])
+            yield pd.DataFrame({"src": names[k], "dst": block["i"][first + i], "s": block["s"][first + i, k], "ss": block["ss"][first + i, k]})
+
+    def run(batches):
+        pair, t, held, block = None, None, [], {}
+        for batch in batches:
+            p, days = batch.pair.to_numpy(), batch.t.to_numpy()
+            cuts = np.flatnonzero((p[1:] != p[:-1]) | (days[1:] != days[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if a == b:
+                    continue
+                if held and (p[a], days[a]) != (pair, t):
+                    step(pair, pd.concat(held), block)
+                    held = []
+                if p[a] != pair:
+                    if pair is not None:
+                        yield from told(pair, block)
+                    block = {"top": 0.0, "i": np.full(n, None, object), "k": np.full(n, None, object)}
+                    if listed:
+                        block |= {"s": np.zeros((n, n)), "ss": np.zeros((n, n)), "seen": np.zeros((n, n), bool)}
+                pair, t = p[a], days[a]
+                held.append(batch.iloc[a:b])
+        if held:
+            step(pair, pd.concat(held), block)
+            yield from told(pair, block)
+
+    return run
+
+
+def model_risk(
+    edges: DataFrame, scaled: DataFrame, pred: DataFrame, coefficients: dict[str, float], alpha: float = 0.3, self_dampen: float | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(src, dst, risk, std): ``collapse_risk`` of ``model_perturbation`` over the steps of ``pred``, without a row for each pair and step.
+
+    A task goes through the steps of one pair of blocks of nodes in order and adds up its cells; the edges, not the pairs,
+    are copied to the blocks.  The result still has a row for each pair, and the time grows with their number.  Null
+    values are not read.
+    """
+    a = row_normalize(edges.select("t", "src", "dst", "w"), ["t"]).groupBy("t", "src", "dst").agg(F.sum("w").alias("w"))
+    z = scaled.filter(F.col("z").isNotNull()).select("t", "node", "z")
+    dev = pred.groupBy("node").agg((F.stddev_pop("pred_scaled") + F.lit(1e-6)).alias("_dev"))
+    own = F.lit(0.0)
+    for c in [c for c in coefficients if c.startswith("lag")]:
+        own = own + F.lit(coefficients[c]) * F.col(c)
+    scale = F.abs(F.lit(alpha)) / F.col("_dev") / (F.abs("pred_scaled") + F.lit(1e-6))
+    base = pred.join(dev, "node").select("node", F.col("prev").alias("t"), scale.alias("scale"), own.alias("own"))
+    names = a.select(F.explode(F.array("src", "dst")).alias("node")).union(z.select("node")).union(base.select("node")).distinct()
+    ids = stage(number_rows(names, [], [F.col("node")], "id").select("node", (F.col("id") - 1).alias("id")))
+    count = ids.count()
+    n = max(1, min(block, count))
+    blocks = max(1, -(-count // n))
+
+    def by_id(df: DataFrame, node: str, name: str) -> DataFrame:
+        return df.join(ids.select(F.col("node").alias(node), F.col("id").alias(name)), node)
+
+    a = stage(by_id(by_id(a, "src", "i"), "dst", "k").select("t", "i", "k", "w"))
+    off, loops = a.filter("i <> k"), a.filter("i = k").select("t", F.col("i").alias("id"), F.col("w").alias("loop"))
+    z = by_id(z, "node", "id").join(loops, ["t", "id"], "left")
+    base = by_id(base, "node", "id").join(loops, ["t", "id"], "left")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    no = F.lit(None).cast("double")
+
+    def part(df: DataFrame, kind: int, end: str, b: Column, w: str, u: Column, v: Column, name: Column, rows: bool) -> DataFrame:
+        """Rows of ``df`` for all pairs of blocks that ``end`` is a row, or a column, of."""
+        own_block, days = F.floor(F.col(end) / n), F.coalesce(F.datediff("t", F.lit("1970-01-01").cast("date")), F.lit(-1_000_000))
+        d = df.select("*", every)
+        pair = own_block * blocks + F.col("other") if rows else F.col("other") * blocks + own_block
+        return d.select(pair.cast("long").alias("pair"), days.alias("t"), F.lit(kind).alias("kind"), (F.col(end) % n).cast("long").alias("a"),
+                        b.cast("long").alias("b"), F.col(w).alias("w"), u.alias("u"), v.alias("v"), name.alias("name"))
+
+    nobody, zero = F.lit(None).cast("string"), F.lit(0.0)
+    loop = F.coalesce("loop", zero)
+    rows = part(off, 0, "i", F.col("k"), "w", no, no, nobody, True).unionByName(
+        part(off, 1, "k", F.col("i"), "w", no, no, nobody, False)).unionByName(
+        part(z, 2, "id", F.lit(-1), "z", loop, no, F.col("node"), False)).unionByName(
+        part(base, 3, "id", F.lit(-1), "scale", F.col("own"), loop, F.col("node"), True))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    # pairs of blocks are dealt to ranges, each read twice: once for the largest risk, which scales all
+    rows = stage(rows.repartitionByRange(max(1, min(blocks * blocks, 4 * cores)), "pair").sortWithinPartitions("pair", "t"))
+    hop1, hop2 = coefficients.get("hop1", 0.0), coefficients.get("hop2", 0.0)
+
+    def work(listed: bool):
+        return _risk_blocks(n, blocks, hop1, hop2, self_dampen is not None, listed)
+
+    top = rows.mapInPandas(work(False), "top double").agg(F.max("top")).first()[0] or 1.0
+    steps = pred.select("t").distinct().count()
+    kept = F.when(F.col("src") == F.col("dst"), F.lit(1.0 if self_dampen is None else float(self_dampen))).otherwise(1.0) / F.lit(top)
+    g = rows.mapInPandas(work(True), "src string, dst string, s double, ss double").select(
+        "src", "dst", (F.col("s") * kept).alias("s"), (F.col("ss") * kept * kept).alias("ss"))
+    var = ratio(F.col("ss") - F.col("s") * F.col("s") / F.lit(steps), F.lit(float(steps - 1)))
+    return g.select("src", "dst", (F.col("s") / F.lit(steps)).alias("risk"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+
+
 def collapse_risk(timewise: DataFrame, steps: DataFrame) -> DataFrame:
     """Mean and sample deviation over all steps; steps without an edge count as zero."""
     n = steps.select("t").distinct().agg(F.count(F.lit(1)).alias("_n"))
