@@ -91,17 +91,19 @@ def _two_hops(left: pd.DataFrame, right: pd.DataFrame, n: int) -> tuple[np.ndarr
     total, paths = np.zeros((n, n)), np.zeros((n, n), np.float32)
     mid = np.intersect1d(left.b.to_numpy(), right.b.to_numpy())
 
-    def dense(part: pd.DataFrame, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def dense(part: pd.DataFrame, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes of one side that have any of these middle nodes, their weights and where there is one."""
         part = part[np.isin(part.b.to_numpy(), some)]
-        w, there = np.zeros((n, len(some))), np.zeros((n, len(some)), np.float32)
-        at = part.a.to_numpy(), np.searchsorted(some, part.b.to_numpy())
+        own, row = np.unique(part.a.to_numpy(), return_inverse=True)
+        w, there = np.zeros((len(own), len(some))), np.zeros((len(own), len(some)), np.float32)
+        at = row, np.searchsorted(some, part.b.to_numpy())
         w[at], there[at] = part.w.to_numpy(), 1.0
-        return w, there
+        return own, w, there
 
     for first in range(0, len(mid), MIDDLE):
-        (a, ia), (b, ib) = (dense(side, mid[first:first + MIDDLE]) for side in (left, right))
-        total += a @ b.T
-        paths += ia @ ib.T
+        (i, a, ia), (k, b, ib) = (dense(side, mid[first:first + MIDDLE]) for side in (left, right))
+        total[np.ix_(i, k)] += a @ b.T
+        paths[np.ix_(i, k)] += ia @ ib.T
     return total, paths > 0
 
 
