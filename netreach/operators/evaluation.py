@@ -243,29 +243,29 @@ def evaluate(
 ) -> DataFrame:
     """One row per strategy: final coverage and every diagnostic.
 
-    Without links the coverage falls back to additive sums.
+    Without links the coverage falls back to additive sums.  Each diagnostic, a row per strategy, is staged by itself: the
+    plan of all of them at once would be kept, planned again and told to listeners after every one of its shuffles.
     """
     o = stage(_orders(orders))
     last = o.groupBy("strategy").agg(F.max("ord").alias("ord"))
     if links is not None:
         weights = stage(link_weights(links, union_mode=union_mode))
         steps = stage(covered_steps(o, weights, union_mode))
-        final = coverage_table(o, links, features, union_mode, weights=weights, steps=steps).join(last, ["strategy", "ord"])
+        final = stage(coverage_table(o, links, features, union_mode, weights=weights, steps=steps).join(last, ["strategy", "ord"]))
         keep = ["cum_population", "cum_area", "cum_pop_served", "cum_od_volume_total", *CORE]
         out = final.select("strategy", *keep)
-        out = out.join(county_contribution(o, weights, union_mode, steps=steps), "strategy", "left")
-        out = out.join(nonmetro_reach(o, weights, metro, union_mode, steps), "strategy", "left")
+        parts = [county_contribution(o, weights, union_mode, steps=steps), nonmetro_reach(o, weights, metro, union_mode, steps)]
     else:
-        final = cumulative(features, o).join(last, ["strategy", "ord"])
+        final = stage(cumulative(features, o).join(last, ["strategy", "ord"]))
+        parts = []
         out = final.select(
             "strategy", F.col("cum_pop_covered_by_od").alias("cum_population"), F.col("cum_area_reached").alias("cum_area"),
             "cum_pop_served", "cum_od_volume_total", "frac_pop_served", F.col("frac_pop_covered_by_od").alias("frac_population"),
             F.col("frac_area_reached").alias("frac_area"), F.col("frac_od_volume_total").alias("frac_volume"),
         )
-    for part in (
-        spatial_stats(o, sites, comps, counties, cbsa), score_stats(o, scores, features), risk_capture(o, risk, features),
-    ):
-        out = out.join(part, "strategy", "left")
+    parts += [spatial_stats(o, sites, comps, counties, cbsa), score_stats(o, scores, features), risk_capture(o, risk, features)]
+    for part in parts:
+        out = out.join(stage(part), "strategy", "left")
     return balance_scores(stage(out))
 
 

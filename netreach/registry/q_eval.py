@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netreach.operators import areal, evaluation as ev, graph
+from netreach.operators import areal, evaluation as ev
 from netreach.operators.coverage import coverage_for_orders, link_weights
 from netreach.plans.staging import stage
 from netreach.registry.base import register
-from netreach.registry.q_graph import _CURVE, _GAIN, _steps_sql, features, full_curve_sql, half_sites, level1_order
-from netreach.registry.q_select import strategies
+from netreach.registry.q_graph import _CURVE, _GAIN, _steps_sql, features, full_curve_sql, level1_order
+from netreach.registry.q_select import shared_tables, strategies
 from netreach.registry.sqltables import TABLES
 from netreach.sources import driver_tables as dt
 
-def comps(spark, sf):
-    s = half_sites(spark, sf)
-    return stage(graph.components(s, graph.component_edges(s)))
-
-
 def counties(spark, sf):
     """Linked counties of a site: those it exchanges trips with, over the whole table."""
     return dt.weekly_edges(spark, sf).select("wwtp", "county_fips").distinct()
@@ -45,7 +40,7 @@ def weights(spark, sf):
        FROM fx_top o LEFT JOIN fx_top p ON o.wwtp = p.wwtp AND p.strategy = 'level1' GROUP BY 1)""",
 )
 def _e1(spark, sf):
-    return ev.overlap(strategies(spark, sf, features(spark, sf)), "level1")
+    return ev.overlap(strategies(spark, sf, shared_tables(spark, sf)), "level1")
 
 
 @register(
@@ -54,7 +49,7 @@ def _e1(spark, sf):
        bool_or(strategy = 'cbsa') AS in_cbsa, bool_or(strategy = 'level1') AS in_level1, COUNT(*) AS n_strategies FROM fx_top GROUP BY 1""",
 )
 def _e1m(spark, sf):
-    return ev.membership(strategies(spark, sf, features(spark, sf)), ["population", "polygon", "cbsa", "level1"])
+    return ev.membership(strategies(spark, sf, shared_tables(spark, sf)), ["population", "polygon", "cbsa", "level1"])
 
 
 TABLES["fx_spatial"] = """
@@ -76,8 +71,9 @@ _SPATIAL = ("strategy:s n_sites:i n_components:i n_components_all:i n_singleton_
 
 @register("E2_spatial_stats", _SPATIAL, "SELECT * FROM fx_spatial")
 def _e2(spark, sf):
-    o = strategies(spark, sf, features(spark, sf))
-    return ev.spatial_stats(o, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf))
+    shared = shared_tables(spark, sf)
+    o = strategies(spark, sf, shared)
+    return ev.spatial_stats(o, dt.sites(spark, sf), shared[2], counties(spark, sf), cbsa(spark, sf))
 
 
 TABLES["fx_score_base"] = """
@@ -95,8 +91,9 @@ _SCORE = "strategy:s score_mean:f score_median:f score_pop_weighted_mean:f score
 
 @register("E3_score_stats", _SCORE, "SELECT * FROM fx_score_stats")
 def _e3(spark, sf):
-    f = features(spark, sf)
-    return ev.score_stats(strategies(spark, sf, f), dt.scores(spark, sf), f)
+    shared = shared_tables(spark, sf)
+    f = shared[1]
+    return ev.score_stats(strategies(spark, sf, shared), dt.scores(spark, sf), f)
 
 
 TABLES["fx_top_steps"] = _steps_sql(_GAIN["cap_sum"], "fx_top")
@@ -121,7 +118,7 @@ _CONTR = ("strategy:s n_counties_total:i n_counties_reached:i counties_reached_f
 
 @register("E4_county_contribution", _CONTR, "SELECT * FROM fx_contribution")
 def _e4(spark, sf):
-    return ev.county_contribution(strategies(spark, sf, features(spark, sf)), weights(spark, sf))
+    return ev.county_contribution(strategies(spark, sf, shared_tables(spark, sf)), weights(spark, sf))
 
 
 @register(
@@ -131,7 +128,7 @@ def _e4(spark, sf):
        ON f.county_fips = b.county_fips GROUP BY 1, 2""",
 )
 def _e5(spark, sf):
-    return ev.county_balanced(strategies(spark, sf, features(spark, sf)), weights(spark, sf))
+    return ev.county_balanced(strategies(spark, sf, shared_tables(spark, sf)), weights(spark, sf))
 
 
 TABLES["fx_nonmetro"] = """
@@ -145,7 +142,7 @@ _NON = "strategy:s nonmetro_area_frac:r nonmetro_pop_frac:r nonmetro_bg_frac:r n
 
 @register("E6_nonmetro_reach", _NON, "SELECT * FROM fx_nonmetro")
 def _e6(spark, sf):
-    return ev.nonmetro_reach(strategies(spark, sf, features(spark, sf)), weights(spark, sf), metro(spark, sf))
+    return ev.nonmetro_reach(strategies(spark, sf, shared_tables(spark, sf)), weights(spark, sf), metro(spark, sf))
 
 
 TABLES["fx_site_risk"] = "SELECT f.wwtp, greatest(COALESCE(score, 0), 0) AS risk FROM fx_features f LEFT JOIN fx_scores s ON f.wwtp = s.wwtp"
@@ -161,8 +158,9 @@ def site_risk(spark, sf):
 
 @register("E7_risk_capture", "strategy:s risk_cum:f risk_frac:r n_high_risk:i high_risk_frac:r", "SELECT * FROM fx_capture")
 def _e7(spark, sf):
-    f = features(spark, sf)
-    return ev.risk_capture(strategies(spark, sf, f), site_risk(spark, sf), f)
+    shared = shared_tables(spark, sf)
+    f = shared[1]
+    return ev.risk_capture(strategies(spark, sf, shared), site_risk(spark, sf), f)
 
 
 TABLES["fx_top_curves"] = full_curve_sql("fx_top", "fx_top_steps")
@@ -171,8 +169,9 @@ TABLES["fx_top_curve"] = "SELECT * FROM fx_top_curves QUALIFY ord = MAX(ord) OVE
 
 @register("V7_coverage_for_strategies", _CURVE, "SELECT * FROM fx_top_curves")
 def _v7s(spark, sf):
-    f = features(spark, sf)
-    return coverage_for_orders(strategies(spark, sf, f), dt.bg_links(spark, sf), f)
+    shared = shared_tables(spark, sf)
+    f = shared[1]
+    return coverage_for_orders(strategies(spark, sf, shared), dt.bg_links(spark, sf), f)
 
 
 _DES = "[frac_area, frac_volume, counties_contributing_frac, site_area_evenness, component_representation_frac]"
@@ -188,9 +187,10 @@ _EVAL = ("strategy:s cum_population:f cum_area:f cum_pop_served:f cum_od_volume_
 
 
 def evaluation(spark, sf):
-    f = features(spark, sf)
+    shared = shared_tables(spark, sf)
+    _, f, comps = shared
     return ev.evaluate(
-        strategies(spark, sf, f), dt.bg_links(spark, sf), f, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf),
+        strategies(spark, sf, shared), dt.bg_links(spark, sf), f, dt.sites(spark, sf), comps, counties(spark, sf), cbsa(spark, sf),
         metro(spark, sf), dt.scores(spark, sf), site_risk(spark, sf))
 
 
@@ -209,9 +209,10 @@ def _e9(spark, sf):
     """SELECT o.strategy, 1.0 AS frac_pop_served, 1.0 AS frac_population, 1.0 AS frac_area, 1.0 AS frac_volume FROM fx_top o GROUP BY 1""",
 )
 def _e9n(spark, sf):
-    f = features(spark, sf)
+    shared = shared_tables(spark, sf)
+    _, f, comps = shared
     return ev.evaluate(
-        strategies(spark, sf, f), None, f, dt.sites(spark, sf), comps(spark, sf), counties(spark, sf), cbsa(spark, sf), metro(spark, sf),
+        strategies(spark, sf, shared), None, f, dt.sites(spark, sf), comps, counties(spark, sf), cbsa(spark, sf), metro(spark, sf),
         dt.scores(spark, sf), site_risk(spark, sf))
 
 
@@ -274,5 +275,6 @@ def _e10s(spark, sf):
        COALESCE((n_high_risk - MIN(n_high_risk) OVER ()) / NULLIF(CAST(MAX(n_high_risk) OVER () - MIN(n_high_risk) OVER () AS DOUBLE), 0), 0) AS n_high_risk_norm FROM fx_capture""",
 )
 def _e11(spark, sf):
-    f = features(spark, sf)
-    return ev.normalize_for_display(stage(ev.risk_capture(strategies(spark, sf, f), site_risk(spark, sf), f)), ["risk_frac"], ["risk_cum", "n_high_risk"])
+    shared = shared_tables(spark, sf)
+    f = shared[1]
+    return ev.normalize_for_display(stage(ev.risk_capture(strategies(spark, sf, shared), site_risk(spark, sf), f)), ["risk_frac"], ["risk_cum", "n_high_risk"])
