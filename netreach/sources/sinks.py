@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netreach.operators.graph import site_edges
 from netreach.plans.ordering import top_rows
 
 
@@ -28,13 +29,16 @@ def manifest(df: DataFrame, path: str, partition: str) -> DataFrame:
         partition, F.concat(F.lit(f"{path.rstrip('/')}/{partition}="), F.col(partition).cast("string")).alias("path"))
 
 
-def export_edges(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """Edges with both names, centroid distance in km and component."""
-    a = nodes.select(F.col("wwtp").alias("u"), F.col("name").alias("u_name"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = nodes.select(F.col("wwtp").alias("v"), F.col("name").alias("v_name"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    c = comps.select(F.col("wwtp").alias("u"), "component")
-    d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), F.lit(2)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2)))
-    return edges.join(a, "u").join(b, "v").join(c, "u", "left").select("u", "v", "u_name", "v_name", d.alias("distance_km"), "component")
+def export_edges(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Edges of ``graph.site_edges`` with both names, centroid distance in km and component of the first end.
+
+    Sites bring these with them where they meet; there can be very many edges, and none is shuffled.
+    """
+    n = nodes.join(comps.select("wwtp", "component"), "wwtp", "left")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = site_edges(n, ("name", "x", "y", "component"), tasks)
+    d = F.sqrt(F.pow(F.col("u_x") - F.col("v_x"), F.lit(2)) + F.pow(F.col("u_y") - F.col("v_y"), F.lit(2)))
+    return e.select("u", "v", "u_name", "v_name", d.alias("distance_km"), F.col("u_component").alias("component"))
 
 
 def export_nodes(nodes: DataFrame, comps: DataFrame, degree: DataFrame) -> DataFrame:
