@@ -107,10 +107,20 @@ def _two_hops(left: pd.DataFrame, right: pd.DataFrame, n: int) -> tuple[np.ndarr
     return total, paths > 0
 
 
+#: Columns of the rows of a packed block; a block without any rows at a step.
+_PACKED = ("t", "a", "b", "w", "u", "v", "name")
+_NONE = pd.DataFrame({c: np.zeros(0, object if c == "name" else int if c in "tab" else float) for c in _PACKED})
+
+
+def _columns(packed) -> dict:
+    """The columns of the packed rows of a block, which is null if it has none."""
+    return {c: _NONE[c].to_numpy() if packed is None or packed[c] is None else packed[c] for c in _PACKED}
+
+
 def _risk_blocks(n: int, blocks: int, hop1: float, hop2: float, diagonal: bool, listed: bool):
-    """Work on rows sorted by (pair, t): the largest risk of each pair of blocks, or the sums over t of every cell of it."""
-    def step(pair: int, rows: pd.DataFrame, block: dict) -> None:
-        left, right, z, base = (rows[rows.kind == k] for k in range(4))
+    """Work on pairs of packed blocks: the largest risk of each pair, or the sums over t of every cell of it."""
+    def step(pair: int, rows: list[pd.DataFrame], block: dict) -> None:
+        left, right, z, base = rows
         bi, bk = divmod(pair, blocks)
         for side, part in (("i", base), ("k", z)):
             block[side][part.a.to_numpy()] = part.name.to_numpy()
@@ -149,28 +159,25 @@ def _risk_blocks(n: int, blocks: int, hop1: float, hop2: float, diagonal: bool,
             i, k = np.nonzero(block["seen"][first:first + 64])
             yield pd.DataFrame({"src": names[k], "dst": block["i"][first + i], "s": block["s"][first + i, k], "ss": block["ss"][first + i, k]})
 
+    def frames(kinds: list[int], packed) -> dict:
+        """The rows of one block by kind and step."""
+        out = {}
+        for k, x in zip(kinds, packed, strict=True):
+            d = pd.DataFrame({c: np.concatenate([np.zeros(0), x[c]]) if c != "name" else x[c] for c in x}).astype({"t": int, "a": int, "b": int})
+            out[k] = dict(tuple(d.groupby("t")))
+        return out
+
     def run(batches):
-        pair, t, held, block = None, None, [], {}
         for batch in batches:
-            p, days = batch.pair.to_numpy(), batch.t.to_numpy()
-            cuts = np.flatnonzero((p[1:] != p[:-1]) | (days[1:] != days[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                if a == b:
-                    continue
-                if held and (p[a], days[a]) != (pair, t):
-                    step(pair, pd.concat(held), block)
-                    held = []
-                if p[a] != pair:
-                    if pair is not None:
-                        yield from told(pair, block)
-                    block = {"top": 0.0, "i": np.full(n, None, object), "k": np.full(n, None, object)}
-                    if listed:
-                        block |= {"s": np.zeros((n, n)), "ss": np.zeros((n, n)), "seen": np.zeros((n, n), bool)}
-                pair, t = p[a], days[a]
-                held.append(batch.iloc[a:b])
-        if held:
-            step(pair, pd.concat(held), block)
-            yield from told(pair, block)
+            for x in batch.itertuples(index=False):
+                parts = frames([0, 3], (_columns(x.near), _columns(x.base))) | frames([1, 2], (_columns(x.far), _columns(x.z)))
+                pair = int(x.rb) * blocks + int(x.cb)
+                block = {"top": 0.0, "i": np.full(n, None, object), "k": np.full(n, None, object)}
+                if listed:
+                    block |= {"s": np.zeros((n, n)), "ss": np.zeros((n, n)), "seen": np.zeros((n, n), bool)}
+                for t in sorted(set().union(*parts.values())):
+                    step(pair, [parts[k].get(t, _NONE) for k in range(4)], block)
+                yield from told(pair, block)
 
     return run
 
@@ -181,8 +188,8 @@ def model_risk(
 ) -> DataFrame:
     """(src, dst, risk, std): ``collapse_risk`` of ``model_perturbation`` over the steps of ``pred``, without a row for each pair and step.
 
-    A task goes through the steps of one pair of blocks of nodes in order and adds up its cells; the edges, not the pairs,
-    are copied to the blocks.  The result still has a row for each pair, and the time grows with their number.  Null
+    A task goes through the steps of one pair of blocks of nodes in order and adds up its cells.  Each block is packed and written
+    once, and read by the tasks that need it, so the disk grows with the edges.  The result still has a row for each pair, and the time grows with their number.  Null
     values are not read.
     """
     a = row_normalize(edges.select("t", "src", "dst", "w"), ["t"]).groupBy("t", "src", "dst").agg(F.sum("w").alias("w"))
@@ -206,26 +213,28 @@ def model_risk(
     off, loops = a.filter("i <> k"), a.filter("i = k").select("t", F.col("i").alias("id"), F.col("w").alias("loop"))
     z = by_id(z, "node", "id").join(loops, ["t", "id"], "left")
     base = by_id(base, "node", "id").join(loops, ["t", "id"], "left")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    no = F.lit(None).cast("double")
-
-    def part(df: DataFrame, kind: int, end: str, b: Column, w: str, u: Column, v: Column, name: Column, rows: bool) -> DataFrame:
-        """Rows of ``df`` for all pairs of blocks that ``end`` is a row, or a column, of."""
-        own_block, days = F.floor(F.col(end) / n), F.coalesce(F.datediff("t", F.lit("1970-01-01").cast("date")), F.lit(-1_000_000))
-        d = df.select("*", every)
-        pair = own_block * blocks + F.col("other") if rows else F.col("other") * blocks + own_block
-        return d.select(pair.cast("long").alias("pair"), days.alias("t"), F.lit(kind).alias("kind"), (F.col(end) % n).cast("long").alias("a"),
-                        b.cast("long").alias("b"), F.col(w).alias("w"), u.alias("u"), v.alias("v"), name.alias("name"))
-
-    nobody, zero = F.lit(None).cast("string"), F.lit(0.0)
-    loop = F.coalesce("loop", zero)
-    rows = part(off, 0, "i", F.col("k"), "w", no, no, nobody, True).unionByName(
-        part(off, 1, "k", F.col("i"), "w", no, no, nobody, False)).unionByName(
-        part(z, 2, "id", F.lit(-1), "z", loop, no, F.col("node"), False)).unionByName(
-        part(base, 3, "id", F.lit(-1), "scale", F.col("own"), loop, F.col("node"), True))
-    cores = edges.sparkSession.sparkContext.defaultParallelism
-    # pairs of blocks are dealt to ranges, each read twice: once for the largest risk, which scales all
-    rows = stage(rows.repartitionByRange(max(1, min(blocks * blocks, 4 * cores)), "pair").sortWithinPartitions("pair", "t"))
+    no, nobody = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def part(df: DataFrame, kind: str, end: str, b: Column, w: str, u: Column, v: Column, name: Column) -> DataFrame:
+        """Rows of ``df`` by the block that ``end`` is in."""
+        days = F.coalesce(F.datediff("t", F.lit("1970-01-01").cast("date")), F.lit(-1_000_000))
+        values = [days, (F.col(end) % n).cast("int"), b.cast("int"), F.col(w), u, v, name]
+        return df.select(F.floor(F.col(end) / n).cast("int").alias("blk"), F.lit(kind).alias("kind"), F.struct(*[x.alias(c) for x, c in zip(values, _PACKED)]).alias("x"))
+
+    def packed(blk: str, *parts: DataFrame) -> DataFrame:
+        """One row for each block, with the rows of each kind by columns; a partition for each block."""
+        g = parts[0].unionByName(parts[1]).groupBy("blk").pivot("kind", [kind for kind in kinds[blk]]).agg(F.collect_list("x"))
+        one = [F.struct(*[F.col(f"{k}.{c}").alias(c) for c in _PACKED]).alias(k) for k in kinds[blk]]
+        return stage(g.select(F.col("blk").alias(blk), *one).repartitionByRange(blocks, blk))
+
+    kinds = {"rb": ("near", "base"), "cb": ("far", "z")}
+    loop = F.coalesce("loop", F.lit(0.0))
+    rows = packed("rb", part(off, "near", "i", F.col("k"), "w", no, no, nobody),
+                  part(base, "base", "id", F.lit(-1), "scale", F.col("own"), loop, F.col("node")))
+    cols = packed("cb", part(off, "far", "k", F.col("i"), "w", no, no, nobody),
+                  part(z, "z", "id", F.lit(-1), "z", loop, no, F.col("node")))
+    # each pair of blocks is a task, run twice: once for the largest risk, which scales all
+    rows = rows.hint("shuffle_replicate_nl").crossJoin(cols)
     hop1, hop2 = coefficients.get("hop1", 0.0), coefficients.get("hop2", 0.0)
 
     def work(listed: bool):
